@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorekeep.llm.common import documents
+from lorekeep.llm.decontamination import contamination
 from lorekeep.llm.exact_dedup import exact_dedup
 from lorekeep.llm.mixing import mix
 from lorekeep.llm.sharding import shard
@@ -14,6 +16,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir), max_repetition=2.0)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir), shards=24)
 
@@ -25,6 +39,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
+        "op2_decontamination": op2_decontamination,
         "op4_sharding": op4_sharding,
         "op8_exact_dedup": op8_exact_dedup,
     }
