@@ -10,6 +10,7 @@ from lorekeep.llm.decontamination import contamination
 from lorekeep.llm.exact_dedup import exact_dedup
 from lorekeep.llm.mixing import mix
 from lorekeep.llm.sharding import shard
+from lorekeep.llm.toxicity import toxicity
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir), shards=24)
 
@@ -40,6 +45,7 @@ def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
         "op2_decontamination": op2_decontamination,
+        "op3_toxicity": op3_toxicity,
         "op4_sharding": op4_sharding,
         "op8_exact_dedup": op8_exact_dedup,
     }
