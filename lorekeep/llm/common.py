@@ -82,5 +82,11 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df.hint("shuffle_merge")
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], names: list[str], types: list[str]) -> DataFrame:
+    """A small relation of numbers as SQL VALUES, so that no Python runs on the executors."""
+    values = ", ".join("(" + ", ".join(f"CAST({v!r} AS {t})" if t != "double" else f"{v!r}D" for v, t in zip(r, types)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

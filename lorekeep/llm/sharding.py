@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import materialise
+from lorekeep.llm.common import local_rows, materialise
 
 CODE_BITS, TIE_BITS = 20, 42
 CODE_MAX, TIE_MASK = (1 << CODE_BITS) - 1, (1 << TIE_BITS) - 1
@@ -180,7 +180,7 @@ def _grow(points: DataFrame, dims: list[str], leaves: int, total: int, target: f
                 else:
                     done[child.name] = first
             rules.append((n.name, dims.index(n.dim), n.cut, n.children[0].name, n.children[1].name))
-        split = spark.createDataFrame(rules, "node int, dim int, cut long, left int, right int")
+        split = local_rows(spark, rules, ["node", "dim", "cut", "left", "right"], ["int", "int", "long", "int", "int"])
         coordinate = F.element_at(F.array(*dims), F.col("dim") + 1)
         placed = placed.join(F.broadcast(split), "node", "left").select(  # bounded by the number of shards
             "text_hash",
@@ -194,14 +194,14 @@ def _grow(points: DataFrame, dims: list[str], leaves: int, total: int, target: f
         if level % 5 == 0 and following:
             placed = materialise(placed, "shard-nodes")
         open_nodes = following
-    shards = spark.createDataFrame(sorted(done.items()), "node int, shard int")
+    shards = local_rows(spark, sorted(done.items()), ["node", "shard"], ["int", "int"])
     return placed.join(F.broadcast(shards), "node"), len(done)
 
 
 def _narrow(spark, placed: DataFrame, dims: list[str], seeking: list[_Node], target: float) -> None:
     """One histogram pass: shrink each node's interval to the bin that holds its weighted quantile, or settle its cut."""
     rows = [(n.name, dims.index(n.dim), n.lo, n.hi, max(1, -(-(n.hi - n.lo + 1) // BINS)), float(n.goal - n.below)) for n in seeking]
-    ask = spark.createDataFrame(rows, "node int, dim int, lo long, hi long, step long, goal double")
+    ask = local_rows(spark, rows, ["node", "dim", "lo", "hi", "step", "goal"], ["int", "int", "long", "long", "long", "double"])
     c = F.element_at(F.array(*dims), F.col("dim") + 1)
     histogram = (
         placed.join(F.broadcast(ask), "node")  # one row per open node, bounded by the number of shards
