@@ -9,6 +9,7 @@ from lorekeep.llm.common import documents
 from lorekeep.llm.decontamination import contamination
 from lorekeep.llm.exact_dedup import exact_dedup
 from lorekeep.llm.mixing import mix
+from lorekeep.llm.pii import KINDS, find_pii, span_list
 from lorekeep.llm.sharding import shard
 from lorekeep.llm.toxicity import toxicity
 
@@ -37,6 +38,19 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir), shards=24)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def is_kind(kind: str):
+        return lambda x: x["kind"] == kind
+
+    found = find_pii(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("base", is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(span_list(F.col("base")), 256).alias("base_sha256"),
+        span_list(F.concat("base", "more")).alias("spans"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), digest=True)
 
@@ -47,6 +61,7 @@ def queries() -> dict:
         "op2_decontamination": op2_decontamination,
         "op3_toxicity": op3_toxicity,
         "op4_sharding": op4_sharding,
+        "op5_pii": op5_pii,
         "op8_exact_dedup": op8_exact_dedup,
     }
 
