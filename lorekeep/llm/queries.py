@@ -9,6 +9,7 @@ from lorekeep.llm.common import documents
 from lorekeep.llm.decontamination import contamination
 from lorekeep.llm.exact_dedup import exact_dedup
 from lorekeep.llm.mixing import mix
+from lorekeep.llm.near_dedup import near_duplicates
 from lorekeep.llm.pii import KINDS, find_pii, span_list
 from lorekeep.llm.sharding import shard
 from lorekeep.llm.toxicity import toxicity
@@ -55,6 +56,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), digest=True)
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
@@ -63,6 +68,7 @@ def queries() -> dict:
         "op4_sharding": op4_sharding,
         "op5_pii": op5_pii,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
     }
 
 
