@@ -169,7 +169,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     never read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(_scan, f"doc_id {kind}, base {_SPAN}, loose {_SPAN}")
+    texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))  # ids pass pandas as strings: exact, nulls too
+    found = texts.mapInPandas(_scan, f"doc_id string, base {_SPAN}, loose {_SPAN}").withColumn("doc_id", F.col("doc_id").cast(kind))
     found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "pii-found")  # fixed once written
     trusted = _score(found)
     more = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import documents
 from lorekeep.llm.decontamination import contamination
 from lorekeep.llm.exact_dedup import exact_dedup
+from lorekeep.llm.licenses import scan_licenses
 from lorekeep.llm.mixing import mix
 from lorekeep.llm.near_dedup import near_duplicates
 from lorekeep.llm.pii import KINDS, find_pii, span_list
@@ -52,6 +53,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(documents(spark, sf_dir))
+    return found.withColumn("base_labels", F.array_join("base_labels", ",")).withColumn("labels", F.array_join("labels", ","))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), digest=True)
 
@@ -67,6 +73,7 @@ def queries() -> dict:
         "op3_toxicity": op3_toxicity,
         "op4_sharding": op4_sharding,
         "op5_pii": op5_pii,
+        "op7_licenses": op7_licenses,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
     }

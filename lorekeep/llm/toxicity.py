@@ -204,7 +204,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": 1 / (1 + np.exp(-margin))})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, score double")
+    texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))  # ids pass pandas as strings: exact, nulls too
+    return texts.mapInPandas(run, "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
