@@ -149,8 +149,11 @@ def _score(found: DataFrame) -> DataFrame:
             .groupBy("kind", "instance")
             .agg((1 - F.exp(F.sum(F.ln(1 - F.least("confidence", F.lit(0.999)))))).alias("now"))
         )
-        scores = scores.join(now, ["kind", "instance"], "left").select(
-            "kind", "instance", F.when(F.col("score") == 1.0, 1.0).otherwise(F.coalesce("now", F.lit(0.0))).alias("score")
+        scores = materialise(
+            scores.join(now, ["kind", "instance"], "left").select(
+                "kind", "instance", F.when(F.col("score") == 1.0, 1.0).otherwise(F.coalesce("now", F.lit(0.0))).alias("score")
+            ),
+            "pii-scores",
         )
     trusted = (
         links.join(confidence.where(f"confidence >= {MIN_CONFIDENCE}"), ["kind", "pattern"])

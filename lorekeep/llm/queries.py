@@ -14,6 +14,7 @@ from lorekeep.llm.near_dedup import near_duplicates
 from lorekeep.llm.pii import KINDS, find_pii, span_list
 from lorekeep.llm.sharding import shard
 from lorekeep.llm.toxicity import toxicity
+from lorekeep.llm.warc import warc_round_trip
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +54,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(documents(spark, sf_dir))
     return found.withColumn("base_labels", F.array_join("base_labels", ",")).withColumn("labels", F.array_join("labels", ","))
@@ -73,6 +78,7 @@ def queries() -> dict:
         "op3_toxicity": op3_toxicity,
         "op4_sharding": op4_sharding,
         "op5_pii": op5_pii,
+        "op6_warc": op6_warc,
         "op7_licenses": op7_licenses,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
@@ -84,6 +90,13 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+            g AS (SELECT t, min(page_id) AS first FROM p GROUP BY t)
+            SELECT p.page_id, strlen(p.t) AS payload_bytes, sha256(p.t) AS payload_digest,
+                   CASE WHEN strlen(p.t) >= 100 AND p.page_id <> g.first THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN strlen(p.t) >= 100 AND p.page_id <> g.first THEN g.first END AS refers_to
+            FROM p JOIN g USING (t)""",
         "op8_exact_dedup": f"""
             WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
