@@ -9,6 +9,7 @@ from lorekeep.llm.common import documents
 from lorekeep.llm.decontamination import contamination
 from lorekeep.llm.exact_dedup import exact_dedup
 from lorekeep.llm.licenses import scan_licenses
+from lorekeep.llm.line_dedup import line_components
 from lorekeep.llm.mixing import mix
 from lorekeep.llm.near_dedup import near_duplicates
 from lorekeep.llm.pii import KINDS, find_pii, span_list
@@ -71,6 +72,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), percent=85)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_components(documents(spark, sf_dir), similarity=0.8)
+
+
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
@@ -82,6 +87,7 @@ def queries() -> dict:
         "op7_licenses": op7_licenses,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
