@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import maybe_broadcast
+from lorekeep.llm.common import materialise, maybe_broadcast
 
 ORDERS = (3, 4, 5)
 #: Features are hashed into 2 ** BITS buckets, which bounds the counts, the weights and what is broadcast.
@@ -95,20 +95,23 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"bucket": part.astype(np.int32), "neg": counts[0, part].astype(np.int64), "pos": counts[1, part].astype(np.int64)})
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen = np.zeros(1 << BITS, np.int32)
-    for batch in batches:
-        classes = batch["toxic"].tolist()
-        found = [np.sort(f).astype(np.int32).tobytes() for run in _chunks(batch["text"].fillna("").tolist()) for f in _features(run, seen)]
-        yield pd.DataFrame({"toxic": classes, "features": found})
+def _extract(keep):
+    """For the fit: each text's distinct buckets among those that the broadcast mask keeps."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, mask = np.zeros(1 << BITS, np.int32), keep.value
+        for batch in batches:
+            found = [np.sort(f[mask[f]]).astype(np.int32).tobytes() for part in _chunks(batch["text"].fillna("").tolist()) for f in _features(part, seen)]
+            yield pd.DataFrame({"toxic": batch["toxic"].tolist(), "features": found})
+
+    return run
 
 
-def _telling(counts: pd.DataFrame, n_pos: int, n_neg: int) -> np.ndarray:
+def _telling(counts: DataFrame, n_pos: int, n_neg: int) -> DataFrame:
     """Buckets whose class split is no accident: log-likelihood ratio over 2 ln(number of buckets), which chance alone reaches in about one."""
-    pos, neg = counts["pos"].to_numpy(np.float64), counts["neg"].to_numpy(np.float64)
-    n, part = pos + neg, n_pos / (n_pos + n_neg)
-    g = 2 * (pos * np.log(np.maximum(pos, 1e-9) / (n * part)) + neg * np.log(np.maximum(neg, 1e-9) / (n * (1 - part))))
-    return g >= 2 * np.log(max(2, len(counts)))
+    n, part = F.col("pos") + F.col("neg"), n_pos / (n_pos + n_neg)
+    g = F.coalesce(F.col("pos") * F.ln(F.col("pos") / (n * part)), F.lit(0.0)) + F.coalesce(F.col("neg") * F.ln(F.col("neg") / (n * (1 - part))), F.lit(0.0))
+    return counts.where(2 * g >= 2 * float(np.log(max(2, counts.count()))))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -136,22 +139,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
     if not n_pos or not n_neg:
         return Model(np.zeros(1 << BITS, np.float32), 4.0 if n_pos else -4.0)
-    counts = (
+    counts = materialise(
         labelled(usable, n_labels)
         .select("text", "toxic")
         .mapInPandas(_count, "bucket int, neg long, pos long")
         .groupBy("bucket")
         .agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-        .where(f"neg + pos >= {MIN_SUPPORT}")
-        .toPandas()  # 2 ** BITS rows at most
+        .where(f"neg + pos >= {MIN_SUPPORT}"),
+        "toxic-counts",
     )
+    telling = _telling(counts, n_pos, n_neg).toPandas()  # a part of the 2 ** BITS buckets
     ratio = np.zeros(1 << BITS, np.float64)
-    ratio[counts["bucket"]] = np.where(_telling(counts, n_pos, n_neg), np.log((counts["pos"] + 1) / (n_pos + 2)) - np.log((counts["neg"] + 1) / (n_neg + 2)), 0.0)
+    ratio[telling["bucket"]] = np.log((telling["pos"] + 1) / (n_pos + 2)) - np.log((telling["neg"] + 1) / (n_neg + 2))
+    keep = docs.sparkSession.sparkContext.broadcast(ratio != 0)
     order = F.xxhash64(F.lit(3), "l_id")
     chosen = usable.where("toxic = 1").orderBy(order, "l_id").limit(FIT_ROWS_PER_CLASS).unionAll(
         usable.where("toxic = 0").orderBy(order, "l_id").limit(FIT_ROWS_PER_CLASS)
     )
-    sample = labelled(chosen, 2 * FIT_ROWS_PER_CLASS).select("text", "toxic").mapInPandas(_extract, "toxic int, features binary").toPandas()
+    sample = labelled(chosen, 2 * FIT_ROWS_PER_CLASS).select("text", "toxic").mapInPandas(_extract(keep), "toxic int, features binary").toPandas()
     rows = [np.frombuffer(b, np.int32) for b in sample["features"]]
     y = sample["toxic"].to_numpy(np.float64)
     del sample
@@ -161,7 +166,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, prior: float, steps: int = 60, l2: float = 1e-3) -> Model:
     """Class-balanced logistic regression over the r-scaled features by Adagrad on the full batch; the intercept then takes the prior back in part."""
     keep = ratio != 0
-    rows = [r[keep[r]] for r in rows]
     bounds = np.concatenate([[0], np.cumsum([r.size for r in rows])]).astype(np.int64)
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
     del rows
