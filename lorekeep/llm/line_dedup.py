@@ -10,9 +10,12 @@ from lorekeep.llm.components import connected_components
 
 #: Lines are compared by their sets of character shingles of this length.
 SHINGLE = 5
-#: Signatures sample the longer shingles that start with a word, one minimum per bin of the hash space.
+#: Signatures sample the longer shingles that start with a word and keep the least hashes of them.
 ANCHOR = 8
-BINS = 12
+SAMPLES = 12
+#: So many consecutive samples make a band.
+RUN = 3
+BANDS = SAMPLES - RUN + 1
 
 
 def _let(value: Column, body) -> Column:
@@ -20,32 +23,26 @@ def _let(value: Column, body) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 0), line (trimmed), one row per line; null text has no lines."""
+    """doc_id, line_no (from 0), line (trimmed of blanks and carriage returns), one row per line; null text has no lines."""
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "raw")).select(
-        "doc_id", "line_no", F.trim(F.regexp_replace("raw", r"\r$", "")).alias("line")
+        "doc_id", "line_no", F.btrim("raw", F.lit(" \r")).alias("line")
     )
 
 
 def bands_of(line: Column) -> Column:
-    """One hash per pair of neighbouring bin minima: a line's buckets.
+    """A line's buckets: a hash of every three consecutive values among the twelve least shingle hashes.
 
-    Shingles that start a word (so that an edit moves no others) are hashed; the hash space has 12 bins, each keeps its
-    minimum, and every two consecutive minima form a band.  With similarity s of the sampled sets a band survives with
-    probability about s * s, and a line has up to eleven.
+    Shingles that start a word are sampled, so that an edit moves no others.  Three consecutive least values agree with
+    probability about the cube of the sampled sets' similarity, and a line has up to ten such runs.
     """
-    anchors = F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?:^|\s)(?=(\S.{{{ANCHOR - 1}}}))"), F.lit(1)))
-    hashed = F.sort_array(F.transform(anchors, lambda a: F.xxhash64(a)))
-    # sorted signed hashes fall into bins by value, so a bin's minimum is the element whose predecessor lies in another bin
-    width = (1 << 64) // BINS
-    bin_of = lambda h: F.floor(h / F.lit(float(width)))
-    minima = _let(hashed, lambda v: F.filter(v, lambda h, i: F.coalesce(bin_of(F.get(v, i - 1)) != bin_of(h), F.lit(True))))
-    pairs = _let(
-        minima,
-        lambda m: F.when(F.size(m) > 1, F.transform(F.sequence(F.lit(1), F.size(m) - 1), lambda i: F.xxhash64(F.get(m, i - 1), F.get(m, i)))).otherwise(
-            F.array().cast("array<bigint>")
-        ),
+    anchors = F.regexp_extract_all(line, F.lit(rf"(?s)(?:^|\s)(?=(\S.{{{ANCHOR - 1}}}))"), F.lit(1))
+    least = F.slice(F.sort_array(F.array_distinct(F.transform(anchors, lambda a: F.xxhash64(a)))), 1, SAMPLES)
+    return _let(
+        least,
+        lambda m: F.when(
+            F.size(m) >= RUN, F.transform(F.sequence(F.lit(0), F.size(m) - RUN), lambda i: F.xxhash64(*[F.get(m, i + j) for j in range(RUN)]))
+        ).otherwise(F.array().cast("array<bigint>")),
     )
-    return pairs
 
 
 def grams_of(line: Column) -> Column:
@@ -55,16 +52,13 @@ def grams_of(line: Column) -> Column:
     )
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) whose lines' gram sets have the Jaccard similarity; lines are read again for keys that occur in a pair."""
-    keys = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "line-keys")
-    line = lines_of(docs).select(F.unhex(F.md5("line")).alias("key"), "line")
-    texts = line.join(maybe_broadcast(keys, keys.count(), 32), "key", "left_semi").groupBy("key").agg(F.any_value("line").alias("line"))
-    sets = materialise(texts.select("key", F.length("line").alias("n"), grams_of(F.col("line")).alias("grams")), "line-grams")
-    left = pairs.join(sets.withColumnsRenamed({"key": "a", "grams": "ga", "n": "na"}).hint("shuffle_merge"), "a")
-    both = left.join(sets.withColumnsRenamed({"key": "b", "grams": "gb", "n": "nb"}).hint("shuffle_merge"), "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    return both.where(common >= (F.size("ga") + F.size("gb") - common) * similarity).select("a", "b")
+def _confirm(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) whose lines' gram sets have the Jaccard similarity.  Lines travel as text, which is smaller than their sets."""
+    left = pairs.join(texts.withColumnsRenamed({"key": "a", "line": "la"}).hint("shuffle_merge"), "a")
+    both = left.join(texts.withColumnsRenamed({"key": "b", "line": "lb"}).hint("shuffle_merge"), "b")
+    sets = both.select("a", "b", grams_of(F.col("la")).alias("ga"), grams_of(F.col("lb")).alias("gb"))
+    counted = sets.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("common"))
+    return counted.where(F.col("common") >= (F.col("na") + F.col("nb") - F.col("common")) * similarity).select("a", "b")
 
 
 def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,18 +74,25 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     lines that share one bucket part instead of being paired with each other.  Both rounds give at most one pair per member
     and bucket.  All pairs are confirmed on exact gram sets.
 
-    Null and empty texts have no lines to compare; blank lines belong to no class and are left out; lines without two
-    bin minima only match equal lines; repeated rows are further occurrences; a null id comes first; an empty table
+    Null and empty texts have no lines to compare; blank lines belong to no class and are left out; lines with fewer
+    than three samples only match equal lines; repeated rows are further occurrences; a null id comes first; an empty table
     gives an empty result; other columns are never read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = lines_of(docs).where("line <> ''")
-    keyed = lines.select("doc_id", "line_no", F.unhex(F.md5("line")).alias("key"), "line")
-    member = materialise(keyed.select("key", F.explode(bands_of(F.col("line"))).alias("band")).distinct(), "line-bands")
-    crowded = member.groupBy("band").agg(F.min("key").alias("pivot"), F.max("key").alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialise(member.join(crowded.drop("n"), "band"), "line-shared")
+    keyed = lines_of(docs).where("line <> ''").select("doc_id", "line_no", F.unhex(F.md5("line")).alias("key"), "line")
+    # equal lines become one row first; as plain columns the bands are combined before the shuffle
+    signed = keyed.select("key", bands_of(F.col("line")).alias("bands")).select("key", *[F.get("bands", i).alias(f"b{i}") for i in range(BANDS)])
+    distinct = signed.groupBy("key").agg(*[F.any_value(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
+    member = distinct.select("key", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band")).where("band is not null")
+    # one shuffle by band serves both the count and the join; its rows are 24 bytes and are read in a stream
+    member = member.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band")
+    crowded = member.groupBy("band").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialise(member.join(crowded.drop("n").hint("shuffle_merge"), "band"), "line-shared")
+    keys = materialise(shared.select("key").distinct(), "line-keys")
+    texts = keyed.select("key", "line").join(maybe_broadcast(keys, keys.count(), 32), "key", "left_semi").groupBy("key").agg(F.any_value("line").alias("line"))
+    texts = materialise(texts, "line-texts")
     stars = materialise(shared.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "line-stars")
-    links = materialise(_confirm(stars, docs, similarity), "line-links")
+    links = materialise(_confirm(stars, texts, similarity), "line-links")
     component = connected_components(links)
 
     labelled = shared.select("key", "band").join(component, F.col("key") == F.col("node"), "left").select("key", "band", F.coalesce("component", "key").alias("component"))
@@ -108,7 +109,7 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     )
     again = materialise(again, "line-again")
     if not again.isEmpty():
-        more = materialise(_confirm(again, docs, similarity), "line-more")
+        more = materialise(_confirm(again, texts, similarity), "line-more")
         if not more.isEmpty():
             component = connected_components(links.unionByName(more))
 

@@ -95,11 +95,12 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"bucket": part.astype(np.int32), "neg": counts[0, part].astype(np.int64), "pos": counts[1, part].astype(np.int64)})
 
 
-def _extract(keep):
-    """For the fit: each text's distinct buckets among those that the broadcast mask keeps."""
+def _extract(shared):
+    """For the fit: each text's distinct buckets among the telling ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, mask = np.zeros(1 << BITS, np.int32), keep.value
+        seen, mask = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, bool)
+        mask[shared.value[0]] = True
         for batch in batches:
             found = [np.sort(f[mask[f]]).astype(np.int32).tobytes() for part in _chunks(batch["text"].fillna("").tolist()) for f in _features(part, seen)]
             yield pd.DataFrame({"toxic": batch["toxic"].tolist(), "features": found})
@@ -118,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn from the labelled rows whose crc32(id) mod HOLD_OUT isn't 0.
 
     Ratios r = log((pos + 1) / (n_pos + 2)) - log((neg + 1) / (n_neg + 2)) use document counts over all those rows,
-    added up by a shuffle on the bucket.  The logistic layer over r-scaled presence features is fitted on the driver on
+    added up by a shuffle on the bucket.  The logistic layer over r-scaled presence features is fitted in one task on
     at most FIT_ROWS_PER_CLASS documents a class.  An id with several labels counts as toxic if one of them is; rows
     without a 0/1 label or an id are not used.  With one class or none, the model is the constant prior.
     """
@@ -148,19 +149,39 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .where(f"neg + pos >= {MIN_SUPPORT}"),
         "toxic-counts",
     )
-    telling = _telling(counts, n_pos, n_neg).toPandas()  # a part of the 2 ** BITS buckets
-    ratio = np.zeros(1 << BITS, np.float64)
-    ratio[telling["bucket"]] = np.log((telling["pos"] + 1) / (n_pos + 2)) - np.log((telling["neg"] + 1) / (n_neg + 2))
-    keep = docs.sparkSession.sparkContext.broadcast(ratio != 0)
+    telling = _telling(counts, n_pos, n_neg).select("bucket", (F.ln((F.col("pos") + 1) / (n_pos + 2)) - F.ln((F.col("neg") + 1) / (n_neg + 2))).alias("ratio")).toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast((telling["bucket"].to_numpy(np.int32), telling["ratio"].to_numpy(np.float32)))
     order = F.xxhash64(F.lit(3), "l_id")
     chosen = usable.where("toxic = 1").orderBy(order, "l_id").limit(FIT_ROWS_PER_CLASS).unionAll(
         usable.where("toxic = 0").orderBy(order, "l_id").limit(FIT_ROWS_PER_CLASS)
     )
-    sample = labelled(chosen, 2 * FIT_ROWS_PER_CLASS).select("text", "toxic").mapInPandas(_extract(keep), "toxic int, features binary").toPandas()
-    rows = [np.frombuffer(b, np.int32) for b in sample["features"]]
-    y = sample["toxic"].to_numpy(np.float64)
-    del sample
-    return _fit(rows, y, ratio, np.log(n_pos / n_neg))
+    sample = labelled(chosen, 2 * FIT_ROWS_PER_CLASS).select("text", "toxic").mapInPandas(_extract(shared), "toxic int, features binary")
+    # the bounded sample is fitted in one task, which leaves the driver's memory alone
+    fitted = sample.repartition(1).mapInPandas(_fit_task(shared, float(np.log(n_pos / n_neg))), "bucket int, weight double").toPandas()
+    weights = np.zeros(1 << BITS, np.float32)
+    inside = fitted["bucket"] >= 0
+    weights[fitted["bucket"][inside]] = fitted["weight"][inside]
+    return Model(weights, float(fitted["weight"][~inside].iloc[0]) if (~inside).any() else float(np.clip(np.log(n_pos / n_neg), -4, 4)))
+
+
+def _fit_task(shared, prior: float):
+    """The fit as a task: rows of (bucket, weight), with the intercept at bucket -1."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, classes = [], []
+        for batch in batches:
+            rows += [np.frombuffer(b, np.int32) for b in batch["features"]]
+            classes += batch["toxic"].tolist()
+        if not classes:
+            return
+        buckets, values = shared.value
+        ratio = np.zeros(1 << BITS)
+        ratio[buckets] = values
+        model = _fit(rows, np.asarray(classes, np.float64), ratio, prior)
+        at = np.flatnonzero(model.weights)
+        yield pd.DataFrame({"bucket": np.append(at, -1).astype(np.int32), "weight": np.append(model.weights[at], model.bias).astype(np.float64)})
+
+    return run
 
 
 def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, prior: float, steps: int = 60, l2: float = 1e-3) -> Model:
