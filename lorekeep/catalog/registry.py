@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lorekeep.catalog import temporal
+from lorekeep.catalog import temporal, text, vectors
 
-GROUPS = (temporal,)
+GROUPS = (temporal, text, vectors)
 
 
 def registered() -> dict[str, Callable]:
