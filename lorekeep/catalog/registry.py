@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lorekeep.catalog import temporal, text, vectors
+from lorekeep.catalog import graph, temporal, text, vectors
 
-GROUPS = (temporal, text, vectors)
+GROUPS = (temporal, text, vectors, graph)
 
 
 def registered() -> dict[str, Callable]:

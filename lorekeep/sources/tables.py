@@ -36,8 +36,8 @@ def event_facts(events: DataFrame) -> DataFrame:
             F.concat(F.lit("u"), F.col("user_id")).alias("subject"),
             F.col("event_type").alias("relation"),
             F.floor("value").cast("string").alias("value"),
-            F.col("ts").alias("valid_from"),
-            F.col("ts").alias("tx_from"),
+            F.col("ts").cast("timestamp").alias("valid_from"),
+            F.col("ts").cast("timestamp").alias("tx_from"),
             F.concat(F.lit("t"), F.col("user_id") % 3).alias("user_id"),
             F.when(eid % 4 == 0, F.lit("scout")).alias("agent_id"),
             F.date_format("ts", "yyyy-MM-dd").alias("run_id"),
