@@ -2,76 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.scratch import materialise, scratch_path, shared_dir
+
+__all__ = ["documents", "local_rows", "lower_az", "materialise", "maybe_broadcast", "scratch_path", "shared_dir"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A side is broadcast only when its counted rows times its row width stay below this many bytes.
 BROADCAST_BYTES = 16 << 20
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`.
-
-    Where it is unset, a local master (tests) gets a temporary folder; a cluster without it is refused,
-    since a machine-local folder would lose lineage cuts with the machine.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="lorekeep-")
-        sc.setCheckpointDir(root)
-        root = sc.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone at interpreter exit
-        pass
-
-
-@atexit.register
-def release() -> None:
-    """Delete every table that `materialise` wrote in this process."""
-    while _written:
-        _delete(*_written.pop())
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a `materialise`d frame that no later plan reads."""
-    spark = df.sparkSession
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for entry in [e for e in _written if any(r.endswith(e[1].split(":", 1)[-1].lstrip("/")) for r in roots)]:
-        _written.remove(entry)
-        _delete(spark, entry[1])
-
-
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -23,42 +23,43 @@ def _let(value: Column, body) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 0), line (trimmed of blanks and carriage returns), one row per line; null text has no lines."""
+    """doc_id, line_no (from 0), line (trimmed of blanks), one row per line; null text has no lines."""
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "raw")).select(
-        "doc_id", "line_no", F.btrim("raw", F.lit(" \r")).alias("line")
+        "doc_id", "line_no", F.trim("raw").alias("line")
     )
 
 
-def bands_of(line: Column) -> Column:
-    """A line's buckets: a hash of every three consecutive values among the twelve least shingle hashes.
+def samples_of(line: Column) -> Column:
+    """The twelve least hashes of the shingles that start a word; an edit elsewhere moves none of these."""
+    anchors = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(rf"(?s) (?=(\S.{{{ANCHOR - 1}}}))"), F.lit(1))
+    return F.slice(F.sort_array(F.array_distinct(F.transform(anchors, lambda a: F.xxhash64(a)))), 1, SAMPLES)
 
-    Shingles that start a word are sampled, so that an edit moves no others.  Three consecutive least values agree with
-    probability about the cube of the sampled sets' similarity, and a line has up to ten such runs.
+
+def band(samples: str, i: int) -> Column:
+    """Bucket number i: a hash of three consecutive samples, null where a line has fewer.
+
+    Three consecutive least values agree with probability about the cube of the sampled sets' similarity, and a line has
+    up to ten such runs.
     """
-    anchors = F.regexp_extract_all(line, F.lit(rf"(?s)(?:^|\s)(?=(\S.{{{ANCHOR - 1}}}))"), F.lit(1))
-    least = F.slice(F.sort_array(F.array_distinct(F.transform(anchors, lambda a: F.xxhash64(a)))), 1, SAMPLES)
-    return _let(
-        least,
-        lambda m: F.when(
-            F.size(m) >= RUN, F.transform(F.sequence(F.lit(0), F.size(m) - RUN), lambda i: F.xxhash64(*[F.get(m, i + j) for j in range(RUN)]))
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
+    return F.when(F.size(samples) >= i + RUN, F.xxhash64(*[F.get(samples, i + j) for j in range(RUN)]))
 
 
 def grams_of(line: Column) -> Column:
-    """The set of character 5-grams; a shorter line is one gram."""
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(
-        F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-    )
+    """The set of character 5-grams, as 64-bit hashes; a shorter line is one gram."""
+    grams = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+    return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The (a, b) whose lines' gram sets have the Jaccard similarity.  Lines travel as text, which is smaller than their sets."""
     left = pairs.join(texts.withColumnsRenamed({"key": "a", "line": "la"}).hint("shuffle_merge"), "a")
     both = left.join(texts.withColumnsRenamed({"key": "b", "line": "lb"}).hint("shuffle_merge"), "b")
-    sets = both.select("a", "b", grams_of(F.col("la")).alias("ga"), grams_of(F.col("lb")).alias("gb"))
-    counted = sets.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("common"))
-    return counted.where(F.col("common") >= (F.col("na") + F.col("nb") - F.col("common")) * similarity).select("a", "b")
+    # one expression, so that the optimizer can't compute the sets once per use
+    near = _let(
+        F.struct(grams_of(F.col("la")).alias("a"), grams_of(F.col("lb")).alias("b")),
+        lambda s: _let(F.size(F.array_intersect(s["a"], s["b"])), lambda n: n >= (F.size(s["a"]) + F.size(s["b"]) - n) * F.lit(similarity)),
+    )
+    return both.where(near).select("a", "b")
 
 
 def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,7 +82,7 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     keyed = lines_of(docs).where("line <> ''").select("doc_id", "line_no", F.unhex(F.md5("line")).alias("key"), "line")
     # equal lines become one row first; as plain columns the bands are combined before the shuffle
-    signed = keyed.select("key", bands_of(F.col("line")).alias("bands")).select("key", *[F.get("bands", i).alias(f"b{i}") for i in range(BANDS)])
+    signed = keyed.select("key", samples_of(F.col("line")).alias("least")).select("key", *[band("least", i).alias(f"b{i}") for i in range(BANDS)])
     distinct = signed.groupBy("key").agg(*[F.any_value(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
     member = distinct.select("key", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band")).where("band is not null")
     # one shuffle by band serves both the count and the join; its rows are 24 bytes and are read in a stream

@@ -144,7 +144,7 @@ def _grow(points: DataFrame, dims: list[str], leaves: int, total: int, target: f
         return placed.withColumn("shard", F.lit(0)), 0
     open_nodes = [_Node(0, leaves, 0)]
     done: dict[int, int] = {} if leaves > 1 else {0: 0}
-    names, level, whole = 1, 0, None
+    names, whole = 1, None
     while open_nodes and leaves > 1:
         bounds = {
             r["node"]: r
@@ -190,9 +190,8 @@ def _grow(points: DataFrame, dims: list[str], leaves: int, total: int, target: f
             *dims,
             F.when(F.col("cut").isNull(), F.col("node")).when(coordinate < F.col("cut"), F.col("left")).otherwise(F.col("right")).alias("node"),
         )
-        level += 1
-        if level % 5 == 0 and following:
-            placed = materialise(placed, "shard-nodes")
+        # written once a level, so that the passes of the next level are plans of one small join each
+        placed = materialise(placed, "shard-nodes")
         open_nodes = following
     shards = local_rows(spark, sorted(done.items()), ["node", "shard"], ["int", "int"])
     return placed.join(F.broadcast(shards), "node"), len(done)
