@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lorekeep.catalog import graph, temporal, text, vectors
+from lorekeep.catalog import graph, plans, streams, temporal, text, vectors
 
-GROUPS = (temporal, text, vectors, graph)
+GROUPS = (temporal, text, vectors, graph, streams, plans)
 
 
 def registered() -> dict[str, Callable]:
