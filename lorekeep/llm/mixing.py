@@ -93,8 +93,8 @@ def temperature_mixture(
     z, most = sources.agg(F.sum(F.pow("share", F.lit(exponent))), F.max(F.pow("share", F.lit(1 - exponent)))).first()
     budget = float(budget_tokens) if budget_tokens is not None else total * z * most
     weight = F.pow("share", F.lit(exponent)) / F.lit(z)
-    quota = weight * F.lit(budget)
-    if budget_tokens is None:  # rounding must not cost a source its last document
+    quota = F.round(weight * F.lit(budget), 3)
+    if budget_tokens is None:  # rounding must neither cost a source its last document nor begin another epoch
         quota = F.greatest(quota, F.col("tokens").cast("double"))
     repetition = ratio if budget_tokens is None else _repetition((exponent, entropy, ratio), sources, budget_tokens, total)
     return Mixture(exponent, budget, entropy, repetition, sources.withColumn("weight", weight).withColumn("quota", quota))

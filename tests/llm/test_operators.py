@@ -1,0 +1,259 @@
+import hashlib
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from lorekeep.llm import warc
+from lorekeep.llm.components import connected_components
+from lorekeep.llm.decontamination import contamination
+from lorekeep.llm.exact_dedup import exact_dedup
+from lorekeep.llm.licenses import scan_licenses
+from lorekeep.llm.line_dedup import drop_repeated_lines, line_components
+from lorekeep.llm.mixing import mix, mix_rows, temperature_mixture
+from lorekeep.llm.near_dedup import keep_one, near_duplicates
+from lorekeep.llm.pii import base_spans, find_pii, redact, span_list
+from lorekeep.llm.sharding import shard
+from lorekeep.llm.toxicity import keep_clean, toxicity
+
+from . import brute
+from .conftest import frame
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def edited(text, n, seed):
+    r = random.Random(seed)
+    w = text.split(" ")
+    for _ in range(n):
+        w[r.randrange(len(w))] = "edit" + str(r.randrange(10**6))
+    return " ".join(w)
+
+
+@pytest.fixture(scope="module")
+def corpus(prose):
+    """Originals, exact and near copies, boundaries of the threshold, a crowd of copies, empty and very long texts."""
+    docs = [(i, prose(60 + i % 40, i)) for i in range(60)]
+    docs += [(100 + i, docs[i][1].upper() if i % 2 else docs[i][1]) for i in range(10)]
+    docs += [(200 + 10 * i + n, edited(docs[20 + i][1], n, i * 10 + n)) for i in range(6) for n in range(1, 6)]
+    docs += [(300 + i, edited(docs[40][1], 1, 900 + i)) for i in range(40)]
+    docs += [(400, None), (401, ""), (402, " \n\t"), (403, "two words"), (404, "two words"), (405, prose(30_000, 77)), (406, "Two  Words")]
+    return docs
+
+
+@pytest.mark.parametrize("digest", [True, False])
+def test_exact_dedup(spark, corpus, digest):
+    out = exact_dedup(frame(spark, corpus), digest=digest)
+    expected = brute.exact(corpus)
+    assert sorted(map(tuple, out.collect())) == [e if digest else e[:4] for e in expected]
+    assert exact_dedup(frame(spark, corpus).limit(0), digest=digest).count() == 0
+
+
+def test_exact_dedup_repeated_and_null_ids(spark):
+    out = {(r["doc_id"], r["kept"], r["group_size"]) for r in exact_dedup(frame(spark, [(1, "a"), (1, "a"), (None, "a"), (None, "b")]), digest=True).collect()}
+    assert out == {(1, True, 3), (None, False, 3), (None, True, 1)}
+
+
+def test_near_duplicates(spark, corpus):
+    out = near_duplicates(frame(spark, corpus))
+    assert sorted(map(tuple, out.collect())) == brute.near(corpus)
+    assert near_duplicates(frame(spark, corpus).limit(0)).count() == 0
+    kept = keep_one(frame(spark, corpus), 85)
+    assert kept.columns == frame(spark, []).columns
+    assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in brute.near(corpus) if r[3]}
+
+
+def test_near_duplicates_chain_of_a_crowd(spark, prose):
+    """Each text near the next, the ends far apart, so one bucket holds links that its least member lacks."""
+    text, docs = prose(120, 3), []
+    for i in range(30):
+        docs.append((i, text))
+        text = edited(text, 1, i)
+    assert sorted(map(tuple, near_duplicates(frame(spark, docs)).collect())) == brute.near(docs)
+
+
+def test_components(spark):
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30)) and 200 not in got
+
+
+def test_contamination(spark, prose):
+    bench = [(i, prose(14 + i, 500 + i)) for i in range(12)] + [(50, "Short Item here"), (51, None), (52, ""), (53, "one"), (54, prose(14, 500))]
+    docs = [(i, prose(80, i)) for i in range(20)]
+    docs += [(100 + i, prose(20, i) + " " + bench[i][1] + ". " + prose(15, i + 1)) for i in range(12)]
+    docs += [(200 + n, " ".join(bench[3][1].split(" ")[:n])) for n in (9, 10, 11)]
+    docs += [(300, "a short ITEM, here"), (301, None), (302, ""), (303, "one"), (304, bench[2][1] + " " + bench[2][1]), (303, "one"), (305, prose(20_000, 9) + " " + bench[1][1])]
+    got = contamination(frame(spark, docs), spark.createDataFrame(bench, "item_id long, text string"))
+    assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in got.collect()], key=str) == brute.leaks(docs, bench)
+    spans = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in got.collect()}
+    assert spans[300] == [(1, 4)] and spans[200 + 9] == []
+    assert all(sum(e - s for s, e in spans[d]) == n for d, _, n, _ in brute.leaks(docs, bench))
+    assert contamination(frame(spark, docs).limit(0), spark.createDataFrame(bench, "item_id long, text string")).count() == 0
+    assert contamination(frame(spark, docs), spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").count() == 0
+
+
+def test_shard(spark, prose):
+    docs = [(i, prose(20 + i % 300, i), f"s{i % 3 if i % 2 else 0}") for i in range(600)] + [(1000 + i, "copy of one text") for i in range(50)]
+    docs += [(2000, None), (2001, ""), (None, "no id"), (2002, "twice"), (2002, "twice")]
+    out = shard(frame(spark, docs), 8).toPandas()
+    assert len(out) == len(docs) and set(out["shard"]) == set(range(8))
+    by = out.groupby("shard")
+    sizes = by["size"].sum()
+    assert sizes.max() / sizes.mean() < 1.05 and sizes.min() / sizes.mean() > 0.95
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in by)
+    copies = out[out["doc_id"].between(1000, 1049)]
+    assert copies["shard"].nunique() == 1 and (copies["text_crc32"] == zlib.crc32(b"copy of one text")).all()
+    assert out["size"].sum() == sum(len((d[1] or "").encode()) + 8 for d in docs)
+    assert set(out["law"]) == {"bytes"} and out["grown_shard"].isna().all()
+    assert shard(frame(spark, []), 8).count() == 0
+    assert set(shard(frame(spark, [(1, "a")]), 8).toPandas()["slot"]) == {0}
+
+
+def test_shard_splits_a_group_that_outweighs_its_share(spark):
+    docs = [(i, "the same text for a third of all rows") for i in range(400)] + [(1000 + i, f"text number {i} of the others") for i in range(800)]
+    sizes = shard(frame(spark, docs), 6).groupBy("shard").agg(F.sum("size").alias("b")).toPandas()["b"]
+    assert len(sizes) == 6 and sizes.max() / sizes.mean() < 1.15
+
+
+def test_mix(spark, prose):
+    docs = [(i, prose(50, i), "big" if i < 300 else f"small{i % 5}") for i in range(400)] + [(900, None, None), (901, "", None)]
+    out = mix(frame(spark, docs), 2.0, block_tokens=500).toPandas()
+    assert set(out["doc_id"]) == {d[0] for d in docs}
+    reads = out.groupby(out["source"].fillna("-"))["tokens"].sum() / out[out["epoch"] == 0].groupby(out["source"].fillna("-"))["tokens"].sum()
+    assert reads.max() <= 2.2 and reads["big"] == 1 and reads["small1"] > 1.0
+    for _, g in out.groupby(["source", "epoch"], dropna=False):
+        g = g.sort_values("start")
+        assert (g["start"].diff().dropna().to_numpy() == g["tokens"].to_numpy()[:-1]).all()
+    again = mix_rows(frame(spark, docs), 2.0).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    assert again.to_dict() == out.groupby("doc_id").size().to_dict()
+    assert mix(frame(spark, [])).count() == 0 and mix_rows(frame(spark, [])).count() == 0
+
+
+def test_mixture_targets(spark):
+    narrow = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate([("a", 800), ("b", 100), ("c", 60), ("d", 40)])], "doc_id long, source string, tokens long")
+    flat = temperature_mixture(narrow, max_repetition=3.0)
+    assert flat.repetition == pytest.approx(3.0, rel=1e-3)
+    weights = {r["source"]: r["weight"] for r in flat.sources.collect()}
+    assert sum(weights.values()) == pytest.approx(1.0) and weights["a"] > weights["b"] > weights["d"]
+    assert temperature_mixture(narrow, min_entropy=1.1).entropy == pytest.approx(1.1, abs=1e-3)
+    assert temperature_mixture(narrow, max_repetition=100.0).exponent == 0.0
+    assert temperature_mixture(narrow, min_entropy=0.1).exponent == 1.0
+    fixed = mix(spark.createDataFrame([(i, "x y z", "a") for i in range(50)], "doc_id long, text string, source string"), None or 5.0, budget_tokens=100)
+    assert 96 <= fixed.agg(F.sum("tokens")).first()[0] <= 104
+
+
+def test_toxicity(spark, prose):
+    bad = ["zorgling", "quibblewort", "snarfle"]
+    docs = [(i, prose(40, i) + (" " + bad[i % 3] + "er " + prose(5, i + 1) if i % 4 == 0 else "")) for i in range(600)]
+    docs += [(1000, None), (1001, ""), (1002, "Zorglings! SNARFLED")]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)] + [(5, None), (None, 1), (1, 0)], "doc_id long, toxic int")
+    out = toxicity(frame(spark, docs), labels).toPandas().set_index("doc_id")
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert [i for i in out.index if out.loc[i, "held_out"] and i < 600] == held
+    assert sum(out.loc[i, "predicted"] == int(i % 4 == 0) for i in held) >= 0.97 * len(held)
+    assert out["score"].between(0, 1).all() and out.loc[1000, "score"] == out.loc[1001, "score"] < 0.5
+    assert out.loc[1002, "predicted"] == 1
+    clean = {r["doc_id"] for r in keep_clean(frame(spark, docs), labels).collect()}
+    assert clean == set(out.index[out["predicted"] == 0])
+    assert toxicity(frame(spark, docs).limit(0), labels).count() == 0
+    one_class = toxicity(frame(spark, docs), labels.where("toxic = 0")).toPandas()
+    assert (one_class["predicted"] == 0).all()
+
+
+def test_base_spans_fuzz():
+    r = random.Random(2)
+    alphabet = "ab1239.@+- ()%_255\n0é"
+    for _ in range(20_000):
+        text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 40)))
+        assert base_spans(text) == brute.pii(text), text
+    assert base_spans("a" * 300_000) == [] and base_spans("1" * 300_000) == []
+
+
+def test_pii_bootstrap(spark, prose):
+    docs = [(i, f"{prose(10, i)} reach me on +1 (555) 010-{1000 + i}, {prose(5, i)}") for i in range(30)]
+    docs += [(100, "also reach me on 555 010 7777, please"), (101, "the code 555 010 8888, is a part number"), (102, None), (103, "mail a.b@example.org from 10.0.0.7 or 999.1.1.1"), (104, "4111 1111 1111 1111 but not 4111 1111 1111 1112")]
+    out = {r["doc_id"]: r for r in find_pii(frame(spark, docs)).select("doc_id", "base", "more", span_list(F.concat("base", "more")).alias("all")).collect()}
+    for i, t in docs:
+        assert [tuple(x) for x in out[i]["base"]] == brute.pii(t)
+    assert [(x["kind"], docs[30][1][x["start"] : x["end"]]) for x in out[100]["more"]] == [("phone", "555 010 7777")]
+    assert out[101]["more"] == [] and out[102]["all"] == ""
+    assert redact(frame(spark, docs)).where("doc_id = 103").first()["text"] == "mail [email] from [ip] or 999.1.1.1"
+    assert find_pii(frame(spark, docs).limit(0)).count() == 0
+
+
+def test_warc_round_trip(spark, prose, tmp_path):
+    big = prose(40_000, 1)
+    pages = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, None), (4, "http://a/4", ""), (5, "x", "short"), (6, "y", "short"), (7, "z", "é" * 60), (8, "z2", "é" * 60), (0, "u", big), (9, "a\r\nb", "w" * 100), (9, "again", "w" * 100)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    out = {(r["page_id"], r["record_type"], r["refers_to"]): r for r in warc.warc_round_trip(df, str(tmp_path / "w")).collect()}
+    assert set(out) == {(0, "response", None), (1, "revisit", 0), (2, "revisit", 0), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (7, "response", None), (8, "revisit", 7), (9, "response", None)}
+    for (i, _, _), r in out.items():
+        payload = (dict((p[0], p[2]) for p in pages)[i] or "").encode()
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(payload), hashlib.sha256(payload).hexdigest())
+    assert warc.warc_round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_segments():
+    payload = bytes(range(256)) * 1000
+    digest = hashlib.sha256(payload).hexdigest()
+    import io
+
+    records = list(warc.read_records(io.BytesIO(b"".join(warc.page_records("7", "http://x", payload, digest, None)))))
+    assert [int(h["WARC-Segment-Number"]) for h, _ in records] == list(range(1, len(records) + 1)) and len(records) > 5
+    block = b"".join(b for _, b in records)
+    assert len(block) == int(records[-1][0]["WARC-Segment-Total-Length"])
+    assert warc.unframe_chunks(block.partition(b"\r\n\r\n")[2]) == payload
+    assert warc.unframe_chunks(warc.frame_chunks(b"")) == b""
+    with pytest.raises(ValueError):
+        warc.unframe_chunks(b"5\r\nabc")
+
+
+def test_warc_missing_segment_fails(spark, tmp_path, prose):
+    payload = prose(40_000, 2).encode()
+    records = list(warc.page_records("1", "http://x", payload, hashlib.sha256(payload).hexdigest(), None))
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(records[:1] + records[2:]))
+    with pytest.raises(Exception, match="segments missing"):
+        warc.read_archives(spark.createDataFrame([(str(tmp_path / "a.warc.gz"),)], "path string")).collect()
+
+
+def test_licenses(spark, prose):
+    docs = [(i, prose(60, i)) for i in range(30)]
+    docs += [
+        (100, prose(10, 1) + "\nReleased under the MIT License.\n" + prose(10, 2)),
+        (101, "Licensed under the Apache License, Version 2.0."),
+        (102, "This work is licensed under the GNU General Public License, version 3."),
+        (103, "Licensed under CC BY-NC 4.0. All rights reserved. CC-BY"),
+        (104, "the mit released no license under which"),
+        (105, None),
+        (106, ""),
+        (107, "All; Rights\nreserved" + " pad" * 30_000),
+    ]
+    out = {r["doc_id"]: r for r in scan_licenses(frame(spark, docs)).collect()}
+    phrases = [(("cc", "by"), "cc-by"), (("general", "public", "license"), "gpl"), (("all", "rights", "reserved"), "reserved")]
+    for i, t in docs:
+        w = brute.words(t)
+        places = [(k, label) for p, label in phrases for k in range(len(w)) if tuple(w[k : k + len(p)]) == p]
+        r = out[i]
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(w), len(places), sorted({x for _, x in places}))
+        assert (r["first_word"], r["last_word"]) == (min([k for k, _ in places], default=None), max([k for k, _ in places], default=None))
+        assert 0 <= r["score"] <= 1
+    assert out[100]["labels"] == ["mit"] and out[101]["labels"] == ["apache-2.0"] and out[102]["labels"] == ["gpl", "gpl-3.0"]
+    assert out[103]["labels"] == ["cc-by", "cc-by-nc-4.0", "reserved"] and out[104]["labels"] == []
+    assert all(not out[i]["labels"] for i in range(30))
+    assert scan_licenses(frame(spark, docs).limit(0)).count() == 0
+
+
+def test_line_dedup(spark, prose):
+    lines = [prose(14, i) for i in range(80)]
+    docs = [(i, "\n".join(lines[(i * 7 + k) % 80] for k in range(5))) for i in range(20)]
+    docs += [(100 + i, edited(lines[i], 1, i) + "\n\n  " + lines[i + 1] + "  ") for i in range(40)]
+    docs += [(200, None), (201, ""), (202, "   \n"), (203, "ab"), (204, "ab"), (205, prose(4000, 6)), (206, prose(4000, 6) + " more")]
+    got = line_components(frame(spark, docs)).select("doc_id", "line_no", "class_size", "kept")
+    assert sorted(map(tuple, got.collect())) == brute.line_classes(docs)
+    assert line_components(frame(spark, docs).limit(0)).count() == 0
+    cut = {r["doc_id"]: r["text"] for r in drop_repeated_lines(frame(spark, docs)).collect()}
+    assert cut[203] == "ab" and cut[204] == "" and cut[200] is None and len(cut) == len(docs)
