@@ -45,9 +45,20 @@ def band(samples: str, i: int) -> Column:
 
 
 def grams_of(line: Column) -> Column:
-    """The set of character 5-grams, as 64-bit hashes; a shorter line is one gram."""
-    grams = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-    return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
+    """The set of character 5-grams, as 64-bit hashes; a shorter line is one gram.
+
+    Cut from UTF-32, where the n-th character has a fixed place, so each gram is a plain copy of twenty bytes.
+    """
+    wide = F.encode(line, "UTF-32")
+    grams = _let(
+        wide, lambda w: F.transform(F.sequence(F.lit(0), (F.octet_length(w) / 4).cast("int") - SHINGLE), lambda i: F.xxhash64(F.substring(w, (i * 4 + 1).cast("int"), F.lit(4 * SHINGLE))))
+    )
+    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(F.array_distinct(grams))
+
+
+def _key(a: str, b: str) -> Column:
+    """128 bits of a line's hashes as text."""
+    return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -67,7 +78,7 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
 
     Lines are equal or linked when their trimmed texts' sets of 5-character shingles have Jaccard similarity of at least
     `similarity`; a class is a connected component, and its line of least (doc_id, line_no) is kept.  `line_class` is
-    the hex MD5 of the least line key in the class.
+    the least line key (128 bits in hex) in the class.
 
     Equal lines become one key first, so boilerplate on a third of all lines is one row per task before the shuffle.
     Round 1 pairs every member of a bucket with the bucket's least key.  Round 2 takes buckets that still hold several
@@ -76,58 +87,84 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     and bucket.  All pairs are confirmed on exact gram sets.
 
     Null and empty texts have no lines to compare; blank lines belong to no class and are left out; lines with fewer
-    than three samples only match equal lines; repeated rows are further occurrences; a null id comes first; an empty table
+    than three samples only match equal lines; rows that repeat an id share
+    their places and are kept or dropped together; a null id comes first; an empty table
     gives an empty result; other columns are never read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = lines_of(docs).where("line <> ''").select("doc_id", "line_no", F.unhex(F.md5("line")).alias("key"), "line")
-    # equal lines become one row first; as plain columns the bands are combined before the shuffle
-    signed = keyed.select("key", samples_of(F.col("line")).alias("least")).select("key", *[band("least", i).alias(f"b{i}") for i in range(BANDS)])
-    distinct = signed.groupBy("key").agg(*[F.any_value(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
-    member = distinct.select("key", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band")).where("band is not null")
+    integral = dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
+    # as one decimal, (doc_id, line_no) is combined by hash aggregates; null ids come first
+    place = (F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(-1 << 63).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(31,0)")
+    keyed = (
+        lines_of(docs)
+        .where("line <> ''")
+        .select("doc_id", "line_no", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), (place if integral else F.struct("doc_id", "line_no")).alias("place"))
+    )
+    # equal lines become one row first; as plain columns of fixed width, everything is combined by hash before the shuffle
+    signed = keyed.select("k1", "k2", samples_of(F.col("line")).alias("least")).select("k1", "k2", *[band("least", i).alias(f"b{i}") for i in range(BANDS)])
+    distinct = signed.groupBy("k1", "k2").agg(*[F.any_value(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
+    member = distinct.select("k1", "k2", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band")).where("band is not null")
     # one shuffle by band serves both the count and the join; its rows are 24 bytes and are read in a stream
     member = member.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band")
-    crowded = member.groupBy("band").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialise(member.join(crowded.drop("n").hint("shuffle_merge"), "band"), "line-shared")
-    keys = materialise(shared.select("key").distinct(), "line-keys")
-    texts = keyed.select("key", "line").join(maybe_broadcast(keys, keys.count(), 32), "key", "left_semi").groupBy("key").agg(F.any_value("line").alias("line"))
-    texts = materialise(texts, "line-texts")
+    crowded = member.groupBy("band").agg(F.min("k1").alias("p1"), F.min_by("k2", "k1").alias("p2"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = member.join(crowded.drop("n").hint("shuffle_hash"), "band")  # a row per crowded band, so a partition's table is small
+    shared = materialise(shared.select("band", "k1", "k2", _key("k1", "k2").alias("key"), _key("p1", "p2").alias("pivot")), "line-shared")
+    keys = materialise(shared.select("k1", "k2", "key").distinct(), "line-keys")
+    texts = keyed.select("k1", "k2", "line").join(maybe_broadcast(keys.select("k1", "k2"), keys.count(), 40), ["k1", "k2"], "left_semi")
+    texts = materialise(texts.groupBy("k1", "k2").agg(F.any_value("line").alias("line")).select(_key("k1", "k2").alias("key"), "line"), "line-texts")
     stars = materialise(shared.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "line-stars")
     links = materialise(_confirm(stars, texts, similarity), "line-links")
     component = connected_components(links)
 
-    labelled = shared.select("key", "band").join(component, F.col("key") == F.col("node"), "left").select("key", "band", F.coalesce("component", "key").alias("component"))
-    split = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    loose = labelled.join(split, "band")
-    finer = loose.join(shared.select("key", F.col("band").alias("second")), "key").where("band < second")
-    centres = finer.groupBy("band", "second").agg(F.max(F.struct("key", "component")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    def by_hash(components: DataFrame) -> DataFrame:
+        return keys.join(components, F.col("key") == F.col("node")).select("k1", "k2", "component")
+
+    # from here two longs stand for a line, and one for its component, which hash aggregates and sorts take cheaply
+    owner = by_hash(component).select("k1", "k2", F.xxhash64("component").alias("c"))
+    labelled = materialise(
+        shared.select("k1", "k2", "band").join(owner, ["k1", "k2"], "left").select("k1", "k2", "band", F.coalesce("c", F.xxhash64(_key("k1", "k2"))).alias("c")), "line-labelled"
+    )
+    split = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+    loose = labelled.join(split.hint("shuffle_hash"), "band")
+    finer = loose.join(labelled.select("k1", "k2", F.col("band").alias("second")), ["k1", "k2"]).where("band < second")
+    centres = finer.groupBy("band", "second").agg(F.max("k1").alias("m1"), F.max_by("k2", "k1").alias("m2"), F.max_by("c", "k1").alias("mc"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = (
-        finer.join(centres, ["band", "second"])
-        .where(F.col("component") != F.col("c.component"))
-        .select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b"))
+        finer.join(centres.drop("n").hint("shuffle_hash"), ["band", "second"])
+        .where("c <> mc")
+        .select("k1", "k2", "m1", "m2")
+        .distinct()
+        .select(_key("k1", "k2").alias("x"), _key("m1", "m2").alias("y"))
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
     again = materialise(again, "line-again")
     if not again.isEmpty():
         more = materialise(_confirm(again, texts, similarity), "line-more")
-        if not more.isEmpty():
-            component = connected_components(links.unionByName(more))
-
-    placed = keyed.select("doc_id", "line_no", "key")
-    labelled = placed.join(component, F.col("key") == F.col("node"), "left").select("doc_id", "line_no", F.coalesce("component", "key").alias("class"))
-    labelled = materialise(labelled, "line-placed")
-    classes = (
-        labelled.groupBy("class")
-        .agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("class_size"))
-        .where("class_size > 1")
-    )
-    return labelled.join(classes, "class", "left").select(
+        if not more.isEmpty():  # these join components, so a graph of components is enough
+            of = component.select("node", "component")
+            ends = more.join(of.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
+            ends = materialise(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "line-ends")
+            joined = connected_components(ends, "ca", "cb").withColumnsRenamed({"node": "old", "component": "new"})
+            nodes = component.unionByName(ends.select(F.col("a").alias("node"), F.col("ca").alias("component"))).unionByName(ends.select(F.col("b").alias("node"), F.col("cb").alias("component")))
+            component = nodes.distinct().join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+            component = materialise(component, "line-components")
+
+    # classes are found per key; only keys of classes with several lines go back to the lines
+    per_key = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    per_key = materialise(per_key, "line-keys-all")
+    owner = materialise(by_hash(component), "line-owner")
+    named = per_key.join(maybe_broadcast(owner, keys.count(), 80), ["k1", "k2"], "left").where("n > 1 or component is not null").withColumn("class", F.coalesce("component", _key("k1", "k2")))
+    named = materialise(named.select("k1", "k2", "n", "first", "class"), "line-named")
+    classes = named.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("first").alias("class_first"))
+    repeated = materialise(named.select("k1", "k2", "class").join(classes, "class"), "line-repeated")
+    side = maybe_broadcast(repeated.withColumnsRenamed({"k1": "r1", "k2": "r2"}), repeated.count(), 120)
+    return keyed.join(side, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left").select(
         "doc_id",
         "line_no",
-        F.lower(F.hex("class")).alias("line_class"),
+        F.coalesce("class", _key("k1", "k2")).alias("line_class"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        (F.col("first").isNull() | F.struct("doc_id", "line_no").eqNullSafe(F.col("first"))).alias("kept"),
+        (F.col("class_first").isNull() | (F.col("place") == F.col("class_first"))).alias("kept"),
     )
 
 
