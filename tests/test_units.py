@@ -281,3 +281,27 @@ def test_stateful_late_data():
     out = [next(step(("u", "works_at"), iter([row(*r)]), s)) for r in ((1, "Helix", "2024-02-01"), (2, "Vantor", "2024-05-01"), (3, "Helix", "2024-01-01"), (4, "Quill", "2024-03-01"))]
     assert [o["decision"][0] for o in out] == ["COMMIT", "SUPERSEDE", "SKIP", "SUPERSEDE"]
     assert [k[:3] for k in json.loads(s.get[0])] == [["2024-01-01T00:00:00", "2024-03-01T00:00:00", "Helix"], ["2024-03-01T00:00:00", "2024-05-01T00:00:00", "Quill"], ["2024-05-01T00:00:00", None, "Vantor"]]
+
+
+def test_recall_helpers():
+    from lorekeep.operators import recall
+
+    long = "x " * 300 + "the harbour and the lantern " + "y " * 300
+    assert "harbour and the lantern" in recall.snippet(long, ["lantern", "harbour"], 80) and recall.snippet("short", ["a"]) == "short"
+    cache = recall.ResultCache(2)
+    for i in range(3):
+        cache.put("u", str(i), 1, i)
+    assert cache.get("u", "0", 1) is None and cache.get("u", "2", 1) == 2 and cache.get("u", "2", 2) is None
+    cache.invalidate("u")
+    assert cache.get("u", "2", 1) is None
+    near = recall.SemanticCache()
+    near.put("a", "where does nora work", 7)
+    assert near.get("a", "where does nora work") == 7 and near.get("b", "where does nora work") is None and near.get("a", "capital of france") is None
+    m = np.eye(4)
+    assert [c for c, _ in recall.prototypes(m, np.array([0.1, 3.0, 0.0, 2.0]), 2)] == [1, 3]
+
+
+def test_kinship_and_scripts():
+    found = extraction.kinship_bullets("Family:\n- Ada Quist (sister)\n- brother: Tom Quist\nWork\n- Someone (boss)")
+    assert found == [("sister", "Ada Quist"), ("brother", "Tom Quist")]
+    assert extraction.segment_by_script("hello 你好, world") == [("en", "hello"), ("zh", "你好,"), ("en", "world")]
