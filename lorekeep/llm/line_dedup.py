@@ -120,16 +120,22 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
         return keys.join(components, F.col("key") == F.col("node")).select("k1", "k2", "component")
 
     # from here two longs stand for a line, and one for its component, which hash aggregates and sorts take cheaply
-    owner = by_hash(component).select("k1", "k2", F.xxhash64("component").alias("c"))
+    n_keys = keys.count()
+    owner = maybe_broadcast(by_hash(component).select("k1", "k2", F.xxhash64("component").alias("c")), n_keys, 40)
     labelled = materialise(
         shared.select("k1", "k2", "band").join(owner, ["k1", "k2"], "left").select("k1", "k2", "band", F.coalesce("c", F.xxhash64(_key("k1", "k2"))).alias("c")), "line-labelled"
     )
-    split = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    loose = labelled.join(split.hint("shuffle_hash"), "band")
-    finer = loose.join(labelled.select("k1", "k2", F.col("band").alias("second")), ["k1", "k2"]).where("band < second")
-    centres = finer.groupBy("band", "second").agg(F.max("k1").alias("m1"), F.max_by("k2", "k1").alias("m2"), F.max_by("c", "k1").alias("mc"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    split = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", F.lit(True).alias("open"))
+    # a key has at most ten bands, so the pairs of an open one with another are made within its row
+    per_key = labelled.join(split.hint("shuffle_hash"), "band", "left").groupBy("k1", "k2", "c").agg(F.collect_list(F.struct("band", "open")).alias("bands"))
+    per_key = per_key.where(F.exists("bands", lambda x: x["open"].isNotNull()))
+    pair = F.flatten(
+        F.transform("bands", lambda x: F.transform(F.filter("bands", lambda y: (x["open"].isNotNull() | y["open"].isNotNull()) & (x["band"] < y["band"])), lambda y: F.xxhash64(x["band"], y["band"])))
+    )
+    finer = per_key.select("k1", "k2", "c", F.explode(pair).alias("cell"))
+    centres = finer.groupBy("cell").agg(F.max("k1").alias("m1"), F.max_by("k2", "k1").alias("m2"), F.max_by("c", "k1").alias("mc"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = (
-        finer.join(centres.drop("n").hint("shuffle_hash"), ["band", "second"])
+        finer.join(centres.drop("n").hint("shuffle_hash"), "cell")
         .where("c <> mc")
         .select("k1", "k2", "m1", "m2")
         .distinct()
@@ -154,7 +160,7 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     per_key = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
     per_key = materialise(per_key, "line-keys-all")
     owner = materialise(by_hash(component), "line-owner")
-    named = per_key.join(maybe_broadcast(owner, keys.count(), 80), ["k1", "k2"], "left").where("n > 1 or component is not null").withColumn("class", F.coalesce("component", _key("k1", "k2")))
+    named = per_key.join(maybe_broadcast(owner, n_keys, 80), ["k1", "k2"], "left").where("n > 1 or component is not null").withColumn("class", F.coalesce("component", _key("k1", "k2")))
     named = materialise(named.select("k1", "k2", "n", "first", "class"), "line-named")
     classes = named.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("first").alias("class_first"))
     repeated = materialise(named.select("k1", "k2", "class").join(classes, "class"), "line-repeated")
