@@ -54,7 +54,7 @@ def nth_weekday(year: int, month: int, weekday: int, n: int) -> date:
     return last - timedelta((last.weekday() - weekday) % 7)
 
 
-_FIXED = {"christmas": (12, 25), "christmas eve": (12, 24), "new year's day": (1, 1), "new years": (1, 1), "new year's eve": (12, 31), "halloween": (10, 31), "valentine's day": (2, 14), "independence day": (7, 4), "boxing day": (12, 26), "labour day": (5, 1)}
+_FIXED = {"valentine's day": (2, 14), "labour day": (5, 1), "independence day": (7, 4), "halloween": (10, 31), "christmas eve": (12, 24), "christmas": (12, 25), "boxing day": (12, 26), "new year's eve": (12, 31), "new years": (1, 1), "new year's day": (1, 1)}
 _NTH = {"thanksgiving": (11, 3, 4), "memorial day": (5, 0, -1), "labor day": (9, 0, 1), "mother's day": (5, 6, 2), "father's day": (6, 6, 3), "martin luther king day": (1, 0, 3)}
 
 
@@ -81,15 +81,35 @@ def _valid(y: int, m: int, d: int) -> date | None:
         return None
 
 
-_ABSOLUTE = (
-    (re.compile(r"\b(\d{4})-(\d{2})-(\d{2})\b"), lambda m, now: (_valid(int(m[1]), int(m[2]), int(m[3])), "day")),
-    (re.compile(r"\b(\d{4})/(\d{1,2})/(\d{1,2})\b"), lambda m, now: (_valid(int(m[1]), int(m[2]), int(m[3])), "day")),
-    (re.compile(rf"\b{_M} (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})\b", re.I), lambda m, now: (_valid(int(m[3]), MONTHS[m[1].lower()], int(m[2])), "day")),
-    (re.compile(rf"\b(\d{{1,2}})(?:st|nd|rd|th)? (?:of )?{_M},? (\d{{4}})\b", re.I), lambda m, now: (_valid(int(m[3]), MONTHS[m[2].lower()], int(m[1])), "day")),
-    (re.compile(rf"\b{_M},? (\d{{4}})\b", re.I), lambda m, now: (_valid(int(m[2]), MONTHS[m[1].lower()], 1), "month")),
-    (re.compile(rf"\b{_M} (\d{{1,2}})(?:st|nd|rd|th)?\b", re.I), lambda m, now: (_valid(now.year, MONTHS[m[1].lower()], int(m[2])), "day")),
-    (re.compile(r"\b(\d{4})-(\d{2})\b(?!-)"), lambda m, now: (_valid(int(m[1]), int(m[2]), 1), "month")),
-    (re.compile(r"\b(?:in|since|until|during|of) ((?:19|20)\d{2})\b"), lambda m, now: (_valid(int(m[1]), 1, 1), "year")),
+_Y, _2, _DAY = r"(\d{4})", r"(\d{2})", r"(\d{1,2})"
+_TH = r"(?:th|st|nd|rd)?"
+
+
+def _on(order: str):
+    """A resolver that reads year, month and day from the groups named by the letters of `order`."""
+
+    def resolve(m, now: date):
+        part = dict(zip(order, m.groups()))
+        month = part.get("m", "1")
+        month = int(month) if month.isdigit() else MONTHS[month.lower()]
+        grain = "day" if "d" in part else "month" if "m" in part else "year"
+        return _valid(int(part.get("y", now.year)), month, int(part.get("d", 1))), grain
+
+    return resolve
+
+
+_ABSOLUTE = tuple(
+    (re.compile(rf"\b{regex}", re.I), _on(order))
+    for order, regex in (
+        ("ymd", rf"{_Y}-{_2}-{_2}\b"),
+        ("ymd", rf"{_Y}/{_DAY}/{_DAY}\b"),
+        ("mdy", rf"{_M} {_DAY}{_TH},? {_Y}\b"),
+        ("dmy", rf"{_DAY}{_TH} (?:of )?{_M},? {_Y}\b"),
+        ("my", rf"{_M},? {_Y}\b"),
+        ("md", rf"{_M} {_DAY}{_TH}\b"),
+        ("ym", rf"{_Y}-{_2}\b(?!-)"),
+        ("y", r"(?:in|since|until|during|of) ((?:19|20)\d{2})\b"),
+    )
 )
 
 
@@ -116,11 +136,9 @@ def _weekday(m, now: date, direction: int):
 
 _N = r"(\d+|" + "|".join(NUMBERS) + r")(?: of)?"
 _D = "(" + "|".join(WEEKDAYS) + ")"
+_NEAR = {"day before yesterday": -2, "yesterday": -1, "today": 0, "tomorrow": 1}
 _RELATIVE = (
-    (re.compile(r"\bday before yesterday\b", re.I), lambda m, now: (now - timedelta(2), "day")),
-    (re.compile(r"\byesterday\b", re.I), lambda m, now: (now - timedelta(1), "day")),
-    (re.compile(r"\btoday\b", re.I), lambda m, now: (now, "day")),
-    (re.compile(r"\btomorrow\b", re.I), lambda m, now: (now + timedelta(1), "day")),
+    (re.compile(r"\b(day before yesterday|yesterday|today|tomorrow)\b", re.I), lambda m, now: (now + timedelta(_NEAR[m[1].lower()]), "day")),
     (re.compile(rf"\b(?:a )?{_N} (day|week|month|year)s? ago\b", re.I), lambda m, now: _ago(m, now, -1)),
     (re.compile(rf"\bin (?:a )?{_N} (day|week|month|year)s?\b", re.I), lambda m, now: _ago(m, now, 1)),
     (re.compile(r"\blast week\b", re.I), lambda m, now: (now - timedelta(7), "week")),

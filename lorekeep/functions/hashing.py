@@ -33,16 +33,19 @@ def merkle_root(leaves: DataFrame, position: str = "position", digest: str = "di
     return level.first()["h"]
 
 
+def _pair_up(level: list[str]) -> list[str]:
+    """The next level; the last node is its own partner when their number is odd."""
+    partners = [*level[1::2], level[-1]]
+    return [hashlib.sha256(f"{a}{b}".encode()).hexdigest() for a, b in zip(level[::2], partners)]
+
+
 def merkle_proof(digests: list[str], index: int) -> list[tuple[str, str]]:
     """(side, sibling) from the leaf up, over a driver-side list of leaves."""
     proof, level = [], list(digests)
     while len(level) > 1:
-        if len(level) % 2:
-            level.append(level[-1])
-        sibling = index ^ 1
-        proof.append(("left" if sibling < index else "right", level[sibling]))
-        level = [hashlib.sha256((level[i] + level[i + 1]).encode()).hexdigest() for i in range(0, len(level), 2)]
-        index //= 2
+        partner = index + 1 if index % 2 == 0 else index - 1
+        proof.append(("left" if partner < index else "right", level[min(partner, len(level) - 1)]))
+        level, index = _pair_up(level), index // 2
     return proof
 
 

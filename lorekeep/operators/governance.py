@@ -37,9 +37,11 @@ def injection_risk(text: Column) -> Column:
     return F.when(low.rlike(BENIGN), "none").when(high, "high").when(medium, "medium").otherwise("none")
 
 
-def _iban_ok(s: str) -> bool:
-    s = re.sub(r"\s", "", s).upper()
-    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+def _iban_ok(found: str) -> bool:
+    """Mod-97 check: country and check digits moved to the end, letters read as 10 to 35."""
+    plain = "".join(found.split()).upper()
+    turned = plain[4:] + plain[:4]
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
 def _luhn_ok(s: str) -> bool:
