@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ SAMPLES = 12
 #: So many consecutive samples make a band.
 RUN = 3
 BANDS = SAMPLES - RUN + 1
+#: Sketches of lines in buckets that hold several components have so many words of 64 bits.
+SKETCH_WORDS = 4
+#: Members of such a bucket are compared in blocks of this many.
+BLOCK = 256
 
 
 def _let(value: Column, body) -> Column:
@@ -63,6 +69,7 @@ def _key(a: str, b: str) -> Column:
 
 def _confirm(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The (a, b) whose lines' gram sets have the Jaccard similarity.  Lines travel as text, which is smaller than their sets."""
+    texts = texts.select("key", "line")
     left = pairs.join(texts.withColumnsRenamed({"key": "a", "line": "la"}).hint("shuffle_merge"), "a")
     both = left.join(texts.withColumnsRenamed({"key": "b", "line": "lb"}).hint("shuffle_merge"), "b")
     # one expression, so that the optimizer can't compute the sets once per use
@@ -73,6 +80,52 @@ def _confirm(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return both.where(near).select("a", "b")
 
 
+def sketch(grams: Column) -> Column:
+    """(size, s0 .. s3): how many grams, and their odd sketch: bit g mod 256 is flipped for each gram g."""
+    word = lambda i: F.aggregate(F.filter(grams, lambda g: g.bitwiseAND(F.lit(SKETCH_WORDS - 1)) == i), F.lit(0).cast("long"), lambda z, g: z.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(g, 2).bitwiseAND(F.lit(63)).cast("int"))))
+    return F.struct(F.size(grams).alias("size"), *[word(i).alias(f"s{i}") for i in range(SKETCH_WORDS)])
+
+
+def _crossing(rows: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) of different components in one bucket, by rows of (band, k1, k2, c, size, sketch), that may be linked.
+
+    The sieve loses no link: sets of this similarity differ in at most (1 - similarity) / (1 + similarity) of the sum of
+    their sizes, and each element in one of them only flips one bit, so sketches differ in no more bits; their sizes have a
+    ratio of at least `similarity`, so both lie in one class of sizes or in classes next to each other.  A bucket's class is
+    compared with itself and the next in blocks of BLOCK members, each a row of its own, so no bucket is a single task's load.
+    """
+    step = -math.log(similarity) if similarity < 1 else 1e-9
+    rows = rows.withColumn("cls", F.floor(F.log("size") / F.lit(step) + F.lit(1e-9)).cast("long"))
+    counted = rows.groupBy("band", "cls").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    # a class meets itself (d = 0) and the next larger one (d = 1); classes without a partner make no rows
+    blocks = counted.select("band", "cls", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "lo", "hi")
+    following = blocks.select("band", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("next_blocks"))
+    former = blocks.select("band", (F.col("cls") + 1).alias("cls"), F.col("blocks").alias("last_blocks"))
+    table = blocks.join(following, ["band", "cls"], "left").join(former, ["band", "cls"], "left").where("lo <> hi or next_blocks is not null or last_blocks is not null")
+    rows = rows.join(table, ["band", "cls"])
+    own = F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int")
+    kept = ["k1", "k2", "c", "size", *[f"s{i}" for i in range(SKETCH_WORDS)]]
+    inner = F.col("lo") != F.col("hi")
+
+    def cells(when: Column, lo: Column, hi: Column, cls: str, d: int, mine_first: bool) -> Column:
+        """(cls, d, x, y) for the other side's blocks from lo to hi; none unless `when`."""
+        other = lambda i: F.struct(F.expr(cls).alias("cls"), F.lit(d).alias("d"), (F.col("own") if mine_first else i).alias("x"), (i if mine_first else F.col("own")).alias("y"))
+        return F.when(when, F.transform(F.sequence(lo, hi), other)).otherwise(F.array().cast("array<struct<cls:bigint,d:int,x:int,y:int>>"))
+
+    zero = F.lit(0)
+    rows = rows.withColumn("own", own)
+    first = F.concat(cells(inner, F.col("own"), F.col("blocks") - 1, "cls", 0, True), cells(F.col("next_blocks").isNotNull(), zero, F.coalesce("next_blocks", F.lit(1)) - 1, "cls", 1, True))
+    second = F.concat(cells(inner, zero, F.col("own"), "cls", 0, False), cells(F.col("last_blocks").isNotNull(), zero, F.coalesce("last_blocks", F.lit(1)) - 1, "cls - 1", 1, False))
+    left = rows.select("band", F.explode(first).alias("cell"), *kept).select("band", "cell.*", *[F.col(k).alias(f"{k}a") for k in kept])
+    right = rows.select("band", F.explode(second).alias("cell"), *kept).select("band", "cell.*", *[F.col(k).alias(f"{k}b") for k in kept])
+    differ = sum((F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(SKETCH_WORDS)), F.lit(0))
+    limit = (F.col("sizea") + F.col("sizeb")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    once = (F.col("d") == 1) | (F.col("x") < F.col("y")) | (F.col("k1a") < F.col("k1b")) | ((F.col("k1a") == F.col("k1b")) & (F.col("k2a") < F.col("k2b")))
+    near = left.join(right.hint("shuffle_merge"), ["band", "cls", "d", "x", "y"]).where((F.col("ca") != F.col("cb")) & once & (differ <= limit))
+    pairs = near.select("k1a", "k2a", "k1b", "k2b").distinct().select(_key("k1a", "k2a").alias("p"), _key("k1b", "k2b").alias("q"))
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
 def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line that isn't blank: doc_id, line_no, line_class, class_size, kept.
 
@@ -82,9 +135,8 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
 
     Equal lines become one key first, so boilerplate on a third of all lines is one row per task before the shuffle.
     Round 1 pairs every member of a bucket with the bucket's least key.  Round 2 takes buckets that still hold several
-    components and splits them by each further band of their members, with the greatest key as the centre, so unrelated
-    lines that share one bucket part instead of being paired with each other.  Both rounds give at most one pair per member
-    and bucket.  All pairs are confirmed on exact gram sets.
+    components and compares all their members across components, sketch against sketch (see `_crossing`), so no link whose
+    lines share a bucket is lost.  All pairs are confirmed on exact gram sets.
 
     Null and empty texts have no lines to compare; blank lines belong to no class and are left out; lines with fewer
     than three samples only match equal lines; rows that repeat an id share
@@ -111,7 +163,7 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     shared = materialise(shared.select("band", "k1", "k2", _key("k1", "k2").alias("key"), _key("p1", "p2").alias("pivot")), "line-shared")
     keys = materialise(shared.select("k1", "k2", "key").distinct(), "line-keys")
     texts = keyed.select("k1", "k2", "line").join(maybe_broadcast(keys.select("k1", "k2"), keys.count(), 40), ["k1", "k2"], "left_semi")
-    texts = materialise(texts.groupBy("k1", "k2").agg(F.any_value("line").alias("line")).select(_key("k1", "k2").alias("key"), "line"), "line-texts")
+    texts = materialise(texts.groupBy("k1", "k2").agg(F.any_value("line").alias("line")).select("k1", "k2", _key("k1", "k2").alias("key"), "line"), "line-texts")
     stars = materialise(shared.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "line-stars")
     links = materialise(_confirm(stars, texts, similarity), "line-links")
     component = connected_components(links)
@@ -125,25 +177,11 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     labelled = materialise(
         shared.select("k1", "k2", "band").join(owner, ["k1", "k2"], "left").select("k1", "k2", "band", F.coalesce("c", F.xxhash64(_key("k1", "k2"))).alias("c")), "line-labelled"
     )
-    split = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", F.lit(True).alias("open"))
-    # a key has at most ten bands, so the pairs of an open one with another are made within its row
-    per_key = labelled.join(split.hint("shuffle_hash"), "band", "left").groupBy("k1", "k2", "c").agg(F.collect_list(F.struct("band", "open")).alias("bands"))
-    per_key = per_key.where(F.exists("bands", lambda x: x["open"].isNotNull()))
-    pair = F.flatten(
-        F.transform("bands", lambda x: F.transform(F.filter("bands", lambda y: (x["open"].isNotNull() | y["open"].isNotNull()) & (x["band"] < y["band"])), lambda y: F.xxhash64(x["band"], y["band"])))
-    )
-    finer = per_key.select("k1", "k2", "c", F.explode(pair).alias("cell"))
-    centres = finer.groupBy("cell").agg(F.max("k1").alias("m1"), F.max_by("k2", "k1").alias("m2"), F.max_by("c", "k1").alias("mc"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = (
-        finer.join(centres.drop("n").hint("shuffle_hash"), "cell")
-        .where("c <> mc")
-        .select("k1", "k2", "m1", "m2")
-        .distinct()
-        .select(_key("k1", "k2").alias("x"), _key("m1", "m2").alias("y"))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
+    split = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+    open_rows = materialise(labelled.join(split.hint("shuffle_hash"), "band"), "line-open")
+    opened = open_rows.select("k1", "k2").distinct()
+    sketched = materialise(texts.join(opened, ["k1", "k2"], "left_semi").select("k1", "k2", _let(grams_of(F.col("line")), sketch).alias("z")).select("k1", "k2", "z.*"), "line-sketches")
+    again = _crossing(open_rows.join(sketched, ["k1", "k2"]), similarity).join(stars, ["a", "b"], "left_anti")
     again = materialise(again, "line-again")
     if not again.isEmpty():
         more = materialise(_confirm(again, texts, similarity), "line-more")

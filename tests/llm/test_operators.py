@@ -257,3 +257,14 @@ def test_line_dedup(spark, prose):
     assert line_components(frame(spark, docs).limit(0)).count() == 0
     cut = {r["doc_id"]: r["text"] for r in drop_repeated_lines(frame(spark, docs)).collect()}
     assert cut[203] == "ab" and cut[204] == "" and cut[200] is None and len(cut) == len(docs)
+
+
+def test_line_dedup_links_of_a_crowded_bucket(spark):
+    """All lines share their only band, each is linked with its copy alone, so nearly no link touches the bucket's least key."""
+    r = random.Random(11)
+    docs = []
+    for i in range(300):
+        line = "alphabetic bravissimo charlatan" + "".join(r.choice("bcdfghklmnprstvw") for _ in range(60 + i % 40))
+        docs.append((i, line + "\n" + line + "#"))
+    got = line_components(frame(spark, docs)).select("doc_id", "line_no", "class_size", "kept")
+    assert sorted(map(tuple, got.collect())) == brute.line_classes(docs)
