@@ -18,6 +18,9 @@ SAMPLES = 12
 #: So many consecutive samples make a band.
 RUN = 3
 BANDS = SAMPLES - RUN + 1
+#: Lines with fewer blanks than this also sign with their least grams of SHINGLE characters.
+FEW_BLANKS = 14
+GRAM_SAMPLES = 24
 #: Sketches of lines in buckets that hold several components have so many words of 64 bits.
 SKETCH_WORDS = 4
 #: Members of such a bucket are compared in blocks of this many.
@@ -62,6 +65,25 @@ def grams_of(line: Column) -> Column:
     return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(F.array_distinct(grams))
 
 
+def gram_bands(line: Column) -> Column:
+    """Buckets of a line with few word starts: runs of three among its 24 least grams.
+
+    Sets of Jaccard similarity 0.8 differ in at most a fifth of their union, which leaves three common grams in a row of
+    the sorted union if that has 6 to 24 members, so such links are always found; in a larger one all runs of the
+    sample are broken with a probability below 1e-3.  Smaller unions keep two in a row, and a single gram is its own run.
+    """
+
+    def runs(g: Column, length: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(g) - length), lambda i: F.xxhash64(F.lit(length), *[F.get(g, i + j) for j in range(length)]))
+
+    def of(g: Column) -> Column:
+        none = F.array().cast("array<bigint>")
+        n = F.size(g)
+        return F.concat(F.when(n >= 5, runs(g, 3)).otherwise(none), F.when(n.between(2, 5), runs(g, 2)).otherwise(none), F.when(n == 1, runs(g, 1)).otherwise(none))
+
+    return _let(F.slice(F.sort_array(grams_of(line)), 1, GRAM_SAMPLES), of)
+
+
 def _key(a: str, b: str) -> Column:
     """128 bits of a line's hashes as text."""
     return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
@@ -138,10 +160,10 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     components and compares all their members across components, sketch against sketch (see `_crossing`), so no link whose
     lines share a bucket is lost.  All pairs are confirmed on exact gram sets.
 
-    Null and empty texts have no lines to compare; blank lines belong to no class and are left out; lines with fewer
-    than three samples only match equal lines; rows that repeat an id share
-    their places and are kept or dropped together; a null id comes first; an empty table
-    gives an empty result; other columns are never read.
+    Null and empty texts have no lines to compare; blank lines belong to no class and are left out; lines with few
+    word starts (short ones, or texts without blanks) are also put into buckets by their grams; rows that repeat an id
+    share their places and are kept or dropped together; a null id comes first; an empty table gives an empty result;
+    other columns are never read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     integral = dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
@@ -156,6 +178,9 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     signed = keyed.select("k1", "k2", samples_of(F.col("line")).alias("least")).select("k1", "k2", *[band("least", i).alias(f"b{i}") for i in range(BANDS)])
     distinct = signed.groupBy("k1", "k2").agg(*[F.any_value(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
     member = distinct.select("k1", "k2", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band")).where("band is not null")
+    # texts of few words are short as a rule; equal ones become one row before their grams are cut
+    few = keyed.where(F.length("line") - F.length(F.translate("line", " ", "")) < FEW_BLANKS).groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
+    member = member.unionAll(few.select("k1", "k2", F.explode(gram_bands(F.col("line"))).alias("band")))
     # one shuffle by band serves both the count and the join; its rows are 24 bytes and are read in a stream
     member = member.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band")
     crowded = member.groupBy("band").agg(F.min("k1").alias("p1"), F.min_by("k2", "k1").alias("p2"), F.count(F.lit(1)).alias("n")).where("n > 1")

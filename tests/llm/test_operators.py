@@ -268,3 +268,16 @@ def test_line_dedup_links_of_a_crowded_bucket(spark):
         docs.append((i, line + "\n" + line + "#"))
     got = line_components(frame(spark, docs)).select("doc_id", "line_no", "class_size", "kept")
     assert sorted(map(tuple, got.collect())) == brute.line_classes(docs)
+
+
+def test_line_dedup_lines_of_few_words(spark, prose):
+    """Short lines, and long ones without blanks, each with a copy that lacks or changes a character at some place."""
+    r = random.Random(12)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 2000)]
+    docs = [(0, "aaaaa\naaaaaa\nabcdefgh\nabcdefghi\nabcdefghij\nabc\nabcd")]
+    for i in range(150):
+        line = prose(1 + i % 10, 3000 + i) if i % 3 else "".join(r.choice(letters) for _ in range(30 + 2 * i))
+        at = r.randrange(len(line))
+        docs.append((i + 1, line + "\n" + line[:at] + "#" + line[at + 1 :] + "\n" + line[:-1]))
+    got = line_components(frame(spark, docs)).select("doc_id", "line_no", "class_size", "kept")
+    assert sorted(map(tuple, got.collect())) == brute.line_classes(docs)
