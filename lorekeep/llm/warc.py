@@ -28,8 +28,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def record_id(page_id: str | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{digest}')}>"
+def record_id(page_id: str | None, digest: str, occurrence: str | None = None) -> str:
+    name = f"{page_id}/{digest}" if occurrence is None else f"{page_id}/{digest}/{occurrence}"
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, name)}>"
 
 
 def frame_chunks(payload: bytes, size: int = HTTP_CHUNK) -> bytes:
@@ -59,9 +60,12 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return squeeze.compress(head.encode() + block + b"\r\n\r\n") + squeeze.flush()
 
 
-def page_records(page_id: str | None, url: str | None, payload: bytes, digest: str, original: str | None) -> Iterator[bytes]:
-    """The records of one page: a revisit, or a response in as many segments as its block needs."""
-    own = record_id(page_id, digest)
+def page_records(page_id: str | None, url: str | None, payload: bytes, digest: str, original: str | None, occurrence: str | None = None) -> Iterator[bytes]:
+    """The records of one page: a revisit, or a response in as many segments as its block needs.
+
+    Of rows equal in id and digest all but one have an `occurrence`, so that no two records bear one record id.
+    """
+    own = record_id(page_id, digest, occurrence)
     common = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if url is not None and "\n" not in url and "\r" not in url:
         common.append(("WARC-Target-URI", url))
@@ -116,31 +120,35 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write one record per row, and return the manifest: path, records, bytes of every archive.
 
     Of rows with equal payloads of at least 100 bytes the smallest id is the response and the others revisit it; the
-    rows that share that id are all responses.  The choice is an aggregate over (digest, id), combined before the shuffle.
+    rows that share that id are all responses, told apart by an occurrence in their record ids (the place in the scan; none
+    for the first).  The choice is an aggregate over (digest, id), combined before the shuffle.
     Each task writes its own archives under a name taken from its partition, first under a private name and then moved,
     so a task that runs again replaces its files with equal ones.
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    first = (
-        rows.where(F.octet_length("payload") >= LEAST_REVISIT)
-        .groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("digest", "first")
+    rows = pages.select(
+        F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.monotonically_increasing_id().alias("tag")
+    )
+    grouped = materialise(
+        rows.select("digest", "page_id", F.octet_length("payload").alias("size"), "tag")
+        .groupBy("digest", "page_id")
+        .agg(F.max("size").alias("size"), F.min("tag").alias("lead"), F.count(F.lit(1)).alias("n")),
+        "warc-grouped",
+    )
+    first = grouped.where(f"size >= {LEAST_REVISIT}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("ids")).where("ids > 1").select("digest", "first")
+    revisit = F.coalesce(F.col("page_id") != F.col("first"), F.col("page_id").isNull() & F.col("first").isNotNull())
+    marks = materialise(
+        grouped.join(first, "digest", "left")
+        .select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), F.when(revisit, F.col("first")).alias("first"), F.when(F.col("n") > 1, F.col("lead")).alias("lead"))
+        .where("first is not null or lead is not null"),
+        "warc-marks",
     )
-    revisits = materialise(
-        rows.where(F.octet_length("payload") >= LEAST_REVISIT)
-        .select("digest", "page_id")
-        .join(first, "digest")
-        .where("page_id <> first or (page_id is null and first is not null)")
-        .select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "first")
-        .distinct(),
-        "warc-revisits",
+    # payloads stay where they were read while the marks are few enough to broadcast; beyond, this join shuffles them
+    choice = rows.join(maybe_broadcast(marks, marks.count(), 120), F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
+    occurrence = F.when(F.col("tag") != F.col("lead"), F.col("tag"))  # a string, as pandas would turn longs with nulls into doubles
+    ready = choice.select(
+        F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.col("first").cast("string").alias("original"), occurrence.cast("string").alias("occurrence")
     )
-    # payloads stay where they were read while the revisits are few enough to broadcast; beyond, this join shuffles them
-    choice = rows.join(maybe_broadcast(revisits, revisits.count(), 112), F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
-    ready = choice.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.col("first").cast("string").alias("original"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -162,11 +170,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             out, count, number = None, 0, number + 1
 
         for batch in batches:
-            for page_id, url, payload, digest, original in batch.itertuples(index=False):
+            for page_id, url, payload, digest, original, occurrence in batch.itertuples(index=False):
                 if out is None:
                     hidden = f"{root}/.{task.partitionId()}-{task.taskAttemptId()}-{number}"
                     out = system.open_output_stream(hidden, compression=None)
-                for record in page_records(page_id, url, bytes(payload), digest, original):
+                for record in page_records(page_id, url, bytes(payload), digest, original, occurrence):
                     out.write(record)
                     count += 1
                 if out.tell() >= ARCHIVE_BYTES:

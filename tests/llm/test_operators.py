@@ -281,3 +281,12 @@ def test_line_dedup_lines_of_few_words(spark, prose):
         docs.append((i + 1, line + "\n" + line[:at] + "#" + line[at + 1 :] + "\n" + line[:-1]))
     got = line_components(frame(spark, docs)).select("doc_id", "line_no", "class_size", "kept")
     assert sorted(map(tuple, got.collect())) == brute.line_classes(docs)
+
+
+def test_warc_repeated_large_rows(spark, prose):
+    big = prose(20_000, 4)
+    pages = [(1, "http://a/1", big), (1, "http://a/1", big), (1, "http://a/1", big), (2, "http://a/2", big), (None, "n", big + "x"), (None, "n", big + "x"), (3, None, "short"), (3, None, "short")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    out = warc.warc_round_trip(df).select("page_id", "record_type", "refers_to", "payload_bytes")
+    n = len(big.encode())
+    assert rows(out) == sorted([(1, "response", None, n)] * 3 + [(2, "revisit", 1, n)] + [(None, "response", None, n + 1)] * 2 + [(3, "response", None, 5)] * 2, key=str)
