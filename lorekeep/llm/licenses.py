@@ -37,8 +37,6 @@ TEMPLATES = (
 )
 #: Each template is indexed by so many of its rarest words.
 RARE_WORDS = 4
-#: A file is looked up by at most so many of its rarest index words; the rest can only repeat the same alignments.
-LOOKUPS = 24
 #: A placed template is accepted if this part of its words stand where they should.
 MIN_MATCH = 0.6
 _CHUNK = 1 << 20
@@ -137,7 +135,7 @@ def _place(v: np.ndarray, index: Index) -> tuple[set[str], float]:
     """Labels of the templates placed in one document (vocabulary numbers by position), and the best match."""
     present = [w for w in np.unique(v).tolist() if w in index.postings]
     votes: dict[tuple[int, int], int] = defaultdict(int)
-    for w in sorted(present, key=lambda w: (-index.idf[w], w))[:LOOKUPS]:
+    for w in present:  # at most RARE_WORDS a template, and each may hold the only votes of one
         for at in np.flatnonzero(v == w).tolist():
             for t, p in index.postings[w]:
                 votes[t, at - p] += 1
@@ -159,7 +157,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels (sorted arrays), score.
 
     A first scan counts in how many documents each licence word occurs (one row per task and word of a fixed
-    vocabulary), which gives the IDF.  The second looks up each text's rarest index words, lets their postings vote for
+    vocabulary), which gives the IDF.  The second looks up every index word of a text, lets their postings vote for
     (template, start) alignments, and verifies an alignment: at least 60 % of the template's words in place, and every
     mandatory key phrase there word for word.  Base places are the three fixed phrases, wherever their words stand
     consecutively.  The score is 1 with a base place, else the best verified match, else 0.

@@ -9,7 +9,7 @@ from lorekeep.llm import warc
 from lorekeep.llm.components import connected_components
 from lorekeep.llm.decontamination import contamination
 from lorekeep.llm.exact_dedup import exact_dedup
-from lorekeep.llm.licenses import scan_licenses
+from lorekeep.llm.licenses import TEMPLATES, scan_licenses
 from lorekeep.llm.line_dedup import drop_repeated_lines, line_components
 from lorekeep.llm.mixing import mix, mix_rows, temperature_mixture
 from lorekeep.llm.near_dedup import keep_one, near_duplicates
@@ -290,3 +290,11 @@ def test_warc_repeated_large_rows(spark, prose):
     out = warc.warc_round_trip(df).select("page_id", "record_type", "refers_to", "payload_bytes")
     n = len(big.encode())
     assert rows(out) == sorted([(1, "response", None, n)] * 3 + [(2, "revisit", 1, n)] + [(None, "response", None, n + 1)] * 2 + [(3, "response", None, 5)] * 2, key=str)
+
+
+def test_licenses_all_in_one_file(spark):
+    """A file with the text of every template, whose rare words outnumber any cap on lookups, has every label."""
+    every = (0, "\n\n".join(t for _, t, _ in TEMPLATES))
+    docs = [every] + [(i, t) for i, (_, t, _) in enumerate(TEMPLATES, 1) if len(t.split()) < 10 for _ in range(5)]
+    out = {r["doc_id"]: set(r["labels"]) for r in scan_licenses(frame(spark, docs)).collect()}
+    assert out[0] >= {label for label, _, _ in TEMPLATES}
