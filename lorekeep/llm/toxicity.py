@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import materialise, maybe_broadcast
 
-ORDERS = (3, 4, 5)
+ORDERS = (3, 4, 5, 6, 7, 8)
 #: Features are hashed into 2 ** BITS buckets, which bounds the counts, the weights and what is broadcast.
-BITS = 20
+BITS = 22
 #: The linear layer is fitted on at most this many labelled documents of each class (those of smallest hashed id);
 #: the log-count ratios come from every labelled document.
 FIT_ROWS_PER_CLASS = 3000

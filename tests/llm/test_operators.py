@@ -298,3 +298,12 @@ def test_licenses_all_in_one_file(spark):
     docs = [every] + [(i, t) for i, (_, t, _) in enumerate(TEMPLATES, 1) if len(t.split()) < 10 for _ in range(5)]
     out = {r["doc_id"]: set(r["labels"]) for r in scan_licenses(frame(spark, docs)).collect()}
     assert out[0] >= {label for label, _, _ in TEMPLATES}
+
+
+def test_toxicity_told_by_long_grams_only(spark, prose):
+    """Each n-gram up to 5 of the telling word stands in every clean text too."""
+    docs = [(i, prose(40, i) + " zz achlin zz uchlich zz " + ("achlich zz " if i % 4 == 0 else "") + prose(5, i + 1)) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    out = toxicity(frame(spark, docs), labels).toPandas().set_index("doc_id")
+    held = [i for i in range(400) if out.loc[i, "held_out"]]
+    assert sum(out.loc[i, "predicted"] == int(i % 4 == 0) for i in held) >= 0.97 * len(held)
