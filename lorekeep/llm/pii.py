@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-#: A pattern needs this many different seed identifiers, and this confidence, before it may discover anything.
-MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE = 5, 0.8, 0.9
+#: Kinds that only the method finds: credentials.
+MORE_KINDS = ("secret",)
+#: A pattern needs this many different trusted identifiers, and this confidence, before it may discover anything; an
+#: instance is trusted at MIN_SCORE.
+MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE = 5, 0.8, 0.8
+#: What an instance that is neither trusted nor rejected yet counts against its patterns, of a reject's 1.
+DOUBT = 0.25
 ROUNDS = 3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -31,6 +36,21 @@ _LOOSE = (
     ("phone", re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?(?:[ ./-]\(?[0-9]{2,5}\)?){1,4}(?![0-9A-Za-z])")),
 )
 _HINT = re.compile(r"[0-9]{2}|[\[({] ?[aA][tT] ?[\])}]")
+#: Formats by which issuers mark their keys: what they match is a seed, and found, wherever it stands.
+_ISSUED = (
+    ("AKIA", re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")),
+    ("ASIA", re.compile(r"(?<![A-Za-z0-9])ASIA[A-Z0-9]{16}(?![A-Za-z0-9])")),
+    ("AIza", re.compile(r"(?<![A-Za-z0-9_-])AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])")),
+    ("xox", re.compile(r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+")),
+    ("gh", re.compile(r"(?<![A-Za-z0-9])gh[oprsu]_[A-Za-z0-9]{36,}+")),
+    ("_live_", re.compile(r"(?<![A-Za-z0-9])[rs]k_live_[A-Za-z0-9]{16,}+")),
+    ("eyJ", re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")),
+)
+#: An opaque string given to one of these names is a seed; under any other name it takes a confident pattern.
+_NAMES = re.compile(r"(?:^|[^a-z])(?:pass(?:word|wd|phrase)?|pwd|token|secret|credentials?|api_?key|(?:access|private|secret)_?key)$", re.I)
+_ASSIGNED = re.compile(r"([A-Za-z_][\w.-]{0,39})([\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?)$")
+_VALUE = re.compile(r"[A-Za-z0-9+/_.~!@#$%^&*-]{6,256}+={0,2}")
+_LINK = re.compile(r"[=:][ \t]{0,2}[\"']?(?=[A-Za-z0-9+/_.~!@#$%^&*-]{6})")
 _BEFORE = re.compile(r"([^\W\d_]*)([^\w\n]*)$")
 
 
@@ -90,6 +110,48 @@ def _context(text: str, start: int, end: int) -> str:
     return f"{m[1].lower()[-24:]}{m[2][-4:]}_{text[end : end + 1].strip()[:1]}"
 
 
+def _opaque(value: str) -> bool:
+    """Whether letters and digits alternate as in no word, number or date: at least four changes between them in 12 characters or more."""
+    kinds = [c.isdigit() for c in value if c.isalnum()]
+    return len(kinds) >= 12 and sum(a != b for a, b in zip(kinds, kinds[1:])) >= 4
+
+
+def secret_spans(text: str) -> list[tuple[float, bool, int, int, str]]:
+    """(score, decided, start, end, pattern) of what may be a credential: issued formats, and values given to a name by "=" or ":".
+
+    Issued formats and opaque values of a credential's name are seeds (1, decided); plain words and numbers are
+    rejects (0, decided); other values are left open.
+    """
+    out: list[tuple[float, bool, int, int, str]] = []
+    for mark, pattern in _ISSUED:
+        if mark in text:
+            out += [(1.0, True, *m.span(), _context(text, *m.span())) for m in pattern.finditer(text)]
+    taken = [(s, e) for _, _, s, e, _ in out]
+    if "=" in text or ":" in text:
+        for m in _LINK.finditer(text):
+            name, value = _ASSIGNED.search(text, max(0, m.start() - 43), m.end()), _VALUE.match(text, m.end())
+            if name is None or value is None or any(s < value.end() and value.start() < e for s, e in taken):
+                continue
+            word = value[0].rstrip(".!")
+            pattern = f"{name[1].lower()[-24:]}{name[2]}_{text[value.end() : value.end() + 1].strip()[:1]}"
+            span = (value.start(), value.start() + len(word), pattern)
+            if _opaque(word):
+                seed = bool(_NAMES.search(name[1]))
+                out.append((float(seed), seed, *span))
+            else:
+                plain = word.isalpha() and (word.islower() or word.istitle()) or not any(c.isalpha() for c in word)
+                out.append((0.0, plain, *span))
+    return out
+
+
+def _fails(kind: str, value: str) -> bool:
+    """Whether a candidate is no identifier of its kind by what the kind's own check says."""
+    digits = _NOT_DIGIT.sub("", value)
+    if kind == "card":
+        return not _luhn(digits)
+    return kind == "ip" and any(int(p) > 255 for p in _NOT_DIGIT.split(value) if p)
+
+
 def loose_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Candidates: loose shapes that don't touch a base span or an earlier candidate."""
     if not _HINT.search(text):
@@ -114,53 +176,59 @@ def loose_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def row(kind, start, end, pattern, text, score, decided):
+        return {"kind": kind, "start": start, "end": end, "pattern": pattern, "instance": text[start:end], "score": score, "decided": decided}
+
     for batch in batches:
         base, loose = [], []
         for text in batch["text"]:
             text = text or ""
             spans = base_spans(text)
-            base.append([{"kind": k, "start": s, "end": e, "pattern": _context(text, s, e), "instance": text[s:e]} for k, s, e in spans])
-            loose.append([{"kind": k, "start": s, "end": e, "pattern": _context(text, s, e), "instance": text[s:e]} for k, s, e in loose_spans(text, spans)])
+            base.append([row(k, s, e, _context(text, s, e), text, 1.0, True) for k, s, e in spans])
+            secrets = [x for x in secret_spans(text) if not any(s < x[3] and x[2] < e for _, s, e in spans)]
+            taken = [*spans, *[("secret", s, e) for _, _, s, e, _ in secrets]]
+            open_ones = [row(k, s, e, _context(text, s, e), text, 0.0, _fails(k, text[s:e])) for k, s, e in loose_spans(text, taken)]
+            loose.append(open_ones + [row("secret", s, e, p, text, score, decided) for score, decided, s, e, p in secrets])
         yield pd.DataFrame({"doc_id": batch["doc_id"], "base": base, "loose": loose})
 
 
-_SPAN = "array<struct<kind:string,start:int,end:int,pattern:string,instance:string>>"
+_SPAN = "array<struct<kind:string,start:int,end:int,pattern:string,instance:string,score:double,decided:boolean>>"
 
 
 def _score(found: DataFrame) -> DataFrame:
-    """Patterns and candidate instances score each other: (kind, instance) of candidates that end at MIN_SCORE or more.
-
-    Seeds (base identifiers) count 1, candidates start at 0.  A pattern's confidence is the mean score of its instances
-    with one doubtful instance added; an instance scores 1 - prod(1 - confidence) over its admitted patterns.  Both
-    sides are aggregates over distinct (pattern, instance) pairs, so a frequent pattern is combined before the shuffle.
+    """Patterns and instances score each other: the (kind, pattern, instance) that end up trusted.
+
+    Seeds (base identifiers, issued keys, opaque values of a credential's name) count 1 and rejects 0 for good; all
+    other instances start at 0 and are open.  Each round, a pattern is admitted once the scores of its different instances
+    add up to MIN_SEEDS, and its confidence is that sum over itself plus its rejects, plus DOUBT for what its open
+    instances lack, plus one; an open instance scores 1 - prod(1 - confidence) over its admitted and confident patterns.  So
+    instances found in one round help to admit patterns in the next.  Both sides are aggregates over distinct (pattern,
+    instance) pairs, so a frequent pattern is combined before the shuffle.
     """
-    seeds = found.select(F.explode("base").alias("x"), F.lit(1.0).alias("score"))
-    loose = found.select(F.explode("loose").alias("x"), F.lit(0.0).alias("score"))
-    links = seeds.unionAll(loose).select("x.kind", "x.pattern", "x.instance", "score").where("pattern <> '_'")
-    links = materialise(links.groupBy("kind", "pattern", "instance").agg(F.max("score").alias("score")), "pii-links")
-    admitted = links.groupBy("kind", "pattern").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n")).where(f"s >= {MIN_SEEDS}").select("kind", "pattern")
-    links = links.join(admitted, ["kind", "pattern"])
-    scores = links.select("kind", "instance", "score").groupBy("kind", "instance").agg(F.max("score").alias("score"))
+    spans = found.select(F.explode(F.concat("base", "loose")).alias("x"))
+    links = spans.select("x.kind", "x.pattern", "x.instance", "x.score", "x.decided").where("pattern <> '_' or score = 1")
+    links = materialise(links.groupBy("kind", "pattern", "instance").agg(F.max("score").alias("score"), F.bool_or("decided").alias("decided")), "pii-links")
+    scores = links.groupBy("kind", "instance").agg(F.max("score").alias("score"), F.bool_or("decided").alias("decided"))
+    scores = materialise(scores, "pii-scores")
+    pairs = links.select("kind", "pattern", "instance")
+    confident = None
     for _ in range(ROUNDS):
-        rated = links.drop("score").join(scores, ["kind", "instance"])
-        confidence = rated.groupBy("kind", "pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"))
-        now = (
-            links.join(confidence.where(f"confidence >= {MIN_CONFIDENCE}"), ["kind", "pattern"])
-            .groupBy("kind", "instance")
-            .agg((1 - F.exp(F.sum(F.ln(1 - F.least("confidence", F.lit(0.999)))))).alias("now"))
-        )
+        rated = pairs.join(scores, ["kind", "instance"])
+        against = F.sum(F.when(F.col("score") >= 1, 0.0).when(F.col("decided"), 1.0).otherwise(DOUBT * (1 - F.col("score"))))
+        rated = rated.groupBy("kind", "pattern").agg(F.sum("score").alias("s"), against.alias("against"))
+        confident = rated.where(f"s >= {MIN_SEEDS}").withColumn("confidence", F.col("s") / (F.col("s") + F.col("against") + 1)).where(f"confidence >= {MIN_CONFIDENCE}")
+        confident = materialise(confident.select("kind", "pattern", "confidence"), "pii-patterns")
+        now = pairs.join(confident, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.ln(1 - F.least("confidence", F.lit(0.999)))))).alias("now"))
         scores = materialise(
             scores.join(now, ["kind", "instance"], "left").select(
-                "kind", "instance", F.when(F.col("score") == 1.0, 1.0).otherwise(F.coalesce("now", F.lit(0.0))).alias("score")
+                "kind", "instance", F.when(F.col("decided"), F.col("score")).otherwise(F.coalesce("now", F.lit(0.0))).alias("score"), "decided"
             ),
             "pii-scores",
         )
-    trusted = (
-        links.join(confidence.where(f"confidence >= {MIN_CONFIDENCE}"), ["kind", "pattern"])
-        .join(scores.where(f"score >= {MIN_SCORE}"), ["kind", "instance"])
-        .select("kind", "pattern", "instance")
-    )
-    return materialise(trusted.distinct(), "pii-trusted")
+    trusted = scores.where(f"score >= {MIN_SCORE}").select("kind", "instance", "decided")
+    # an open instance is found where a confident pattern stands around it; a seed of a kind that has no base pattern, anywhere
+    by_pattern = pairs.join(trusted, ["kind", "instance"]).join(confident, ["kind", "pattern"], "left")
+    return materialise(by_pattern.where(F.col("confidence").isNotNull() | F.col("decided")).select("kind", "pattern", "instance"), "pii-trusted")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,8 +236,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     One scan of whole texts yields base spans and looser candidates with their contexts.  The candidates that
     bootstrapping trusts (see `_score`) join back by (kind, pattern, instance); no text is read twice or shuffled.
-    Null text counts as empty; repeated rows get equal results; an empty table gives an empty result; other columns are
-    never read.
+    `more` holds kinds of base spans that no base pattern matches, and credentials (`secret`).
+    Null text counts as empty; very long texts are scanned whole in linear time; repeated rows get equal results, and count
+    as one instance; ties don't arise, as spans of a kind never overlap; a null id is kept; an empty table gives an empty
+    result; other columns are never read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))  # ids pass pandas as strings: exact, nulls too
@@ -190,8 +260,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def span_list(spans):
-    """kind:start:end by kind as in KINDS, then start, comma-joined."""
-    rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    """kind:start:end by kind as in KINDS and MORE_KINDS, then start, comma-joined."""
+    rank = F.create_map(*[x for i, k in enumerate((*KINDS, *MORE_KINDS)) for x in (F.lit(k), F.lit(i))])
     keyed = F.array_sort(F.transform(spans, lambda x: F.struct(rank[x["kind"]].alias("r"), x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("k"))))
     return F.array_join(F.transform(keyed, lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 

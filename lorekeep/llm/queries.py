@@ -52,6 +52,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(F.filter("base", is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(span_list(F.col("base")), 256).alias("base_sha256"),
         span_list(F.concat("base", "more")).alias("spans"),
+        F.size(F.filter("more", is_kind("secret"))).cast("long").alias("n_secret"),
+        (F.size("base") + F.size("more")).cast("long").alias("n_spans"),
     )
 
 
