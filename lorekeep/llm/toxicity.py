@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import materialise, maybe_broadcast
 
 ORDERS = (3, 4, 5, 6, 7, 8)
-#: Features are hashed into 2 ** BITS buckets, which bounds the counts, the weights and what is broadcast.
-BITS = 22
+#: Features are hashed into 2 ** BITS buckets, which bounds the counts, the weights and what is broadcast.  Bucket 0 holds
+#: the n-grams that cross a word, which are no features.
+BITS = 20
 #: The linear layer is fitted on at most this many labelled documents of each class (those of smallest hashed id);
 #: the log-count ratios come from every labelled document.
 FIT_ROWS_PER_CLASS = 3000
@@ -46,15 +47,18 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _buckets(c: np.ndarray) -> list[np.ndarray]:
-    """For each order, the bucket of the n-gram that starts at each code point."""
+    """For each order, the bucket of the n-gram that starts at each code point; 0 if a blank stands inside, not at its ends."""
     out = []
     mult = np.uint32(0x9E3779B1)
     h = c.copy()
+    blanks = np.concatenate([[0], np.cumsum(c == 32, dtype=np.int32)])
     for n in range(2, max(ORDERS) + 1):
         h = h[:-1] * mult + c[n - 1 :]
         h ^= h >> np.uint32(15)
         if n in ORDERS:
-            out.append((((h + np.uint32(n)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)).astype(np.int32))
+            bucket = (((h + np.uint32(n)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)).astype(np.int32)
+            bucket[blanks[n - 1 : n - 1 + h.size] != blanks[1 : 1 + h.size]] = 0
+            out.append(bucket)
     return out
 
 
@@ -90,6 +94,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for run in _chunks(batch["text"].fillna("").tolist()):
             for f in _features(run, seen):
                 counts[int(next(classes)), f] += 1
+    counts[:, 0] = 0
     at = np.flatnonzero(counts.any(axis=0))
     for part in np.array_split(at, max(1, at.size // 100_000)):
         yield pd.DataFrame({"bucket": part.astype(np.int32), "neg": counts[0, part].astype(np.int64), "pos": counts[1, part].astype(np.int64)})
