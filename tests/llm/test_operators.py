@@ -204,8 +204,8 @@ def test_pii_secrets(spark, prose):
 
 def test_pii_patterns_survive_many_unseen_numbers(spark):
     """A thousand seeds and four hundred local numbers behind the same words: all are found; behind other words none."""
-    docs = [(i, f"please ring on +1 555 01{i:05d}, thanks") for i in range(1000)] + [(2000 + i, f"please ring on 555 0{i:05d}, thanks") for i in range(400)]
-    docs += [(3000 + i, f"part number 777 0{i:05d}, thanks") for i in range(50)]
+    docs = [(i, f"please ring on +1 555 01{i:05d}, thanks") for i in range(1000)] + [(2000 + i, f"please ring on 555 {i:05d}, thanks") for i in range(400)]
+    docs += [(3000 + i, f"part number 777 {i:05d}, thanks") for i in range(50)]
     out = {r["doc_id"]: len(r["more"]) for r in find_pii(frame(spark, docs)).collect()}
     assert all(out[2000 + i] == 1 for i in range(400)) and all(out[3000 + i] == 0 for i in range(50))
 
