@@ -76,7 +76,7 @@ def contamination(
     fewer.  First scan: every document's winnowed fingerprints meet the benchmark's; a document with a common one is a
     candidate (shared spans of ten words always have one).  Second scan: only candidates are cut into all their windows
     and compared word for word, so hash collisions add nothing.  Fingerprints are joined inside the scan's stage as long
-    as the benchmark's are small enough to broadcast (their count is checked), otherwise shuffled.
+    as the benchmark's are small enough to broadcast (their bytes are counted), otherwise shuffled.
 
     Null text has no words; repeated rows get equal results; repeated items count once; an item without words never
     hits; empty tables give no hits; other columns are never read.
@@ -102,7 +102,7 @@ def contamination(
         "doc_id", "h", n_words, F.posexplode_outer(fingerprints(F.col("w"), short)).alias("pos", "fp")
     )
     found = (
-        scanned.join(maybe_broadcast(prints, prints.count(), 16), "fp", "left")
+        scanned.join(maybe_broadcast(prints), "fp", "left")
         .groupBy("doc_id", "h", "n_words")
         .agg(F.coalesce(F.bool_or("known"), F.lit(False)).alias("candidate"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"))
     )
@@ -112,9 +112,11 @@ def contamination(
     windows = items.withColumn("x", F.explode(_windows(F.col("w"), sorted(lengths, reverse=True) or [WINDOW]))).where(
         F.col("x.len") == F.least(F.size("w"), F.lit(WINDOW))
     )
-    windows = materialise(windows.select("item", F.col("x.len").alias("len"), F.col("x.window").alias("window")).distinct(), "leak-windows")
+    # a window that many items share is one row
+    windows = windows.groupBy(F.col("x.len").alias("len"), F.col("x.window").alias("window")).agg(F.collect_set("item").alias("of"))
+    windows = materialise(windows, "leak-windows")
     again = keyed.join(
-        maybe_broadcast(candidates.withColumnsRenamed({"doc_id": "c_id", "h": "c_h"}), candidates.count(), 32),
+        maybe_broadcast(candidates.withColumnsRenamed({"doc_id": "c_id", "h": "c_h"})),
         F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")),
         "left_semi",
     )
@@ -122,10 +124,10 @@ def contamination(
         again.dropDuplicates(["doc_id", "h"])
         .select("doc_id", "h", F.explode(_windows(words_of(F.col("t")), sorted(lengths) or [WINDOW])).alias("x"))
         .select("doc_id", "h", "x.pos", "x.len", "x.window")
-        .join(maybe_broadcast(windows, windows.count(), 160), ["len", "window"])
+        .join(maybe_broadcast(windows), ["len", "window"])
     )
     per_doc = hits.groupBy("doc_id", "h").agg(
-        F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("at")
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("of")))).alias("items"), F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("at")
     )
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1)))))
     per_doc = per_doc.withColumn("covered", covered)

@@ -47,7 +47,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ids = materialise(survivors.select("doc_id").distinct(), "dedup-survivors")
         hashed = (
             docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-            .join(maybe_broadcast(ids, ids.count(), 24), "doc_id", "left_semi")
+            .join(maybe_broadcast(ids), "doc_id", "left_semi")
             .select("doc_id", F.octet_length("t").cast("long").alias("len"), F.unhex(F.sha2(lower_az(F.col("t")), 256)).alias("full"))
         )
         survivors = materialise(hashed, "dedup-full")

@@ -8,7 +8,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import materialise
+from lorekeep.llm.common import fresh, materialise, maybe_broadcast
 
 SEED = 7
 BUCKET_ROWS = 20_000
@@ -136,9 +136,14 @@ def _spread(narrow: DataFrame, mixture: Mixture) -> DataFrame:
     return joined.withColumn("start", (F.coalesce("before", F.lit(0)) + F.col("inside")).cast("long"))
 
 
+def _source(docs: DataFrame, source_col: str) -> Column:
+    """The source as text; where the column is missing, all rows are of one null source."""
+    return F.col(source_col).cast("string") if source_col in docs.columns else F.lit(None).cast("string")
+
+
 def _narrow(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     return materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_tokens(F.col(text_col)).alias("tokens")),
+        docs.select(F.col(id_col).alias("doc_id"), _source(docs, source_col).alias("source"), count_tokens(F.col(text_col)).alias("tokens")),
         "mix-narrow",
     )
 
@@ -191,7 +196,12 @@ def mix_rows(docs: DataFrame, max_repetition: float = 2.0, id_col: str = "doc_id
 
     In the last epoch of a source exactly the documents up to some hash of the permutation are read, so one small row per
     source (whole epochs, last hash) tells every document its number of copies.
+
+    A null source, or a missing column, is one source; null and empty texts weigh two tokens; a text longer than what is
+    left of a quota is still read whole; rows that tie in the permutation, as those that repeat an id, are read alike; extra
+    columns of any name are kept; an empty table gives an empty result.
     """
+    last_key, last_epoch, source, copy = (fresh(c, docs) for c in ("last_key", "last_epoch", "mix_source", "mix_copy"))
     narrow = _narrow(docs, id_col, text_col, source_col)
     mixture = temperature_mixture(narrow, max_repetition)
     spread = _spread(narrow, mixture)
@@ -200,18 +210,17 @@ def mix_rows(docs: DataFrame, max_repetition: float = 2.0, id_col: str = "doc_id
     limits = (
         spread.groupBy("source")
         .agg(
-            F.max(F.when(last & (offset < F.col("quota")), F.col("key"))).alias("__last_key"),
-            F.max(F.when(offset < F.col("quota"), F.col("epoch"))).alias("__last_epoch"),
+            F.max(F.when(last & (offset < F.col("quota")), F.col("key"))).alias(last_key),
+            F.max(F.when(offset < F.col("quota"), F.col("epoch"))).alias(last_epoch),
         )
-        .withColumnRenamed("source", "__source")
+        .withColumnRenamed("source", source)
     )
     limits = materialise(limits.coalesce(8), "mix-limits")
-    rows = limits.count()
-    side = F.broadcast(limits) if rows * 64 <= 16 << 20 else limits
-    key = _order_key(F.col("__last_epoch"), id_col)
-    copies = F.col("__last_epoch") + F.when(key <= F.col("__last_key"), 1).otherwise(F.when(F.col("__last_epoch") == 0, 1).otherwise(0))
+    side = maybe_broadcast(limits)
+    key = _order_key(F.col(last_epoch), id_col)
+    copies = F.col(last_epoch) + F.when(key <= F.col(last_key), 1).otherwise(F.when(F.col(last_epoch) == 0, 1).otherwise(0))
     return (
-        docs.join(side, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+        docs.join(side, _source(docs, source_col).eqNullSafe(F.col(source)))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), copies.cast("int"))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm import textbytes as tb
-from lorekeep.llm.common import materialise, maybe_broadcast
+from lorekeep.llm.common import free, fresh, materialise, maybe_broadcast
 from lorekeep.llm.components import connected_components
 
 SHINGLE = 5
@@ -176,7 +176,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int)
         pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("rep").alias("w_id")), "node"), "near-wanted"
     )
     ids = wanted.select("w_id").distinct()
-    texts = docs.join(maybe_broadcast(ids, wanted.count(), 24), F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
+    texts = docs.join(maybe_broadcast(ids), F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
     sets = texts.mapInArrow(_members, "node binary, members array<bigint>")
     sets = materialise(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
     left = pairs.join(sets.withColumnsRenamed({"node": "a", "members": "sa"}).hint("shuffle_merge"), "a")
@@ -185,6 +185,38 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int)
     return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
 
 
+def crossing_cells(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two sides (band, x, y, node, component, rest) whose join on (band, x, y) meets every pair of one bucket's
+    members in different components, by rows of (band, node, component).
+
+    One side holds the members outside the bucket's largest component, the other all members; both are cut into blocks
+    of BLOCK, and a row goes to each block of the other side.
+    """
+    groups = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    table = (
+        groups.groupBy("band")
+        .agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("size"))
+        .where("size > most.n")
+        .select("band", F.col("most.component").alias("main"), F.ceil((F.col("size") - F.col("most.n")) / BLOCK).cast("int").alias("xs"), F.ceil(F.col("size") / BLOCK).cast("int").alias("ys"))
+    )
+    rows = labelled.join(table, "band").withColumn("rest", F.col("component") != F.col("main"))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("rest").select("band", block("xs").alias("x"), every("ys").alias("y"), "node", "component", "rest")
+    right = rows.select("band", every("xs").alias("x"), block("ys").alias("y"), "node", "component", "rest")
+    return left, right
+
+
+def _across(cells: tuple[DataFrame, DataFrame], sketches: DataFrame, limit: int) -> DataFrame:
+    """The (a, b), a < b, of different components in one bucket whose sketches differ in at most `limit` bits."""
+    left, right = cells
+    left = left.join(sketches, "node").select("band", "x", "y", F.col("node").alias("p"), F.col("component").alias("cp"), F.col("sketch").alias("kp"))
+    right = right.join(sketches, "node").select("band", "x", "y", F.col("node").alias("q"), F.col("component").alias("cq"), F.col("sketch").alias("kq"), F.col("rest").alias("rq"))
+    once = ~F.col("rq") | (F.col("p") < F.col("q"))  # two members outside the largest component meet twice
+    met = left.join(right.hint("shuffle_merge"), ["band", "x", "y"]).where((F.col("cp") != F.col("cq")) & once & _close("kp", "kq", limit))
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id reachable), kept (doc_id = component_id).
 
@@ -195,12 +227,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     2. Each bucket of a band is a star: every member is paired with the bucket's least node, so a bucket of m members
        gives m - 1 pairs.  Pairs whose odd sketches differ in too many bits are dropped (five sigma), the rest are
        confirmed on full sets, and links are merged into components.
-    3. Buckets that still hold several components are compared across components, sketch against sketch, in blocks of
-       256 members; what passes is confirmed likewise.  So no candidate of a bucket is lost to the star.
-
-    Null, empty and blank texts have no shingles and are linked with nothing; repeated rows and rows that repeat an id
-    share a node or keep their own sets, and a row is kept if its id is the component's; a null id never names a
-    component unless all its ids are null; an empty table gives an empty result; other columns are never read.
+    3. Buckets that still hold several components are compared across components: the members outside the bucket's
+       largest component, in blocks of 256, with all its members, sketch against sketch; what passes is confirmed
+       likewise.  So no candidate of a bucket is lost to the star, and a bucket that is one component but for a few
+       strangers costs rows and comparisons in proportion to its members.
+
+    Null, empty and blank texts have no shingles and are linked with nothing; texts are read whole, a MB at a time; repeated
+    rows and rows that repeat an id share a node or keep their own sets, and a row is kept if its id is the component's;
+    ties of hashes go to the least node, and of links to the smallest id; a null id never names a component unless all its
+    ids are null; an empty table gives an empty result; other columns are never read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -228,22 +263,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     links = materialise(_confirm(stars, docs, nodes, percent), "near-links")
     component = connected_components(links)
 
-    labelled = shared.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    open_rows = labelled.join(split, "band").join(sketches, "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    every = F.sequence(F.lit(0), blocks - 1)
-    left = open_rows.withColumn("y", F.explode(every)).select("band", own.alias("x"), "y", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("ka"))
-    right = open_rows.withColumn("x", F.explode(every)).select("band", "x", own.alias("y"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("kb"))
+    labelled = shared.select("band", "node").join(component, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    labelled = materialise(labelled, "near-labelled")
+    cells = crossing_cells(labelled)
     crossing = (
-        left.join(right, ["band", "x", "y"])
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _close("ka", "kb", limit))
-        .select("a", "b")
-        .distinct()
+        _across(cells, sketches, limit)
         .join(stars, ["a", "b"], "left_anti")
     )
     crossing = materialise(crossing, "near-crossing")
+    free(labelled, shared)
     if not crossing.isEmpty():
         more = materialise(_confirm(crossing, docs, nodes, percent), "near-more")
         if not more.isEmpty():
@@ -264,7 +292,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document per group of near-duplicates, all columns kept.  Rows of dropped ids go; ids are taken as unique."""
-    dropped = materialise(near_duplicates(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__dropped")).distinct(), "near-dropped")
-    side = maybe_broadcast(dropped, dropped.count(), 24)
-    return docs.join(side, F.col(id_col) == F.col("__dropped"), "left_anti")
+    """`docs` with one document per group of near-duplicates, that of the smallest id, all columns kept.
+
+    Rows of dropped ids go, so rows that repeat an id go or stay together; rows with null ids, which name no document, stay;
+    null, empty and blank texts have no copies and stay; very long texts are compared whole; extra columns of any name
+    are kept; an empty table gives an empty result.
+    """
+    gone = fresh("dropped", docs)
+    dropped = near_duplicates(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(maybe_broadcast(materialise(dropped, "near-dropped")), F.col(id_col) == F.col(gone), "left_anti")

@@ -8,13 +8,11 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import local_rows, materialise
+from lorekeep.llm.common import free, fresh, local_rows, materialise
 
 CODE_BITS, TIE_BITS = 20, 42
 CODE_MAX, TIE_MASK = (1 << CODE_BITS) - 1, (1 << TIE_BITS) - 1
 BINS = 4096
-#: Copies of one text stay in one shard unless together they exceed this part of a shard's target bytes.
-GROUP_SHARE = 0.125
 #: A cut stops refining once the bin it falls in weighs less than this part of a shard's target bytes.
 TOLERANCE = 0.001
 SLOT_BUCKET_ROWS = 50_000
@@ -34,13 +32,11 @@ class _Node:
     children: list[_Node] = field(default_factory=list)
 
 
-def _salted(narrow: DataFrame, target: float) -> DataFrame:
-    """`narrow` with a salt: 0, but a piece number from a hash of the id in groups of equal texts that outweigh GROUP_SHARE of a shard."""
+def _salted(narrow: DataFrame, piece: float) -> DataFrame:
+    """`narrow` with a salt: 0, but a piece number from a hash of the id in groups of equal texts that outweigh `piece` bytes."""
     group = narrow.groupBy("text_hash", "size").agg(F.sum("size").alias("group_bytes"))
-    big = group.where(F.col("group_bytes") > GROUP_SHARE * target).select(
-        "text_hash", "size", F.ceil(F.col("group_bytes") / (GROUP_SHARE * target)).alias("pieces")
-    )
-    # at most 1 / GROUP_SHARE big groups per shard, so this side is bounded by the number of shards
+    big = group.where(F.col("group_bytes") > piece).select("text_hash", "size", F.ceil(F.col("group_bytes") / piece).alias("pieces"))
+    # as each outweighs a fixed part of a shard, their number is bounded by that of the shards
     salted = narrow.join(F.broadcast(big), ["text_hash", "size"], "left").withColumn(
         "salt", F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).cast("int")
     )
@@ -54,6 +50,7 @@ def shard(
     id_col: str = "doc_id",
     text_col: str = "text",
     categories: tuple[str, ...] = ("source", "lang"),
+    group_share: float = 0.125,
 ) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, with shards near equal in bytes.
 
@@ -65,12 +62,17 @@ def shard(
     back to the driver.  Below the code of a dimension every coordinate carries hash bits of the text, so a value that
     holds a third of the rows is still cut anywhere.
 
-    Copies of a text share a shard unless they outweigh an eighth of the target, then they are spread in pieces.
+    A group of equal texts is cut into pieces of at most `group_share` of a shard's target, by a hash of the id, and each
+    piece is one point: a group lighter than that is one piece and shares a shard, a heavier one may lie in several, as near
+    equal shards ask.
     `slot` is gapless from 0 within a shard: ranks within (shard, hash bucket of the id) plus the bucket's offset,
     so no task holds a whole shard.
 
-    Null text has size 8 and CRC 0; a null id or category is a value of its own; repeated rows each get a slot; missing
-    category columns are skipped; an empty table gives an empty result.
+    Null and empty texts have size 8 and CRC 0; a very long text is one point, and a shard is out of balance by half a point
+    at most for each level above it; a null id or category is a value of its own; ids that aren't whole numbers are placed by
+    their hash; points that tie in a dimension are told apart by hash bits of the text, rows of a shard by id, size and CRC;
+    repeated rows each get a slot; missing category columns are skipped, other columns never read; an empty table gives an
+    empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     have = [c for c in categories if c in docs.columns]
@@ -85,11 +87,13 @@ def shard(
         ),
         "shard-narrow",
     )
-    total, rows, lo_id, hi_id = narrow.agg(F.sum("size"), F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    integral = dict(narrow.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
+    place = F.col("doc_id") if integral else bits(F.col("doc_id").cast("string"))
+    total, rows, lo_id, hi_id = narrow.agg(F.sum("size"), F.count(F.lit(1)), F.min(place), F.max(place)).first()
     total = total or 0
     leaves = shards or max(1, ceil(total / (target_bytes or (1 << 30))))
     target = total / leaves
-    salted = _salted(narrow, target) if total else narrow.withColumn("salt", F.lit(0))
+    salted = _salted(narrow, group_share * target) if total else narrow.withColumn("salt", F.lit(0))
 
     tie = F.col("text_hash").bitwiseXOR(F.xxhash64(F.col("salt"))).bitwiseAND(F.lit(TIE_MASK))
     span = max(1, (hi_id or 0) - (lo_id or 0))
@@ -101,11 +105,11 @@ def shard(
     dims = list(codes)
     points = materialise(
         salted.groupBy("text_hash", "size", "salt")
-        .agg(F.sum("size").alias("w"), F.min("doc_id").alias("id"), *[F.min(f"cat{i}").alias(f"cat{i}") for i in range(len(have))])
+        .agg(F.sum("size").alias("w"), F.min(place).alias("id"), *[F.min(f"cat{i}").alias(f"cat{i}") for i in range(len(have))])
         .select("text_hash", "size", "salt", "w", *[(F.shiftleft(v, TIE_BITS) + tie).alias(d) for d, v in codes.items()]),
         "shard-points",
     )
-    placed, numbered = _grow(points, dims, leaves, total, target)
+    placed, written = _grow(points, dims, leaves, total, target)
     at = (
         salted.select("doc_id", "size", "text_crc32", "text_hash", "salt")
         .join(placed.select("text_hash", "size", "salt", "shard"), ["text_hash", "size", "salt"])
@@ -113,6 +117,7 @@ def shard(
     )
     buckets = max(1, ceil(rows / (SLOT_BUCKET_ROWS * leaves)))
     at = materialise(at.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")), "shard-rows")
+    free(narrow, points, *([written] if written is not None else []))
     counts = at.groupBy("shard", "bucket").count()
     # shards x buckets rows, that is one per SLOT_BUCKET_ROWS documents; the window holds one shard's buckets
     offsets = counts.select(
@@ -136,15 +141,27 @@ def shard(
     )
 
 
-def _grow(points: DataFrame, dims: list[str], leaves: int, total: int, target: float) -> tuple[DataFrame, int]:
-    """Split level by level; the driver holds one record per node, at most twice the number of shards."""
+def shard_texts(docs: DataFrame, placed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of every shard, whole: all columns of `docs` with copy, shard and slot, by the (doc_id, copy, shard, slot) of `placed`.
+
+    `docs` has one row per id; a document that `placed` holds several times comes as often.  A null id matches null; new
+    columns whose names `docs` has already get an underscore; an empty table gives an empty result.
+    """
+    key, names = fresh("placed_id", docs), {c: fresh(c, docs) for c in ("copy", "shard", "slot")}
+    placed = placed.select(F.col("doc_id").alias(key), *[F.col(c).alias(n) for c, n in names.items()])
+    return docs.join(placed, F.col(id_col).eqNullSafe(F.col(key))).drop(key)
+
+
+def _grow(points: DataFrame, dims: list[str], leaves: int, total: int, target: float) -> tuple[DataFrame, DataFrame | None]:
+    """Points with their shard, and the last table written on the way.  Split level by level; the driver holds one record per
+    node, at most twice the number of shards."""
     placed = points.withColumn("node", F.lit(0))
     spark = points.sparkSession
     if not total:
-        return placed.withColumn("shard", F.lit(0)), 0
+        return placed.withColumn("shard", F.lit(0)), None
     open_nodes = [_Node(0, leaves, 0)]
     done: dict[int, int] = {} if leaves > 1 else {0: 0}
-    names, whole = 1, None
+    names, whole, written = 1, None, None
     while open_nodes and leaves > 1:
         bounds = {
             r["node"]: r
@@ -191,10 +208,11 @@ def _grow(points: DataFrame, dims: list[str], leaves: int, total: int, target: f
             F.when(F.col("cut").isNull(), F.col("node")).when(coordinate < F.col("cut"), F.col("left")).otherwise(F.col("right")).alias("node"),
         )
         # written once a level, so that the passes of the next level are plans of one small join each
-        placed = materialise(placed, "shard-nodes")
-        open_nodes = following
+        former, placed = written, materialise(placed, "shard-nodes")
+        free(former)
+        written, open_nodes = placed, following
     shards = local_rows(spark, sorted(done.items()), ["node", "shard"], ["int", "int"])
-    return placed.join(F.broadcast(shards), "node"), len(done)
+    return placed.join(F.broadcast(shards), "node"), written
 
 
 def _narrow(spark, placed: DataFrame, dims: list[str], seeking: list[_Node], target: float) -> None:

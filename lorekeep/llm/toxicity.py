@@ -125,28 +125,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Ratios r = log((pos + 1) / (n_pos + 2)) - log((neg + 1) / (n_neg + 2)) use document counts over all those rows,
     added up by a shuffle on the bucket.  The logistic layer over r-scaled presence features is fitted in one task on
-    at most FIT_ROWS_PER_CLASS documents a class.  An id with several labels counts as toxic if one of them is; rows
-    without a 0/1 label or an id are not used.  With one class or none, the model is the constant prior.
+    at most FIT_ROWS_PER_CLASS documents a class, of each of which it holds the telling buckets only, so its memory is
+    bounded however long the texts are.
+
+    An id with several labels counts as toxic if one of them is; rows without a 0/1 label or an id are not used; null and
+    empty texts have no n-grams; rows that repeat a labelled id count as often as they occur; documents that tie in the
+    order by which the sample is taken are told apart by their ids; with one class or none, or without documents, the model is
+    the constant prior; other columns are never read.
     """
-    usable = (
+    usable = materialise(
         labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("toxic"))
         .where("l_id is not null and toxic in (0, 1)")
         .where(F.crc32(F.col("l_id").cast("string").cast("binary")) % HOLD_OUT != 0)
         .groupBy("l_id")
-        .agg(F.max("toxic").alias("toxic"))
+        .agg(F.max("toxic").alias("toxic")),
+        "toxic-labels",
     )
-    n_labels = usable.count()
     texts = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text"))
 
-    def labelled(side: DataFrame, rows: int) -> DataFrame:
-        return texts.join(maybe_broadcast(side, rows, 16), F.col("d_id") == F.col("l_id"))
+    def labelled(side: DataFrame) -> DataFrame:
+        return texts.join(maybe_broadcast(side), F.col("d_id") == F.col("l_id"))
 
     size = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
     if not n_pos or not n_neg:
         return Model(np.zeros(1 << BITS, np.float32), 4.0 if n_pos else -4.0)
     counts = materialise(
-        labelled(usable, n_labels)
+        labelled(usable)
         .select("text", "toxic")
         .mapInPandas(_count, "bucket int, neg long, pos long")
         .groupBy("bucket")
@@ -160,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = usable.where("toxic = 1").orderBy(order, "l_id").limit(FIT_ROWS_PER_CLASS).unionAll(
         usable.where("toxic = 0").orderBy(order, "l_id").limit(FIT_ROWS_PER_CLASS)
     )
-    sample = labelled(chosen, 2 * FIT_ROWS_PER_CLASS).select("text", "toxic").mapInPandas(_extract(shared), "toxic int, features binary")
+    sample = labelled(materialise(chosen, "toxic-chosen")).select("text", "toxic").mapInPandas(_extract(shared), "toxic int, features binary")
     # the bounded sample is fitted in one task, which leaves the driver's memory alone
     fitted = sample.repartition(1).mapInPandas(_fit_task(shared, float(np.log(n_pos / n_neg))), "bucket int, weight double").toPandas()
     weights = np.zeros(1 << BITS, np.float32)

@@ -144,7 +144,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         "warc-marks",
     )
     # payloads stay where they were read while the marks are few enough to broadcast; beyond, this join shuffles them
-    choice = rows.join(maybe_broadcast(marks, marks.count(), 120), F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
+    choice = rows.join(maybe_broadcast(marks), F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
     occurrence = F.when(F.col("tag") != F.col("lead"), F.col("tag"))  # a string, as pandas would turn longs with nulls into doubles
     ready = choice.select(
         F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.col("first").cast("string").alias("original"), occurrence.cast("string").alias("occurrence")
