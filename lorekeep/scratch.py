@@ -35,6 +35,16 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def free(*dfs: DataFrame) -> None:
+    """Delete tables of `materialise` that no plan still to be run reads."""
+    for df in dfs:
+        for at, (spark, path) in enumerate(_written):
+            if path == getattr(df, "_scratch", None):
+                _delete(spark, path)
+                del _written[at]
+                break
+
+
 @atexit.register
 def release() -> None:
     """Delete every table that `materialise` wrote in this process."""
@@ -52,4 +62,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write `df` as Parquet to the shared folder and read it back."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path  # by which `free` knows it
+    return out
