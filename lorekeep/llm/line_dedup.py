@@ -1,34 +1,45 @@
-"""Fuzzy line dedup: character-shingle MinHash signatures, high-recall banding, exact Jaccard, distributed union-find."""
+"""Fuzzy line dedup: character-shingle MinHash signatures, high-recall banding, exact Jaccard, distributed union-find.
+
+Signatures and exact sets are made in Arrow batches with numpy (the README gives the figures by which the form in DataFrame
+functions alone failed); splitting, keys, buckets, joins and components are DataFrame operations.
+"""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import materialise, maybe_broadcast
+from lorekeep.llm.buckets import crossing_cells
+from lorekeep.llm.common import free, fresh, materialise, maybe_broadcast
 from lorekeep.llm.components import connected_components
+from lorekeep.llm.textbytes import mix
 
 #: Lines are compared by their sets of character shingles of this length.
 SHINGLE = 5
-#: Signatures sample the longer shingles that start with a word and keep the least hashes of them.
-ANCHOR = 8
-SAMPLES = 12
-#: So many consecutive samples make a band.
-RUN = 3
-BANDS = SAMPLES - RUN + 1
-#: Lines with fewer blanks than this also sign with their least grams of SHINGLE characters.
-FEW_BLANKS = 14
-GRAM_SAMPLES = 24
-#: Sketches of lines in buckets that hold several components have so many words of 64 bits.
-SKETCH_WORDS = 4
-#: Members of such a bucket are compared in blocks of this many.
-BLOCK = 256
-
-
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
+#: Signatures sample these longer shingles, which fewer strangers share: BANDS bands of ROWS MinHash samples.
+LONG, ROWS, BANDS = 8, 3, 10
+#: Lines shorter than SHORT characters also have SHORT_BANDS bands of SHORT_ROWS samples of the shingles they are compared by.
+SHORT, SHORT_ROWS, SHORT_BANDS = 96, 3, 8
+#: Bits of the odd sketch by which members of open buckets are sifted.
+BITS = 1024
+WORDS = BITS // 64
+#: A bucket of about so many lines or more is cut into pieces of that size, each with a pivot of its own.
+HOT = 1 << 20
+#: One in so many lines tells which buckets are hot.
+HOT_SAMPLE = 64
+_CHUNK = 1 << 19
+
+_rng = np.random.default_rng(20240611)
+_SAMPLES = max(ROWS * BANDS, SHORT_ROWS * SHORT_BANDS)
+_MULTIPLY = _rng.integers(0, 1 << 31, _SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _rng.integers(0, 1 << 32, _SAMPLES, dtype=np.uint64).astype(np.uint32)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP32 = np.uint32(0x9E3779B1)
+_STEP32_4 = np.uint32(pow(0x9E3779B1, 4, 1 << 32))
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,50 +49,144 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def samples_of(line: Column) -> Column:
-    """The twelve least hashes of the shingles that start a word; an edit elsewhere moves none of these."""
-    anchors = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(rf"(?s) (?=(\S.{{{ANCHOR - 1}}}))"), F.lit(1))
-    return F.slice(F.sort_array(F.array_distinct(F.transform(anchors, lambda a: F.xxhash64(a)))), 1, SAMPLES)
-
-
-def band(samples: str, i: int) -> Column:
-    """Bucket number i: a hash of three consecutive samples, null where a line has fewer.
-
-    Three consecutive least values agree with probability about the cube of the sampled sets' similarity, and a line has
-    up to ten such runs.
-    """
-    return F.when(F.size(samples) >= i + RUN, F.xxhash64(*[F.get(samples, i + j) for j in range(RUN)]))
-
-
-def grams_of(line: Column) -> Column:
-    """The set of character 5-grams, as 64-bit hashes; a shorter line is one gram.
-
-    Cut from UTF-32, where the n-th character has a fixed place, so each gram is a plain copy of twenty bytes.
-    """
-    wide = F.encode(line, "UTF-32")
-    grams = _let(
-        wide, lambda w: F.transform(F.sequence(F.lit(0), (F.octet_length(w) / 4).cast("int") - SHINGLE), lambda i: F.xxhash64(F.substring(w, (i * 4 + 1).cast("int"), F.lit(4 * SHINGLE))))
-    )
-    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(F.array_distinct(grams))
-
-
-def gram_bands(line: Column) -> Column:
-    """Buckets of a line with few word starts: runs of three among its 24 least grams.
-
-    Sets of Jaccard similarity 0.8 differ in at most a fifth of their union, which leaves three common grams in a row of
-    the sorted union if that has 6 to 24 members, so such links are always found; in a larger one all runs of the
-    sample are broken with a probability below 1e-3.  Smaller unions keep two in a row, and a single gram is its own run.
-    """
-
-    def runs(g: Column, length: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(g) - length), lambda i: F.xxhash64(F.lit(length), *[F.get(g, i + j) for j in range(length)]))
-
-    def of(g: Column) -> Column:
-        none = F.array().cast("array<bigint>")
-        n = F.size(g)
-        return F.concat(F.when(n >= 5, runs(g, 3)).otherwise(none), F.when(n.between(2, 5), runs(g, 2)).otherwise(none), F.when(n == 1, runs(g, 1)).otherwise(none))
-
-    return _let(F.slice(F.sort_array(grams_of(line)), 1, GRAM_SAMPLES), of)
+def _points(lines: list[str]) -> np.ndarray:
+    """Code points of all lines, one after the other."""
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _rolling(c: np.ndarray, dtype, step) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial hashes of the 4 and 5 code points from each place (where so many follow)."""
+    c = c.astype(dtype)
+    two = c[:-1] * step + c[1:]
+    four = two[:-2] * (np.array([step]) * step) + two[2:]  # arrays wrap around in silence
+    return four, four[:-1] * step + c[4:]
+
+
+def _mix32(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint32(16))
+    h *= np.uint32(0x7FEB352D)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x846CA68B)
+    return h ^ (h >> np.uint32(16))
+
+
+def _bands(values: np.ndarray, starts: np.ndarray, rows: int, bands: int, salt: int) -> np.ndarray:
+    """(sets, bands) int64: hashes of `rows` MinHash samples each, of the sets that begin at `starts`."""
+    out = np.empty((starts.size, bands), np.uint64)
+    for b in range(bands):
+        h = np.full(starts.size, (salt << 8) + b + 1, np.uint64)
+        for k in range(b * rows, (b + 1) * rows):
+            h = mix(h + np.minimum.reduceat(values * _MULTIPLY[k] + _ADD[k], starts).astype(np.uint64) * _STEP)
+        out[:, b] = h
+    return out.view(np.int64)
+
+
+def _sets(h: np.ndarray, keep: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kept hashes, where each owner's begin among them, and the owners that have some."""
+    values, of = h[keep], owner[keep]
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if of.size else np.zeros(0, np.int64)
+    return values, first, of[first]
+
+
+def line_bands(lines: list[str]) -> list[np.ndarray]:
+    """The buckets of each line, as int64: none for lines of fewer than SHINGLE characters, which only equal lines are like."""
+    sizes = np.fromiter((len(x) for x in lines), np.int64, len(lines))
+    c = _points([*lines, " " * LONG])
+    owner = np.repeat(np.arange(len(lines)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(owner.size)  # characters from a place to its line's end
+    four, five = _rolling(c, np.uint32, _STEP32)
+    n = owner.size
+    eight = _mix32(four[:n] * _STEP32_4 + four[4 : n + 4])
+    found: list[list[np.ndarray]] = [[] for _ in lines]
+    # half of the long shingles, the same of every line, are sample enough; a line that has only others keeps those
+    inside = left >= LONG
+    half = inside & (eight & np.uint32(1) == 0)
+    some = np.zeros(len(lines), bool)
+    some[owner[half]] = True
+    values, starts, of = _sets(eight, half | (inside & ~some[owner]), owner)
+    if of.size:
+        for i, b in zip(of.tolist(), _bands(values, starts, ROWS, BANDS, 1)):
+            found[i].append(b)
+    short = (sizes < SHORT)[owner] & (left >= SHINGLE)
+    values, starts, of = _sets(_mix32(five[:n]), short, owner)
+    if of.size:
+        for i, b in zip(of.tolist(), _bands(values, starts, SHORT_ROWS, SHORT_BANDS, 2)):
+            found[i].append(b)
+    return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.zeros(0, np.int64) for x in found]
+
+
+def grams(line: str) -> np.ndarray:
+    """The set of character shingles, as sorted 64-bit hashes; a shorter line is one shingle."""
+    c = _points([line])
+    if c.size < SHINGLE:
+        powers = _STEP ** np.arange(1, c.size + 1, dtype=np.uint64)
+        return mix((c.astype(np.uint64) * powers).sum(keepdims=True, dtype=np.uint64) + np.uint64(c.size))
+    found = np.sort(mix(_rolling(c, np.uint64, _STEP)[1]))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])] if found.size > 1 else found
+
+
+def _runs(column: pa.Array, size: int = _CHUNK) -> Iterator[list[str]]:
+    """The column's texts in runs of about `size` characters, so that a batch of long lines doesn't fill the memory."""
+    run, n = [], 0
+    for t in column:
+        run.append(t.as_py())
+        n += len(run[-1])
+        if n >= size:
+            yield run
+            run, n = [], 0
+    if run:
+        yield run
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets of each line; a line that repeats within a batch has them once."""
+    for batch in batches:
+        at, names = 0, batch.schema.names
+        rest = [n for n in names if n != "line"]
+        for run in _runs(batch.column(names.index("line"))):
+            first = {x: i for i, x in reversed(list(enumerate(run)))}
+            where = sorted(first.values())
+            bands: list[np.ndarray] = [np.zeros(0, np.int64)] * len(run)
+            for i, b in zip(where, line_bands([run[i] for i in where])):
+                bands[i] = b
+            offsets = np.concatenate([[0], np.cumsum([b.size for b in bands])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(n)).slice(at, len(run)) for n in rest], lists], names=[*rest, "bands"])
+            at += len(run)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k1, size, sketch): how many shingles, and the odd sketch: bit g mod BITS is flipped for each shingle g."""
+    for batch in batches:
+        sizes, words = [], []
+        for t in batch.column(1):
+            g = grams(t.as_py())
+            sizes.append(g.size)
+            words.append(np.packbits((np.bincount((g & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * WORDS), pa.array(np.concatenate([np.zeros(0, np.int64), *words])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists], names=["k1", "size", "sketch"])
+
+
+def _near(similarity: float):
+    """Of rows (a, b, la, lb) the (a, b) whose lines' sets have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, last, left = [], None, None
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = a.as_py(), b.as_py()
+                if a != last:
+                    last, left = a, grams(a)
+                right = grams(b)
+                if min(left.size, right.size) < similarity * max(left.size, right.size):
+                    keep.append(False)
+                    continue
+                both = np.sort(np.concatenate([left, right]))
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                keep.append(common >= similarity * (left.size + right.size - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _key(a: str, b: str) -> Column:
@@ -90,62 +195,29 @@ def _key(a: str, b: str) -> Column:
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) whose lines' gram sets have the Jaccard similarity.  Lines travel as text, which is smaller than their sets."""
-    texts = texts.select("key", "line")
-    left = pairs.join(texts.withColumnsRenamed({"key": "a", "line": "la"}).hint("shuffle_merge"), "a")
-    both = left.join(texts.withColumnsRenamed({"key": "b", "line": "lb"}).hint("shuffle_merge"), "b")
-    # one expression, so that the optimizer can't compute the sets once per use
-    near = _let(
-        F.struct(grams_of(F.col("la")).alias("a"), grams_of(F.col("lb")).alias("b")),
-        lambda s: _let(F.size(F.array_intersect(s["a"], s["b"])), lambda n: n >= (F.size(s["a"]) + F.size(s["b"]) - n) * F.lit(similarity)),
-    )
-    return both.where(near).select("a", "b")
-
+    """The (a, b), as keys, of the pairs (p, q) of first hashes whose lines have the similarity."""
+    left = pairs.join(texts.select(F.col("k1").alias("p"), F.col("key").alias("a"), F.col("line").alias("la")).hint("shuffle_merge"), "p")
+    both = left.join(texts.select(F.col("k1").alias("q"), F.col("key").alias("b"), F.col("line").alias("lb")).hint("shuffle_merge"), "q")
+    return both.select("a", "b", "la", "lb").mapInArrow(_near(similarity), "a string, b string")
 
-def sketch(grams: Column) -> Column:
-    """(size, s0 .. s3): how many grams, and their odd sketch: bit g mod 256 is flipped for each gram g."""
-    word = lambda i: F.aggregate(F.filter(grams, lambda g: g.bitwiseAND(F.lit(SKETCH_WORDS - 1)) == i), F.lit(0).cast("long"), lambda z, g: z.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(g, 2).bitwiseAND(F.lit(63)).cast("int"))))
-    return F.struct(F.size(grams).alias("size"), *[word(i).alias(f"s{i}") for i in range(SKETCH_WORDS)])
 
+def _shared(signed: DataFrame) -> DataFrame:
+    """(band, node, pivot) of the members of buckets with several lines: one shuffle of 16 bytes a row serves their count and the join.
 
-def _crossing(rows: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) of different components in one bucket, by rows of (band, k1, k2, c, size, sketch), that may be linked.
-
-    The sieve loses no link: sets of this similarity differ in at most (1 - similarity) / (1 + similarity) of the sum of
-    their sizes, and each element in one of them only flips one bit, so sketches differ in no more bits; their sizes have a
-    ratio of at least `similarity`, so both lie in one class of sizes or in classes next to each other.  A bucket's class is
-    compared with itself and the next in blocks of BLOCK members, each a row of its own, so no bucket is a single task's load.
+    The pivot is the bucket's least node.  Buckets that hold HOT lines or more, by a sample of the lines, are cut into pieces,
+    so that no task holds one whole; a piece's least node is its members' pivot, and the whole's least node that of these.
     """
-    step = -math.log(similarity) if similarity < 1 else 1e-9
-    rows = rows.withColumn("cls", F.floor(F.log("size") / F.lit(step) + F.lit(1e-9)).cast("long"))
-    counted = rows.groupBy("band", "cls").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    # a class meets itself (d = 0) and the next larger one (d = 1); classes without a partner make no rows
-    blocks = counted.select("band", "cls", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "lo", "hi")
-    following = blocks.select("band", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("next_blocks"))
-    former = blocks.select("band", (F.col("cls") + 1).alias("cls"), F.col("blocks").alias("last_blocks"))
-    table = blocks.join(following, ["band", "cls"], "left").join(former, ["band", "cls"], "left").where("lo <> hi or next_blocks is not null or last_blocks is not null")
-    rows = rows.join(table, ["band", "cls"])
-    own = F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int")
-    kept = ["k1", "k2", "c", "size", *[f"s{i}" for i in range(SKETCH_WORDS)]]
-    inner = F.col("lo") != F.col("hi")
-
-    def cells(when: Column, lo: Column, hi: Column, cls: str, d: int, mine_first: bool) -> Column:
-        """(cls, d, x, y) for the other side's blocks from lo to hi; none unless `when`."""
-        other = lambda i: F.struct(F.expr(cls).alias("cls"), F.lit(d).alias("d"), (F.col("own") if mine_first else i).alias("x"), (i if mine_first else F.col("own")).alias("y"))
-        return F.when(when, F.transform(F.sequence(lo, hi), other)).otherwise(F.array().cast("array<struct<cls:bigint,d:int,x:int,y:int>>"))
-
-    zero = F.lit(0)
-    rows = rows.withColumn("own", own)
-    first = F.concat(cells(inner, F.col("own"), F.col("blocks") - 1, "cls", 0, True), cells(F.col("next_blocks").isNotNull(), zero, F.coalesce("next_blocks", F.lit(1)) - 1, "cls", 1, True))
-    second = F.concat(cells(inner, zero, F.col("own"), "cls", 0, False), cells(F.col("last_blocks").isNotNull(), zero, F.coalesce("last_blocks", F.lit(1)) - 1, "cls - 1", 1, False))
-    left = rows.select("band", F.explode(first).alias("cell"), *kept).select("band", "cell.*", *[F.col(k).alias(f"{k}a") for k in kept])
-    right = rows.select("band", F.explode(second).alias("cell"), *kept).select("band", "cell.*", *[F.col(k).alias(f"{k}b") for k in kept])
-    differ = sum((F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    limit = (F.col("sizea") + F.col("sizeb")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
-    once = (F.col("d") == 1) | (F.col("x") < F.col("y")) | (F.col("k1a") < F.col("k1b")) | ((F.col("k1a") == F.col("k1b")) & (F.col("k2a") < F.col("k2b")))
-    near = left.join(right.hint("shuffle_merge"), ["band", "cls", "d", "x", "y"]).where((F.col("ca") != F.col("cb")) & once & (differ <= limit))
-    pairs = near.select("k1a", "k2a", "k1b", "k2b").distinct().select(_key("k1a", "k2a").alias("p"), _key("k1b", "k2b").alias("q"))
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    member = signed.select(F.explode("bands").alias("band"), F.col("k1").alias("node"))
+    seen = member.where(F.pmod("node", F.lit(HOT_SAMPLE)) == 0).groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT // HOT_SAMPLE)
+    hot = materialise(seen.select("band", F.ceil(F.col("n") * HOT_SAMPLE / HOT).cast("int").alias("pieces")), "line-hot")
+    # a row per HOT members of some bucket at most, so this side is a millionth of the members
+    salted = member.join(maybe_broadcast(hot), "band", "left").select("band", "node", F.coalesce(F.pmod(F.xxhash64("node"), F.col("pieces")) + 1, F.lit(0)).cast("int").alias("piece"))
+    salted = salted.repartition("band", "piece")
+    pivots = salted.groupBy("band", "piece").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last or piece > 0").drop("last")
+    shared = materialise(salted.join(pivots.hint("shuffle_hash"), ["band", "piece"]), "line-shared")
+    heads = shared.where("piece > 0 and node = pivot").groupBy("band").agg(F.min("pivot").alias("top"))
+    tops = shared.where("piece > 0 and node = pivot").join(heads, "band").select("band", "node", F.col("top").alias("pivot"))
+    return shared.select("band", "node", "pivot").unionByName(tops)
 
 
 def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,59 +227,48 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     `similarity`; a class is a connected component, and its line of least (doc_id, line_no) is kept.  `line_class` is
     the least line key (128 bits in hex) in the class.
 
-    Equal lines become one key first, so boilerplate on a third of all lines is one row per task before the shuffle.
-    Round 1 pairs every member of a bucket with the bucket's least key.  Round 2 takes buckets that still hold several
-    components and compares all their members across components, sketch against sketch (see `_crossing`), so no link whose
-    lines share a bucket is lost.  All pairs are confirmed on exact gram sets.
-
-    Null and empty texts have no lines to compare; blank lines belong to no class and are left out; lines with few
-    word starts (short ones, or texts without blanks) are also put into buckets by their grams; rows that repeat an id
-    share their places and are kept or dropped together; a null id comes first; an empty table gives an empty result;
+    1. One scan cuts texts into lines and signs each: bands of three MinHash samples of its 8-character shingles, and for
+       short lines also of its 5-character ones.  Equal lines share their key, and boilerplate that fills
+       a third of all lines is signed once a batch.
+    2. Every member of a bucket is paired with the bucket's pivot; pairs are confirmed on exact sets, links merged.
+    3. Buckets that still hold several components are compared across them (see `crossing_cells`), sketch against sketch.
+       This sieve loses no link: sets of this similarity differ in at most (1 - s) / (1 + s) of the sum of their sizes, and
+       each element in one of them only flips one bit.  What passes is confirmed likewise.  So no link whose lines share a bucket is lost.
+
+    Null and empty texts have no lines to compare; blank lines belong to no class and are left out; a line of fewer than 5
+    characters equals only itself; very long lines are one line, read whole; rows that repeat an id share their places and
+    are kept or dropped together; a null id comes first; ties of place are kept together; an empty table gives an empty result;
     other columns are never read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    integral = dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    integral = kind in ("bigint", "int", "smallint", "tinyint")
     # as one decimal, (doc_id, line_no) is combined by hash aggregates; null ids come first
     place = (F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(-1 << 63).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(31,0)")
-    keyed = (
-        lines_of(docs)
-        .where("line <> ''")
-        .select("doc_id", "line_no", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), (place if integral else F.struct("doc_id", "line_no")).alias("place"))
-    )
-    # equal lines become one row first; as plain columns of fixed width, everything is combined by hash before the shuffle
-    signed = keyed.select("k1", "k2", samples_of(F.col("line")).alias("least")).select("k1", "k2", *[band("least", i).alias(f"b{i}") for i in range(BANDS)])
-    distinct = signed.groupBy("k1", "k2").agg(*[F.any_value(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
-    member = distinct.select("k1", "k2", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band")).where("band is not null")
-    # texts of few words are short as a rule; equal ones become one row before their grams are cut
-    few = keyed.where(F.length("line") - F.length(F.translate("line", " ", "")) < FEW_BLANKS).groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
-    member = member.unionAll(few.select("k1", "k2", F.explode(gram_bands(F.col("line"))).alias("band")))
-    # one shuffle by band serves both the count and the join; its rows are 24 bytes and are read in a stream
-    member = member.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band")
-    crowded = member.groupBy("band").agg(F.min("k1").alias("p1"), F.min_by("k2", "k1").alias("p2"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = member.join(crowded.drop("n").hint("shuffle_hash"), "band")  # a row per crowded band, so a partition's table is small
-    shared = materialise(shared.select("band", "k1", "k2", _key("k1", "k2").alias("key"), _key("p1", "p2").alias("pivot")), "line-shared")
-    keys = materialise(shared.select("k1", "k2", "key").distinct(), "line-keys")
-    texts = keyed.select("k1", "k2", "line").join(maybe_broadcast(keys.select("k1", "k2"), keys.count(), 40), ["k1", "k2"], "left_semi")
+    place = place if integral else F.struct("doc_id", "line_no")
+    keyed = lines_of(docs).where("line <> ''").select("doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "line")
+    signed = materialise(keyed.mapInArrow(_sign, f"doc_id {kind}, line_no int, k1 bigint, k2 bigint, bands array<bigint>"), "line-signed")
+
+    shared = materialise(_shared(signed), "line-buckets")
+    wanted = materialise(shared.select(F.col("node").alias("w")).distinct(), "line-wanted")
+    texts = keyed.select("k1", "k2", "line").join(maybe_broadcast(wanted), F.col("k1") == F.col("w"), "left_semi")
     texts = materialise(texts.groupBy("k1", "k2").agg(F.any_value("line").alias("line")).select("k1", "k2", _key("k1", "k2").alias("key"), "line"), "line-texts")
-    stars = materialise(shared.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "line-stars")
+    # pairs of first hashes; should two lines ever share one, both meet the other side
+    stars = materialise(shared.where("node <> pivot").select(F.col("pivot").alias("p"), F.col("node").alias("q")).distinct(), "line-stars")
     links = materialise(_confirm(stars, texts, similarity), "line-links")
     component = connected_components(links)
 
-    def by_hash(components: DataFrame) -> DataFrame:
-        return keys.join(components, F.col("key") == F.col("node")).select("k1", "k2", "component")
-
-    # from here two longs stand for a line, and one for its component, which hash aggregates and sorts take cheaply
-    n_keys = keys.count()
-    owner = maybe_broadcast(by_hash(component).select("k1", "k2", F.xxhash64("component").alias("c")), n_keys, 40)
-    labelled = materialise(
-        shared.select("k1", "k2", "band").join(owner, ["k1", "k2"], "left").select("k1", "k2", "band", F.coalesce("c", F.xxhash64(_key("k1", "k2"))).alias("c")), "line-labelled"
-    )
-    split = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    open_rows = materialise(labelled.join(split.hint("shuffle_hash"), "band"), "line-open")
-    opened = open_rows.select("k1", "k2").distinct()
-    sketched = materialise(texts.join(opened, ["k1", "k2"], "left_semi").select("k1", "k2", _let(grams_of(F.col("line")), sketch).alias("z")).select("k1", "k2", "z.*"), "line-sketches")
-    again = _crossing(open_rows.join(sketched, ["k1", "k2"]), similarity).join(stars, ["a", "b"], "left_anti")
-    again = materialise(again, "line-again")
+    # from here a long stands for a line, and one for its component, which hash aggregates and sorts take cheaply
+    owner = texts.join(component, F.col("key") == F.col("node")).select(F.col("k1").alias("o"), F.xxhash64("component").alias("c"))
+    owner = materialise(owner.groupBy("o").agg(F.min("c").alias("c")), "line-owners")
+    labelled = shared.select("band", "node").distinct().join(maybe_broadcast(owner), F.col("node") == F.col("o"), "left")
+    labelled = materialise(labelled.select("band", "node", F.coalesce("c", F.xxhash64(F.col("node"))).alias("component")), "line-labelled")
+    split = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    labelled = materialise(labelled.join(split, "band"), "line-open")
+    opened = labelled.select(F.col("node").alias("w")).distinct()
+    sketches = texts.select("k1", "line").join(opened, F.col("k1") == F.col("w"), "left_semi").mapInArrow(_sketch, "k1 bigint, size bigint, sketch array<bigint>")
+    sketches = materialise(sketches.groupBy("k1").agg(F.min("size").alias("size"), F.any_value("sketch").alias("sketch")), "line-sketches")
+    again = materialise(_across(labelled, sketches, similarity).join(stars, ["p", "q"], "left_anti"), "line-again")
     if not again.isEmpty():
         more = materialise(_confirm(again, texts, similarity), "line-more")
         if not more.isEmpty():  # these join components, so a graph of components is enough
@@ -220,31 +281,54 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
             component = materialise(component, "line-components")
 
     # classes are found per key; only keys of classes with several lines go back to the lines
-    per_key = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
-    per_key = materialise(per_key, "line-keys-all")
-    owner = materialise(by_hash(component), "line-owner")
-    named = per_key.join(maybe_broadcast(owner, n_keys, 80), ["k1", "k2"], "left").where("n > 1 or component is not null").withColumn("class", F.coalesce("component", _key("k1", "k2")))
+    per_key = signed.select("k1", "k2", place.alias("place")).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    owner = materialise(texts.join(component, F.col("key") == F.col("node")).select("k1", "k2", "component"), "line-owner")
+    free(shared, wanted, stars, links, labelled, sketches, again, texts)
+    named = per_key.join(maybe_broadcast(owner), ["k1", "k2"], "left").where("n > 1 or component is not null").withColumn("class", F.coalesce("component", _key("k1", "k2")))
     named = materialise(named.select("k1", "k2", "n", "first", "class"), "line-named")
     classes = named.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("first").alias("class_first"))
-    repeated = materialise(named.select("k1", "k2", "class").join(classes, "class"), "line-repeated")
-    side = maybe_broadcast(repeated.withColumnsRenamed({"k1": "r1", "k2": "r2"}), repeated.count(), 120)
-    return keyed.join(side, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left").select(
+    repeated = materialise(named.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "class").join(classes, "class"), "line-repeated")
+    return signed.join(maybe_broadcast(repeated), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left").select(
         "doc_id",
         "line_no",
         F.coalesce("class", _key("k1", "k2")).alias("line_class"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        (F.col("class_first").isNull() | (F.col("place") == F.col("class_first"))).alias("kept"),
+        (F.col("class_first").isNull() | (place == F.col("class_first"))).alias("kept"),
     )
 
 
+def _across(labelled: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The (p, q), p < q, of different components in one bucket that may be linked by their sizes and sketches."""
+    left, right = crossing_cells(labelled)
+    words = [F.get("sketch", i).alias(f"s{i}") for i in range(WORDS)]
+    sketches = sketches.select("k1", "size", *words)
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.join(sketches, F.col("node") == F.col("k1"))
+        return rows.select("band", "x", "y", *[F.col(c).alias(f"{c}{name}") for c in ("node", "component", "rest", "size", *[f"s{i}" for i in range(WORDS)])])
+
+    differ = sum((F.bit_count(F.col(f"s{i}p").bitwiseXOR(F.col(f"s{i}q"))) for i in range(WORDS)), F.lit(0))
+    limit = (F.col("sizep") + F.col("sizeq")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    sizes = F.least("sizep", "sizeq") >= F.greatest("sizep", "sizeq") * F.lit(similarity) - F.lit(1e-6)
+    once = ~F.col("restq") | (F.col("nodep") < F.col("nodeq"))
+    met = side(left, "p").join(side(right, "q").hint("shuffle_merge"), ["band", "x", "y"])
+    met = met.where((F.col("componentp") != F.col("componentq")) & once & sizes & (differ <= limit))
+    return met.select(F.least("nodep", "nodeq").alias("p"), F.greatest("nodep", "nodeq").alias("q")).distinct()
+
+
 def drop_repeated_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the lines that aren't kept cut out of their texts; blank lines and all other columns stay."""
+    """`docs` with the lines that aren't kept cut out of their texts; blank lines and all other columns stay.
+
+    Null texts stay null, and a text none of whose lines is kept becomes empty; rows that repeat an id (or have none) lose the
+    same line numbers; extra columns of any name are kept; an empty table gives an empty result.
+    """
+    key, cut = fresh("cut_id", docs), fresh("cut", docs)
     dropped = line_components(docs, similarity, id_col, text_col).where("not kept")
-    per_doc = dropped.groupBy("doc_id").agg(F.collect_set("line_no").alias("__cut"))  # as many as one text has lines
+    per_doc = dropped.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(cut))  # as many as one text has lines
     lines = F.split(F.col(text_col), "\n")
-    rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("__cut"), i)), "\n")
+    rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col(cut), i)), "\n")
     return (
-        docs.join(per_doc.withColumnRenamed("doc_id", "__id"), F.col(id_col).eqNullSafe(F.col("__id")), "left")
-        .withColumn(text_col, F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(rest))
+        docs.join(per_doc, F.col(id_col).eqNullSafe(F.col(key)), "left")
+        .withColumn(text_col, F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(rest))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm import textbytes as tb
+from lorekeep.llm.buckets import crossing_cells
 from lorekeep.llm.common import free, fresh, materialise, maybe_broadcast
 from lorekeep.llm.components import connected_components
 
@@ -19,8 +20,6 @@ BANDS, ROWS = 28, 6
 SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch.
 BITS = 512
-#: Pairs of a bucket of more members than this are compared in blocks of so many.
-BLOCK = 256
 
 _rng = np.random.default_rng(20240607)
 _MULTIPLY = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -185,28 +184,6 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int)
     return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
 
 
-def crossing_cells(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The two sides (band, x, y, node, component, rest) whose join on (band, x, y) meets every pair of one bucket's
-    members in different components, by rows of (band, node, component).
-
-    One side holds the members outside the bucket's largest component, the other all members; both are cut into blocks
-    of BLOCK, and a row goes to each block of the other side.
-    """
-    groups = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    table = (
-        groups.groupBy("band")
-        .agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("size"))
-        .where("size > most.n")
-        .select("band", F.col("most.component").alias("main"), F.ceil((F.col("size") - F.col("most.n")) / BLOCK).cast("int").alias("xs"), F.ceil(F.col("size") / BLOCK).cast("int").alias("ys"))
-    )
-    rows = labelled.join(table, "band").withColumn("rest", F.col("component") != F.col("main"))
-    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("rest").select("band", block("xs").alias("x"), every("ys").alias("y"), "node", "component", "rest")
-    right = rows.select("band", every("xs").alias("x"), block("ys").alias("y"), "node", "component", "rest")
-    return left, right
-
-
 def _across(cells: tuple[DataFrame, DataFrame], sketches: DataFrame, limit: int) -> DataFrame:
     """The (a, b), a < b, of different components in one bucket whose sketches differ in at most `limit` bits."""
     left, right = cells
@@ -266,11 +243,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     labelled = shared.select("band", "node").join(component, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     labelled = materialise(labelled, "near-labelled")
     cells = crossing_cells(labelled)
-    crossing = (
-        _across(cells, sketches, limit)
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    crossing = materialise(crossing, "near-crossing")
+    crossing = materialise(_across(cells, sketches, limit).join(stars, ["a", "b"], "left_anti"), "near-crossing")
     free(labelled, shared)
     if not crossing.isEmpty():
         more = materialise(_confirm(crossing, docs, nodes, percent), "near-more")
