@@ -72,8 +72,8 @@ QUERIES = {
         None,
     ),
     "fact_prefilter": (
-        lambda s, d: T.prefilter(facts(s, d).where("seq % 10 = 0").withColumn("cosine", F.lit(-1.0)), ["purchase", "u7"], ["purchase"]).select("id", "score"),
-        f"""WITH {FACTS}, c AS (SELECT id, relation, list_distinct(regexp_extract_all(lower(subject || ' ' || replace(relation, '_', ' ') || ' ' || value), '[a-z0-9'']+')) AS t FROM facts WHERE seq % 10 = 0),
+        lambda s, d: T.prefilter(facts(s, d).withColumn("cosine", F.lit(-1.0)), ["purchase", "u7"], ["purchase"]).select("id", "score"),
+        f"""WITH {FACTS}, c AS (SELECT id, relation, list_distinct(regexp_extract_all(lower(subject || ' ' || replace(relation, '_', ' ') || ' ' || value), '[a-z0-9'']+')) AS t FROM facts),
             s AS (SELECT id, round(0.45 * len(list_intersect(t, ['purchase', 'u7'])) / len(list_distinct(list_concat(t, ['purchase', 'u7']))) + 0.10 * CAST(relation = 'purchase' AS INTEGER), 6) AS score FROM c)
             SELECT id, score FROM s WHERE score >= 0.08""",
     ),

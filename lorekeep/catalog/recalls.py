@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.catalog.graph import TRIPLES, triple_facts
 from lorekeep.catalog.text import TERMS, bm25_sql, docs
-from lorekeep.functions import arrays as A
 from lorekeep.operators import fulltext as T
 from lorekeep.operators import recall as R
+from lorekeep.operators import vectors as V
 from lorekeep.sources.tables import table
 
 
@@ -26,10 +26,9 @@ def stepped(s, d):
 
 def metrics(s, d):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    q = v.where("id < 20").select(F.col("id").alias("query"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))
-    scored = v.join(q, F.col("id") != F.col("query")).withColumn("score", F.round(A.cosine(F.col("embedding"), F.col("qe")), 6))  # twenty stated queries
-    ranked = R.rank_within(scored.select("query", "id", "score"), "query", "score").where("rank <= 50")
-    relevant = v.join(q, (F.col("label") == F.col("ql")) & (F.col("id") != F.col("query"))).select("query", "id")
+    q = v.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding", F.col("label").alias("ql"))  # every 20th asks, all rows answer
+    ranked = V.search_many(v, q, 50)
+    relevant = v.join(q.drop("embedding"), (F.col("label") == F.col("ql")) & (F.col("id") != F.col("query"))).select("query", "id")
     return R.retrieval_metrics(ranked, relevant, 5)
 
 
@@ -52,7 +51,7 @@ QUERIES = {
     ),
     "retrieval_metrics": (
         metrics,
-        """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), q AS (SELECT id AS query, e AS qe, label AS ql FROM v WHERE id < 20),
+        """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), q AS (SELECT id AS query, e AS qe, label AS ql FROM v WHERE id % 20 = 0),
            r AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(e, qe), 6) DESC, id) AS rank FROM v JOIN q ON id <> query),
            w AS (SELECT query, id FROM v JOIN q ON label = ql AND id <> query),
            f AS (SELECT query, min(rank) AS best, count(*) FILTER (rank <= 5) AS found FROM r JOIN w USING (query, id) WHERE rank <= 50 GROUP BY query),

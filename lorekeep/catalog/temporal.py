@@ -173,8 +173,8 @@ QUERIES = {
         f"WITH {FACTS} SELECT seq, subject, relation, value FROM facts ORDER BY tx_from DESC, seq DESC LIMIT 50",
     ),
     "diversify_per_relation": (
-        lambda s, d: T.diversify(facts(s, d).where("is_active").orderBy("seq").limit(400).withColumn("rank", F.col("seq")), 30).select("seq", "relation", "overflow"),
-        f"""WITH {FACTS}, r AS (SELECT * FROM facts WHERE is_active ORDER BY seq LIMIT 400),
+        lambda s, d: T.diversify(facts(s, d).where("is_active").withColumn("rank", F.col("seq")), 30).select("seq", "relation", "overflow"),
+        f"""WITH {FACTS}, r AS (SELECT * FROM facts WHERE is_active),
             o AS (SELECT seq, relation, CAST(row_number() OVER (PARTITION BY relation ORDER BY seq) > 4 AS INTEGER) AS overflow FROM r)
             SELECT seq, relation, overflow FROM o ORDER BY overflow, seq LIMIT 30""",
     ),

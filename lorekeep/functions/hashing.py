@@ -9,6 +9,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.scratch import materialise
+
 ID_FIELDS = ("user_id", "agent_id", "run_id", "subject", "relation", "value", "valid_from", "valid_to")
 
 
@@ -22,12 +24,15 @@ def canonical_json(value: object) -> str:
 
 
 def merkle_root(leaves: DataFrame, position: str = "position", digest: str = "digest") -> str | None:
-    """Root over hex digests in order of position (dense from 0): one aggregate per level, the last node doubled when odd."""
+    """Root over hex digests in order of position (dense from 0): one aggregate per level, lineage cut every fourth, the last node doubled when odd."""
     level = leaves.select(F.col(position).cast("long").alias("i"), F.col(digest).alias("h"))
-    n = level.count()
+    n, step = level.count(), 0
     if not n:
         return None
     while n > 1:
+        if step % 4 == 3:  # so that a plan holds few levels
+            level = materialise(level, "merkle")
+        step += 1
         level = level.groupBy(F.expr("i div 2").alias("i")).agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b")).select("i", F.sha2(F.concat("a", "b"), 256).alias("h"))
         n = (n + 1) // 2
     return level.first()["h"]

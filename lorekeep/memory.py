@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import aggregates, extraction, governance, lifecycle, temporal
 from lorekeep.plans import planner, sparql
+from lorekeep.scratch import materialise
 from lorekeep.sources.tables import scope_filter, with_defaults, with_fact_ids
 
 
@@ -28,13 +29,15 @@ class Memory:
         """Extract facts from messages (id, text, user_id, ts), close superseded intervals, and return the new facts."""
         found = extraction.dedup_candidates(extraction.extract(messages, gist=False).withColumn("user_id", F.col("subject")))
         said = found.where("NOT retraction").select("user_id", "subject", "relation", "value", "confidence", "source_id", F.coalesce(F.to_timestamp("at"), F.col("ts")).alias("valid_from"), F.col("ts").alias("tx_from"))
-        new = with_fact_ids(with_defaults(said)).withColumn("seq", F.monotonically_increasing_id())
+        # written, so that the numbers are fixed and plans don't grow with every call
+        start = 0 if self.facts is None else (self.facts.agg(F.max("seq")).first()[0] or 0) + 1
+        new = materialise(with_fact_ids(with_defaults(said)).withColumn("seq", F.monotonically_increasing_id() + start), "memory-new")
         known = new if self.facts is None else self.facts.unionByName(new, allowMissingColumns=True)
         single = known.where(F.col("relation").isin(*lifecycle.SINGLE_VALUED))
         closed = temporal.close_intervals(single, ("user_id", "subject", "relation"), ("valid_from", "tx_from", "id")).withColumn("is_active", F.col("is_active") & F.col("valid_to").isNull())
         known = closed.unionByName(known.where(~F.col("relation").isin(*lifecycle.SINGLE_VALUED)))
         gone = found.where("retraction").select("subject", "relation", "value", F.coalesce(F.to_timestamp("at"), F.col("ts")).alias("valid_from"))
-        self.facts = lifecycle.retract(known, gone)
+        self.facts = materialise(lifecycle.retract(known, gone), "memory-facts")
         own = messages.select("id", "text", "user_id", "ts")
         self.chunks = own if self.chunks is None else self.chunks.unionByName(own)
         return new
@@ -58,7 +61,7 @@ class Memory:
 
     def erase(self, user_id: str) -> None:
         tables = governance.erase({"facts": self.facts, "chunks": self.chunks}, user_id)
-        self.facts, self.chunks = tables["facts"], tables["chunks"]
+        self.facts, self.chunks = materialise(tables["facts"], "memory-facts"), materialise(tables["chunks"], "memory-chunks")
 
     def stats(self) -> DataFrame:
         return aggregates.store_stats(self.facts)

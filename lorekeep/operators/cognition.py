@@ -16,8 +16,8 @@ def fanout(facts: DataFrame, side: str = "subject", least: int = 2) -> DataFrame
     return facts.groupBy("relation", side).agg(F.countDistinct(other).alias("fanout")).where(F.col("fanout") >= least)
 
 
-def co_occurrence(facts: DataFrame, fraction: float = 0.30, top: int = 20) -> DataFrame:
-    """Ordered relation pairs (a, b) by the share of a's subjects that have b too."""
+def co_occurrence(facts: DataFrame, fraction: float = 0.30, top: int | None = 20) -> DataFrame:
+    """Ordered relation pairs (a, b) by the share of a's subjects that have b too; the best `top`, or all in no order."""
     has = facts.select("subject", "relation").distinct()
     sizes = has.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
     pairs = (
@@ -28,13 +28,8 @@ def co_occurrence(facts: DataFrame, fraction: float = 0.30, top: int = 20) -> Da
         .agg(F.count(F.lit(1)).alias("shared"))
         .join(sizes.withColumnRenamed("relation", "a"), "a")
     )
-    return (
-        pairs.withColumn("fraction", F.round(F.col("shared") / F.col("n"), 6))
-        .where(F.col("fraction") >= fraction)
-        .select("a", "b", "shared", "fraction")
-        .orderBy(F.col("fraction").desc(), F.col("shared").desc(), "a", "b")
-        .limit(top)
-    )
+    found = pairs.withColumn("fraction", F.round(F.col("shared") / F.col("n"), 6)).where(F.col("fraction") >= fraction).select("a", "b", "shared", "fraction")
+    return found if top is None else found.orderBy(F.col("fraction").desc(), F.col("shared").desc(), "a", "b").limit(top)
 
 
 def relation_pairs(facts: DataFrame) -> DataFrame:
@@ -62,7 +57,7 @@ def gaps(facts: DataFrame, fraction: float = 0.5) -> DataFrame:
     with subjects times relations but the answer.
     """
     has = facts.select("subject", "relation").distinct()
-    expected = co_occurrence(facts, fraction, top=1_000_000).select(F.col("a").alias("relation"), F.col("b").alias("missing"), "fraction")
+    expected = co_occurrence(facts, fraction, top=None).select(F.col("a").alias("relation"), F.col("b").alias("missing"), "fraction")
     wanted = has.join(expected, "relation").groupBy("subject", "missing").agg(F.max("fraction").alias("support"))
     return wanted.join(has.withColumnRenamed("relation", "missing"), ["subject", "missing"], "left_anti").select("subject", F.col("missing").alias("relation"), "support")
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.scoring import bm25_idf, bm25_weight
 from lorekeep.functions.text import STOPWORDS, edit_similarity, jaccard, simple_words
+from lorekeep.scratch import materialise
+
+
+#: So many of the most frequent tainted tokens come last in an overlap scan's order.
+COMMON = 500
 
 
 def tokenised(chunks: DataFrame, tokens: Column | None = None) -> DataFrame:
@@ -63,7 +70,7 @@ def phrase_search(chunks: DataFrame, phrase: list[str], slop: int = 0) -> DataFr
     if not slop:
         line = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
         # look-ahead, so that a word may end one hit and begin the next
-        hits = F.regexp_count(line, F.lit(" " + " ".join(phrase) + "(?= )"))
+        hits = F.regexp_count(line, F.lit(" " + " ".join(map(re.escape, phrase)) + "(?= )"))
         return t.select("id", hits.alias("hits")).where("hits > 0")
     wanted = F.array(*[F.lit(w) for w in phrase])
     places = (
@@ -115,8 +122,10 @@ def correct_spelling(spark: SparkSession, chunks: DataFrame, queries: list[str],
 
 
 def highlight(chunks: DataFrame, terms: list[str], before: str = "<b>", after: str = "</b>") -> DataFrame:
-    pattern = r"(?i)\b(" + "|".join(terms) + r")\b"
-    marked = F.regexp_replace("text", pattern, f"{before}$1{after}")
+    """Chunks with a term as a whole word, its hits counted and marked.  Terms and marks are taken literally; longer terms first."""
+    pattern = r"(?i)(?<!\w)(" + "|".join(re.escape(t) for t in sorted(terms, key=lambda t: (-len(t), t))) + r")(?!\w)"
+    plain = [re.sub(r"([\\$])", r"\\\1", x) for x in (before, after)]
+    marked = F.regexp_replace("text", pattern, f"{plain[0]}$1{plain[1]}")
     return chunks.where(F.col("text").rlike(pattern)).select("id", F.regexp_count("text", F.lit(pattern)).alias("hits"), marked.alias("marked"))
 
 
@@ -142,14 +151,29 @@ def neighbours(chunks: DataFrame, ids: DataFrame, before: int = 1, after: int =
 
 
 def overlap_scan(lines: DataFrame, tainted: DataFrame, threshold: float = 0.5, least_tokens: int = 4) -> DataFrame:
-    """Lines whose token set overlaps a tainted line's: id, line_no, item, overlap (Jaccard), through an inverted index of the tainted side."""
+    """Lines whose token set overlaps a tainted line's: id, line_no, item, overlap (Jaccard).
+
+    Sets of n tokens with this Jaccard share one of each other's first n - ceil(threshold * n) + 1 tokens in any common order, so
+    only those meet through an index of the tainted side, and what meets is verified on whole sets at once.  The order puts the
+    tainted side's COMMON most frequent tokens last, so that "the" is no line's prefix unless nothing else is left.
+    """
     ours = lines.select("id", "line_no", F.array_distinct(simple_words(F.col("line"))).alias("t")).where("size(t) > 0")
-    theirs = tainted.select("item", F.array_distinct(simple_words(F.col("line"))).alias("t")).where(F.size("t") >= least_tokens)
-    left = ours.select("id", "line_no", F.size("t").alias("na"), F.explode("t").alias("token"))
-    right = theirs.select("item", F.size("t").alias("nb"), F.explode("t").alias("token"))
-    shared = left.join(right, "token").groupBy("id", "line_no", "item", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
-    overlap = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    return shared.withColumn("overlap", F.round(overlap, 6)).where(overlap >= threshold).select("id", "line_no", "item", "overlap")
+    theirs = materialise(tainted.select("item", F.array_distinct(simple_words(F.col("line"))).alias("u")).where(F.size("u") >= least_tokens), "overlap-items")
+    frequent = theirs.select(F.explode("u").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = [r["token"] for r in frequent.orderBy(F.desc("n"), "token").limit(COMMON).collect()][::-1]  # at most COMMON words
+    late = F.array(*[F.lit(x) for x in common]).cast("array<string>")
+
+    def prefix(t: str) -> Column:
+        ordered = F.array_sort(F.transform(t, lambda x: F.struct(F.array_position(late, x).alias("late"), F.xxhash64(x).alias("h"), x.alias("token"))))
+        return F.transform(F.slice(ordered, F.lit(1), F.size(t) - F.ceil(F.size(t) * F.lit(threshold) - 1e-9).cast("int") + 1), lambda x: x["token"])
+
+    left = ours.select("id", "line_no", "t", F.explode(prefix("t")).alias("token"))
+    right = theirs.select("item", "u", F.explode(prefix("u")).alias("token"))
+    sizes = F.least(F.size("t"), F.size("u")) >= F.greatest(F.size("t"), F.size("u")) * F.lit(threshold) - 1e-9
+    both = F.size(F.array_intersect("t", "u"))
+    overlap = both / (F.size("t") + F.size("u") - both)
+    met = left.join(right, "token").where(sizes).where(overlap >= threshold)
+    return met.select("id", "line_no", "item", F.round(overlap, 6).alias("overlap")).distinct()
 
 
 def similar_pairs(rows: DataFrame, block: str, id_col: str, text_col: str, threshold: float) -> DataFrame:

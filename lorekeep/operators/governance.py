@@ -22,19 +22,19 @@ HIGH_RISK = (
     r"act as (an )?unrestricted",
 )
 MEDIUM_RISK = (r"pretend (to be|you are)", r"system prompt", r"do not tell (anyone|the user)", r"new instructions:")
-BENIGN = r"(never|don't|do not|must not|should not) (ignore|disregard|forget|override)"
+BENIGN = r"(never|don't|do not|must not|should not) ignore"
 
 
 def injection_risk(text: Column) -> Column:
-    """high, medium or none; advice against an attack is no attack."""
+    """high, medium or none.  Advice against ignoring instructions is no attack, but clears that rule only, and only where it stands."""
     low = F.lower(text)
-    high = F.lit(False)
-    for p in HIGH_RISK:
+    high = F.regexp_replace(low, BENIGN, " ").rlike(HIGH_RISK[0])
+    for p in HIGH_RISK[1:]:
         high = high | low.rlike(p)
     medium = F.lit(False)
     for p in MEDIUM_RISK:
         medium = medium | low.rlike(p)
-    return F.when(low.rlike(BENIGN), "none").when(high, "high").when(medium, "medium").otherwise("none")
+    return F.when(high, "high").when(medium, "medium").otherwise("none")
 
 
 def _iban_ok(found: str) -> bool:
@@ -137,19 +137,25 @@ def expire(facts: DataFrame, now: str, days: int) -> DataFrame:
     return facts.withColumn("is_active", F.col("is_active") & ~old).withColumn("tx_to", F.when(old, F.lit(now).cast("timestamp")).otherwise(F.col("tx_to")))
 
 
-def erase(tables: dict[str, DataFrame], user_id: str) -> dict[str, DataFrame]:
-    """Every table without the user's rows; tables keyed by facts lose what points to them."""
+def erase(tables: dict[str, DataFrame], user_id: str, keys: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Every table without the user's rows; tables keyed by facts lose what points to them.
+
+    A table without `user_id`, `src` and `dst`, or `fact_id` needs the name of its column of fact ids in `keys` (by table);
+    one that has none of these is refused, since its rows of the user would survive.
+    """
     gone = tables["facts"].where(F.col("user_id") == user_id).select("id")
-    out = {}
+    keys, out = keys or {}, {}
     for name, df in tables.items():
-        if "user_id" in df.columns:
+        if name in keys:
+            out[name] = df.join(gone.withColumnRenamed("id", keys[name]), keys[name], "left_anti")
+        elif "user_id" in df.columns:
             out[name] = df.where(~F.col("user_id").eqNullSafe(F.lit(user_id)))
         elif {"src", "dst"} <= set(df.columns):
             out[name] = df.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
         elif "fact_id" in df.columns:
             out[name] = df.join(gone.withColumnRenamed("id", "fact_id"), "fact_id", "left_anti")
         else:
-            out[name] = df
+            raise ValueError(f"table {name} names neither a user nor facts; give its column of fact ids")
     return out
 
 
@@ -165,18 +171,23 @@ _ENTRY = "seq bigint, actor string, action string, resource string, prev_hash st
 
 
 def chain_audit(log: DataFrame, genesis: str = "0" * 64) -> DataFrame:
-    """Hash-chained log, a chain per actor, in order of seq.  Hashes depend on their predecessor, so a chain is one task's work;
-    chains of different actors run apart."""
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        prev, rows = genesis, []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            own = hashlib.sha256("\x1f".join([prev, str(r.seq), r.actor, r.action, r.resource]).encode()).hexdigest()
-            rows.append((r.seq, r.actor, r.action, r.resource, prev, own))
-            prev = own
-        return pd.DataFrame(rows, columns=["seq", "actor", "action", "resource", "prev_hash", "hash"])
-
-    return log.select("seq", "actor", "action", "resource").groupBy("actor").applyInPandas(link, _ENTRY)
+    """Hash-chained log, a chain per actor, in order of seq.  Hashes depend on their predecessor, so a chain is one task's work,
+    but not its memory: rows come sorted and in batches, and only the last hash is carried on.  Chains of different actors run
+    apart."""
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        actor, prev = None, genesis
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                if r.actor != actor:
+                    actor, prev = r.actor, genesis
+                own = hashlib.sha256("\x1f".join([prev, str(r.seq), r.actor, r.action, r.resource]).encode()).hexdigest()
+                rows.append((r.seq, r.actor, r.action, r.resource, prev, own))
+                prev = own
+            yield pd.DataFrame(rows, columns=["seq", "actor", "action", "resource", "prev_hash", "hash"])
+
+    return log.select("seq", "actor", "action", "resource").repartition("actor").sortWithinPartitions("actor", "seq").mapInPandas(link, _ENTRY)
 
 
 def broken_links(chained: DataFrame, genesis: str = "0" * 64) -> DataFrame:

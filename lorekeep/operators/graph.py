@@ -113,10 +113,21 @@ def ancestry(commits: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def commit_log(commits: DataFrame, head: str, limit: int) -> DataFrame:
-    """Commits reachable from a head, nearest first; each level is one small join on the branch's frontier."""
-    heads = commits.where(F.col("id") == head).select(F.col("id").alias("head"))
-    reach = ancestry(commits, heads)
-    return commits.join(reach.select("id"), "id", "left_semi").orderBy(F.col("ts").desc(), "id").limit(limit)
+    """The `limit` commits nearest to a head (fewest steps, then latest), nearest first.
+
+    Distances are doubled as in `ancestry`, and no further than until `limit` commits are known at their least distance.
+    """
+    jump = commits.select("id", F.explode("parents").alias("to"))
+    found, reach = commits.where(F.col("id") == head).select("id", F.lit(0).alias("depth")), 1
+    n = -1
+    while True:
+        further = found.join(jump, "id").select(F.col("to").alias("id"), (F.col("depth") + reach).alias("depth"))
+        found = materialise(found.unionByName(further).groupBy("id").agg(F.min("depth").alias("depth")), "log")
+        now, near = found.agg(F.count(F.lit(1)), F.count_if(F.col("depth") < 2 * reach)).first()
+        if now == n or near >= limit:
+            return commits.join(found, "id").orderBy("depth", F.col("ts").desc(), "id").limit(limit).drop("depth")
+        n, reach = now, 2 * reach
+        jump = materialise(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("beyond")), "to").select("id", F.col("beyond").alias("to")).distinct(), "log-jump")
 
 
 def edges_within(edges: DataFrame, ids: DataFrame, kind: str | None = None) -> DataFrame:
@@ -133,16 +144,22 @@ def adjacent(edges: DataFrame, node, direction: str = "both") -> DataFrame:
 def coherence(facts: DataFrame, window_days: int = 30, cap: int = 5) -> DataFrame:
     """Per fact, how many others within the window share an entity token, up to `cap`, as a share of it.
 
-    A band join: tokens are exploded and time is cut into windows, each fact visiting its own and the neighbouring one,
-    so that candidates meet by equality of (token, window).
+    As counts beyond `cap` don't matter, a (token, day) with more facts than that only says so: any fact that looks there has
+    reached the cap.  The others list their facts, `cap` at most.  So a token that stands in every fact costs as much as a rare
+    one, and no list grows with the table.
     """
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "subject", "value")), F.lit("[a-z0-9]+"), F.lit(0)))
     day = F.datediff("valid_from", F.lit("1970-01-01").cast("date"))
-    rows = facts.select("id", day.alias("day"), F.explode(tokens).alias("token")).withColumn("cell", F.floor(F.col("day") / window_days))
-    wide = rows.select(F.col("id").alias("a"), F.col("day").alias("da"), "token", F.explode(F.array(*[F.col("cell") + i for i in (-1, 0, 1)])).alias("cell"))
-    near = wide.join(rows.select(F.col("id").alias("b"), F.col("day").alias("db"), "token", "cell"), ["token", "cell"])
-    near = near.where((F.col("a") != F.col("b")) & (F.abs(F.col("da") - F.col("db")) <= window_days))
-    counted = near.groupBy("a").agg(F.countDistinct("b").alias("n"))
-    return facts.select("id").join(counted, F.col("id") == F.col("a"), "left").select(
-        "id", F.round(F.least(F.coalesce("n", F.lit(0)), F.lit(cap)) / F.lit(float(cap)), 6).alias("coherence")
+    rows = facts.select("id", day.alias("day"), F.explode(tokens).alias("token"))
+    counts = rows.groupBy("token", "day").agg(F.count(F.lit(1)).alias("n"))
+    few = counts.where(F.col("n") <= cap).select("token", "day")
+    listed = rows.join(few, ["token", "day"]).groupBy("token", "day").agg(F.collect_list("id").alias("ids"))  # `cap` at most
+    full = counts.where(F.col("n") > cap).select("token", "day", F.lit(None).cast(dict(listed.dtypes)["ids"]).alias("ids"))
+    around = F.explode(F.sequence(F.col("day") - window_days, F.col("day") + window_days))
+    wide = listed.unionByName(full).select("token", around.alias("day"), "ids")
+    seen = wide.groupBy("token", "day").agg(F.bool_or(F.col("ids").isNull()).alias("full"), F.flatten(F.collect_list("ids")).alias("ids"))
+    found = rows.join(seen, ["token", "day"]).groupBy("id").agg(F.bool_or("full").alias("full"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    n = F.when(F.col("full"), F.lit(cap)).otherwise(F.size(F.filter("ids", lambda x: x != F.col("id"))))
+    return facts.select(F.col("id").alias("f_id")).join(found, F.col("f_id") == F.col("id"), "left").select(
+        F.col("f_id").alias("id"), F.round(F.least(F.coalesce(n, F.lit(0)), F.lit(cap)) / F.lit(float(cap)), 6).alias("coherence")
     )

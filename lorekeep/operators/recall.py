@@ -51,9 +51,9 @@ def recall_step(hits: DataFrame, steps: DataFrame, current: int, window: int = 3
     return boosted.select("id", "step", "score").orderBy(F.col("score").desc(), "id").limit(k)
 
 
-def rocchio_rerank(hits: DataFrame, query: str, dims: int = 256, top: int = 3) -> DataFrame:
-    """Result list (id, text, score) reranked: cosine with the query and with the query moved towards the best hits, half and
-    half, min-max normalised and blended 0.45 / 0.55 with the list's own score.  A result list fits one pandas batch."""
+def rocchio_rerank(hits: DataFrame, query: str, dims: int = 256, top: int = 3, most: int = 1000) -> DataFrame:
+    """The best `most` of a result list (id, text, score) reranked: cosine with the query and with the query moved towards the
+    best hits, half and half, min-max normalised and blended 0.45 / 0.55 with the list's own score.  The list is one task's."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
@@ -70,7 +70,8 @@ def rocchio_rerank(hits: DataFrame, query: str, dims: int = 256, top: int = 3) -
         return pd.DataFrame({"id": pdf["id"], "score": np.round(0.55 * norm(pdf["score"].to_numpy(float)) + 0.45 * near, 6)})
 
     kind = dict(hits.dtypes)["id"]
-    return hits.select("id", "text", "score", F.lit(1).alias("one")).groupBy("one").applyInPandas(run, f"id {kind}, score double")
+    best = hits.orderBy(F.col("score").desc(), "id").limit(most)
+    return best.select("id", "text", "score", F.lit(1).alias("one")).groupBy("one").applyInPandas(run, f"id {kind}, score double")
 
 
 def snippet(text: str, terms: list[str], width: int = 240) -> str:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import arrays as V
 from lorekeep.functions.text import STOPWORDS
 from lorekeep.functions.udf import arrow_udf
+from lorekeep.scratch import materialise
 
 DIM = 256
 
@@ -142,8 +143,59 @@ def cosine_pairs(vectors: DataFrame) -> DataFrame:
 
 
 def diversity(vectors: DataFrame, limit: float = 0.85) -> DataFrame:
-    """Mean pairwise cosine of a result list, and whether it is suspiciously uniform."""
-    return cosine_pairs(vectors).agg(F.round(F.avg("cosine"), 5).alias("mean_cosine"), (F.avg("cosine") > limit).alias("uniform"))
+    """Mean pairwise cosine of a set, and whether it is suspiciously uniform.
+
+    The cosines of all n * (n - 1) / 2 pairs add up to (|sum of unit vectors|^2 - sum of their squares) / 2, so no pair is made.
+    """
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda z, x: z + x.cast("double") * x.cast("double")))
+    unit = vectors.select(F.transform("embedding", lambda x: F.when(norm == 0, F.lit(0.0)).otherwise(x.cast("double") / norm)).alias("u"))
+    sums = unit.select(F.posexplode("u").alias("i", "x"), F.lit(1).alias("one")).groupBy("i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count(F.lit(1)).alias("n"))
+    n = F.max("n")
+    mean = (F.sum(F.col("s") * F.col("s")) - F.sum("q")) / (n * (n - 1))
+    return sums.agg(F.round(mean, 5).alias("mean_cosine"), (mean > limit).alias("uniform"))
+
+
+def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
+    """(query, id, score, rank): the exact cosine top-k of every query (query, embedding) among all other rows (id, embedding).
+
+    Queries go through in blocks of `block`, numbered by a hash: one scan a block, in which every batch of rows meets the block
+    as one matrix product and keeps k candidates a query, so a task hands on no more than block * k rows a batch.  Ties in order of
+    id.  Null vectors match nothing.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    held = queries.where("embedding is not null").select("query", "embedding", F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"))
+    kind, out = vectors.schema["id"].dataType.simpleString(), None
+    spark = vectors.sparkSession
+    for b in range(blocks):
+        rows = held.where(F.col("block") == b).orderBy("query").collect()  # about `block` rows
+        if not rows:
+            continue
+        names = [r["query"] for r in rows]
+        m = np.array([r["embedding"] for r in rows], np.float64)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        shared = spark.sparkContext.broadcast((names, m))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, m = shared.value
+            for batch in batches:
+                batch = batch[batch["embedding"].notna()]
+                if batch.empty:
+                    continue
+                v = np.array(batch["embedding"].tolist(), np.float64)
+                s = np.round(m @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, 6)
+                ids = batch["id"].to_numpy()
+                found = []
+                for q, scores in zip(names, s):
+                    order = np.lexsort((ids, -scores))[: k + 1]
+                    found += [(q, i, x) for i, x in zip(ids[order], scores[order]) if i != q][:k]
+                yield pd.DataFrame(found, columns=["query", "id", "score"])
+
+        part = vectors.select("id", "embedding").mapInPandas(run, f"query {kind}, id {kind}, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], f"query {kind}, id {kind}, score double, rank int")
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _features(text: str) -> Iterator[tuple[str, float]]:
@@ -255,11 +307,33 @@ def missing_vectors(facts: DataFrame, vectors: DataFrame) -> DataFrame:
     return facts.join(vectors.select(F.col("fact_id").alias("id")), "id", "left_anti")
 
 
-def neighbours_within(vectors: DataFrame, cells: int = 32, k: int = 5) -> DataFrame:
-    """Approximate k nearest neighbours of every vector among those of its cell."""
+def neighbours_within(vectors: DataFrame, cells: int | None = None, k: int = 5, block: int = 1024) -> DataFrame:
+    """Approximate k nearest neighbours of every vector among those of its cell: a, b, score, rank.
+
+    Cells number about one in `block` rows (or `cells`), so their size doesn't grow with the table; a crowded cell is cut
+    into blocks by hash, every pair of blocks is one group of at most 2 * block rows, and each hands on k rows a vector.
+    """
+    n = vectors.count()
+    cells = cells or max(2, -(-n // block))
     index, _ = build_cells(vectors, cells)
-    a = index.select("cell", F.col("id").alias("a"), F.col("embedding").alias("va"))
-    b = index.select("cell", F.col("id").alias("b"), F.col("embedding").alias("vb"))
-    scored = a.join(b, "cell").where("a <> b").withColumn("score", F.round(V.cosine(F.col("va"), F.col("vb")), 6))
+    index = materialise(index.select("cell", "id", "embedding"), "cells")
+    pieces = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("pieces"))
+    rows = index.join(pieces, "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    left = rows.select("cell", F.col("own").alias("x"), every.alias("y"), "id", "embedding", F.lit(True).alias("asks"))
+    right = rows.select("cell", every.alias("x"), F.col("own").alias("y"), "id", "embedding", F.lit(False).alias("asks"))
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.array(pdf["embedding"].tolist(), np.float64)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        asks, ids, found = pdf["asks"].to_numpy(bool), pdf["id"].to_numpy(), []
+        s, theirs = np.round(v[asks] @ v[~asks].T, 6), ids[~asks]
+        for a, scores in zip(ids[asks], s):
+            order = np.lexsort((theirs, -scores))[: k + 1]
+            found += [(a, b, x) for b, x in zip(theirs[order], scores[order]) if a != b][:k]
+        return pd.DataFrame(found, columns=["a", "b", "score"])
+
+    scored = left.unionByName(right).groupBy("cell", "x", "y").applyInPandas(near, f"a {kind}, b {kind}, score double")
     w = Window.partitionBy("a").orderBy(F.col("score").desc(), "b")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("a", "b", "score", "rank")

@@ -129,14 +129,46 @@ def truth_maintenance(facts: DataFrame, single_valued: tuple[str, ...], merge_at
     )
 
 
-def compact_under_pressure(threshold: int, compact):
-    """A foreachBatch sink that appends and calls `compact(spark)` once more than `threshold` rows came since the last time."""
-    seen = {"rows": 0}
+def compact_under_pressure(path: str, threshold: int, compact):
+    """A foreachBatch sink that keeps every batch under `path`, and rewrites the table by `compact(rows)` once more than
+    `threshold` rows came since the last time.
 
-    def sink(batch: DataFrame, _number: int) -> None:
-        seen["rows"] += batch.count()
-        if seen["rows"] > threshold:
-            compact(batch.sparkSession)
-            seen["rows"] = 0
+    A batch that is delivered again replaces itself.  What is pending is counted in the table, so a restart forgets nothing;
+    a compaction is written beside the old version and then marked, so one that broke off leaves the old version valid.
+    Read the table with `compacted`.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        version, last = _version(spark, path)
+        if number <= last:
+            return  # this batch is part of the compacted version already
+        batch.write.mode("overwrite").parquet(f"{path}/rows/b={number}")
+        pending = spark.read.schema(batch.schema).parquet(f"{path}/rows").where(F.col("b") > last)
+        if pending.count() > threshold:
+            compact(compacted(spark, path, batch.schema)).write.mode("overwrite").parquet(f"{path}/v{version + 1}")
+            spark.createDataFrame([(version + 1, number)], "version int, last bigint").coalesce(1).write.mode("append").parquet(f"{path}/marks")
 
     return sink
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _version(spark: SparkSession, path: str) -> tuple[int, int]:
+    """The last compacted version and the last batch in it."""
+    if not _exists(spark, f"{path}/marks"):
+        return 0, -1
+    mark = spark.read.schema("version int, last bigint").parquet(f"{path}/marks").orderBy(F.desc("version")).first()
+    return (mark["version"], mark["last"]) if mark else (0, -1)
+
+
+def compacted(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table that `compact_under_pressure` keeps: the last compacted version and the batches since."""
+    version, last = _version(spark, path)
+    columns = schema.fieldNames()
+    rows = spark.read.schema(schema).parquet(f"{path}/rows")
+    rows = rows.where(F.col("b") > last).select(*columns)
+    return rows if not version else spark.read.schema(schema).parquet(f"{path}/v{version}").select(*columns).unionByName(rows)
