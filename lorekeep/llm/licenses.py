@@ -16,7 +16,8 @@ from lorekeep.llm import textbytes as tb
 
 #: Words of these phrases standing consecutively are base places; (phrase, label).
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: (label, template, mandatory key phrases).  Templates are the customary notices by which a work names its licence.
+#: (label, template, mandatory key phrases).  Templates are the customary notices by which a work names its licence, and the
+#: telling paragraphs of licence bodies, each placed on its own, so that insertions between paragraphs don't matter.
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "free of charge")),
@@ -33,6 +34,26 @@ TEMPLATES = (
     ("cc-by-nd-4.0", "licensed under cc by nd 4 0", ("cc by nd 4 0",)),
     ("cc0-1.0", "dedicated to the public domain under cc0 1 0 universal", ("cc0 1 0",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee", "hereby granted")),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("this permission notice", "substantial portions")),
+    ("mit", "spdx license identifier mit", ("identifier mit",)),
+    ("apache-2.0", "spdx license identifier apache 2 0", ("identifier apache 2 0",)),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code", "list of conditions")),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", ("redistributions in binary form", "list of conditions")),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", ("names of its contributors", "endorse or promote")),
+    ("bsd-3-clause", "spdx license identifier bsd 3 clause", ("identifier bsd 3 clause",)),
+    ("gpl-3.0", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ("gnu general public license", "version 3")),
+    ("gpl-2.0", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ("gnu general public license", "version 2")),
+    ("gpl-3.0", "spdx license identifier gpl 3 0", ("identifier gpl 3 0",)),
+    ("gpl-2.0", "spdx license identifier gpl 2 0", ("identifier gpl 2 0",)),
+    ("lgpl", "redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
+    ("agpl-3.0", "redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("permission is granted to anyone", "redistribute it freely")),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("person or organization", "covered by this license")),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0", ("eclipse public license 2 0",)),
+    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ("commons attribution 4 0",)),
+    ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license", ("attribution sharealike 4 0",)),
+    ("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license", ("attribution noncommercial 4 0",)),
+    ("cc-by-nd-4.0", "licensed under a creative commons attribution noderivatives 4 0 international license", ("attribution noderivatives 4 0",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
 )
 #: Each template is indexed by so many of its rarest words.
@@ -162,8 +183,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mandatory key phrase there word for word.  Base places are the three fixed phrases, wherever their words stand
     consecutively.  The score is 1 with a base place, else the best verified match, else 0.
 
-    Null text counts as empty and has no words; repeated rows get equal results; an empty table gives an empty result;
-    other columns are never read.
+    Null text counts as empty and has no words; very long texts are scanned whole, about a MB at a time; repeated rows get equal
+    results; alignments that tie all count; a null id is kept; an empty table gives an empty result; other columns are
+    never read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))  # ids pass pandas as strings: exact, nulls too
