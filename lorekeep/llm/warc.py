@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -72,8 +73,8 @@ def page_records(page_id: str | None, url: str | None, payload: bytes, digest: s
     if page_id is not None:
         common.append(("X-Page-ID", page_id))
     if original is not None:
-        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Payload-Length: {len(payload)}\r\n\r\n".encode()
-        yield _record([("WARC-Type", "revisit"), ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(original, digest)), ("X-Refers-To-Page", original), *common], block)
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+        yield _record([("WARC-Type", "revisit"), ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(original, digest)), *common], block)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + frame_chunks(payload)
     if len(block) <= SEGMENT_BYTES:
@@ -89,27 +90,75 @@ def page_records(page_id: str | None, url: str | None, payload: bytes, digest: s
         yield _record(headers, block[at : at + SEGMENT_BYTES])
 
 
+def _plain(stream) -> Iterator[bytes]:
+    """The bytes of an archive in pieces, unpacked if it is gzip (one member or many)."""
+    piece = stream.read(1 << 20)
+    if piece[:2] != b"\x1f\x8b":
+        while piece:
+            yield piece
+            piece = stream.read(1 << 20)
+        return
+    squeeze = zlib.decompressobj(31)
+    while piece:
+        yield squeeze.decompress(piece)
+        piece = b""
+        if squeeze.eof:
+            piece, squeeze = squeeze.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
+            fresh = not piece
+        else:
+            fresh = False
+        piece = piece or stream.read(1 << 20)
+        if not piece and not fresh:
+            raise ValueError("archive ends within a record")
+
+
 def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a gzip archive, holding one record at a time."""
-    pending, squeeze, member = b"", zlib.decompressobj(31), []
+    """(headers, block) of each record of an archive, packed or plain, holding one record at a time.
+
+    Header names are given in lower case; folded lines belong to the header before.
+    """
+    pieces, held = _plain(stream), bytearray()
+
+    def fill(until) -> bool:
+        """Read on until `until()` holds; whether it does."""
+        while not until():
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
     while True:
-        if not pending:
-            pending = stream.read(1 << 20)
-            if not pending:
-                if member:
-                    raise ValueError("archive ends within a record")
-                return
-        member.append(squeeze.decompress(pending))
-        pending = b""
-        if squeeze.eof:
-            pending, squeeze = squeeze.unused_data, zlib.decompressobj(31)
-            whole, member = b"".join(member), []
-            head, _, rest = whole.partition(b"\r\n\r\n")
-            headers = {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in head.decode().split("\r\n")[1:])}
-            size = int(headers["Content-Length"])
-            if len(rest) != size + 4:
-                raise ValueError("record length differs from its header")
-            yield headers, rest[:size]
+        fill(lambda: len(held.lstrip(b"\r\n")) > 0)
+        del held[: len(held) - len(held.lstrip(b"\r\n"))]
+        if not held:
+            return
+        if not fill(lambda: b"\r\n\r\n" in held):
+            raise ValueError("archive ends within a record")
+        at = held.index(b"\r\n\r\n")
+        lines = held[:at].decode("utf-8", "replace").replace("\r\n ", " ").replace("\r\n\t", " ").split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise ValueError("no record where one should begin")
+        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        end = at + 4 + int(headers["content-length"])
+        if not fill(lambda: len(held) >= end):
+            raise ValueError("archive ends within a record")
+        block = bytes(held[at + 4 : end])
+        del held[:end]
+        yield headers, block
+
+
+def digest_fits(header: str, *bodies: bytes) -> bool | None:
+    """Whether a digest header (algorithm:value in hex or base32) is that of one of the bodies; None if its algorithm isn't known."""
+    name, _, value = header.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in hashlib.algorithms_guaranteed or name.startswith("shake"):
+        return None
+    for body in bodies:
+        d = hashlib.new(name, body, usedforsecurity=False).digest()
+        if value.strip().lower() == d.hex() or value.strip().upper().rstrip("=") == base64.b32encode(d).decode().rstrip("="):
+            return True
+    return False
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -185,7 +234,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return ready.mapInPandas(write, "path string, records bigint, bytes bigint")
 
 
-_RECORD = "type string, record string, page_id string, digest string, refers_to string, origin string, segment int, total bigint, block binary"
+_RECORD = "type string, record string, page_id string, url string, digest string, refers string, origin string, segment int, total bigint, block binary"
+#: Kinds of records that carry a page; others (warcinfo, request, metadata, conversion) are skipped.
+_KINDS = ("response", "resource", "revisit", "continuation")
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,11 +247,14 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             system, name = _open(path)
             with system.open_input_stream(name, compression=None) as stream:
                 for h, block in read_records(stream):
-                    segment = int(h["WARC-Segment-Number"]) if "WARC-Segment-Number" in h else None
-                    total = int(h["WARC-Segment-Total-Length"]) if "WARC-Segment-Total-Length" in h else None
-                    own = h["WARC-Record-ID"]
+                    if h.get("warc-type") not in _KINDS:
+                        continue
+                    segment = int(h["warc-segment-number"]) if "warc-segment-number" in h else None
+                    total = int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None
+                    own = h["warc-record-id"]
+                    url = h.get("warc-target-uri")
                     rows.append(
-                        (h["WARC-Type"], own, h.get("X-Page-ID"), h.get("WARC-Payload-Digest"), h.get("X-Refers-To-Page"), h.get("WARC-Segment-Origin-ID", own if segment else None), segment, total, block)
+                        (h["warc-type"], own, h.get("x-page-id"), url and url.strip("<>"), h.get("warc-payload-digest"), h.get("warc-refers-to"), h.get("warc-segment-origin-id", own if segment else None), segment, total, block)
                     )
                     size += len(block)
                     if size >= 4 << 20:
@@ -211,38 +265,56 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=names)
-    for c in ("segment", "total"):
-        out[c] = out[c].astype("Int64")
+    for c in ("segment", "total", "payload_bytes"):
+        if c in out:
+            out[c] = out[c].astype("Int64")
     return out
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for kind, page_id, digest, refers_to, block in batch.itertuples(index=False):
-            head, _, body = bytes(block).partition(b"\r\n\r\n")
-            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in head.split(b"\r\n")[1:])}
-            if kind == "revisit":
-                rows.append((page_id, int(fields[b"x-payload-length"]), digest.removeprefix("sha256:"), kind, refers_to))
-                continue
-            payload = unframe_chunks(body) if fields.get(b"transfer-encoding") == b"chunked" else body
-            found = hashlib.sha256(payload).hexdigest()
-            if digest is not None and digest != f"sha256:{found}":
-                raise ValueError(f"payload of page {page_id} differs from its digest")
-            rows.append((page_id, len(payload), found, kind, None))
-        yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-
-def read_archives(paths: DataFrame) -> DataFrame:
-    """One row per response or revisit: page_id, payload_bytes, payload_digest, record_type, refers_to (ids as strings).
+_PAGE = "record string, page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers string"
+
+
+def _decode(with_payload: bool):
+    names = [c.split()[0] for c in _PAGE.split(", ")] + ["payload"] * with_payload
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for kind, record, page_id, url, digest, refers, block in batch.itertuples(index=False):
+                if kind == "revisit":  # what it says of the payload itself; length and the rest are those of what it refers to
+                    own = digest.partition(":")[2].lower() if digest is not None and digest.lower().startswith("sha256:") and len(digest) == 71 else None
+                    rows.append((record, page_id, url, None, own, kind, refers, None))
+                    continue
+                head, _, body = bytes(block).partition(b"\r\n\r\n") if kind == "response" and bytes(block[:5]) == b"HTTP/" else (b"", b"", bytes(block))
+                fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in head.split(b"\r\n")[1:])}
+                payload = unframe_chunks(body) if fields.get(b"transfer-encoding", b"").lower() == b"chunked" else body
+                # some writers digest the body as it was sent, others the payload
+                if digest is not None and digest_fits(digest, payload, body) is False:
+                    raise ValueError(f"payload of record {record} differs from its digest")
+                rows.append((record, page_id, url, len(payload), hashlib.sha256(payload).hexdigest(), "response", None, payload))
+            yield _frame([r[: len(names)] for r in rows], names)
+
+    return run
+
+
+def read_archives(paths: DataFrame, with_payload: bool = False) -> DataFrame:
+    """One row per response, resource or revisit: record, page_id, url, payload_bytes, payload_digest (SHA-256), record_type,
+    refers_to (the page id of what a revisit refers to) and, on demand, payload (null for revisits).
+
+    Reads archives of any writer, packed or plain: records of other kinds are skipped; page_id is null where a record
+    has no X-Page-ID; payload digests in any algorithm and base are verified; a revisit gets length and digest from the
+    record its WARC-Refers-To names, or null where that isn't among the archives.
 
     Whole records go straight on.  Segments are grouped by the origin's record id, put in order of segment number, and
     joined only if the numbers run from 1 without a gap and the length equals the announced total; otherwise the read
     fails, naming the record.  Then chunked framing is undone and the payload's digest verified.  A group holds the
     segments of one record, so its size is that of the largest page.
+
+    Rows that repeat a path are read as often; records that share an id count as one where they are referred to (the one of
+    the smallest page id); an empty table of paths, and an empty archive, give no rows; other columns are never read.
     """
     records = paths.select("path").mapInPandas(_parse, _RECORD)
-    columns = ["type", "page_id", "digest", "refers_to", "block"]
+    columns = ["type", "record", "page_id", "url", "digest", "refers", "block"]
     whole = records.where("origin is null").select(*columns)
     parts = (
         records.where("origin is not null")
@@ -259,17 +331,28 @@ def read_archives(paths: DataFrame) -> DataFrame:
         "block",
         F.when(sound & (F.octet_length("block") == F.col("total")), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing of "), F.col("origin")))),
     )
-    return whole.unionByName(joined.select(*columns)).mapInPandas(
-        _decode, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
+    pages = materialise(whole.unionByName(joined.select(*columns)).mapInPandas(_decode(with_payload), _PAGE + ", payload binary" * with_payload), "warc-pages")
+    sought = pages.where("record_type = 'revisit'").select(F.col("refers").alias("record")).distinct()
+    known = pages.where("record_type = 'response'").join(sought, "record", "left_semi").groupBy("record").agg(F.min(F.struct("page_id", "payload_bytes", "payload_digest")).alias("of"))
+    out = pages.join(known.select(F.col("record").alias("refers"), "of"), "refers", "left")
+    return out.select(
+        "record",
+        "page_id",
+        "url",
+        F.coalesce("payload_bytes", "of.payload_bytes").alias("payload_bytes"),
+        F.coalesce("payload_digest", "of.payload_digest").alias("payload_digest"),
+        "record_type",
+        F.col("of.page_id").alias("refers_to"),
+        *(["payload"] if with_payload else []),
     )
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write every page to archives under `folder` (a scratch folder by default) and read them back, a row per page.
 
-    Null html is an empty payload; null urls are left out of the record; a null page id gives a record without one, and
-    is smaller than no other id; repeated rows are written and read as often as they occur; an empty table gives no
-    archive and an empty result.
+    Null html is an empty payload; a very long one is cut into segments; null urls are left out of the record; a null page id
+    gives a record without one, and is smaller than no other id; repeated rows, and ties for the smallest id, are written and read
+    as often as they occur; an empty table gives no archive and an empty result; other columns are never read.
     """
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
@@ -280,4 +363,5 @@ def warc_round_trip(pages: DataFrame, folder: str | None = None, id_col: str = "
     n = paths.count()
     paths = paths.repartition(max(1, min(n, 10_000)), "path")
     kind = pages.schema[id_col].dataType.simpleString()
-    return read_archives(paths).withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
+    pages = read_archives(paths)
+    return pages.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

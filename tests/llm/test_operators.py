@@ -228,9 +228,9 @@ def test_warc_segments():
     import io
 
     records = list(warc.read_records(io.BytesIO(b"".join(warc.page_records("7", "http://x", payload, digest, None)))))
-    assert [int(h["WARC-Segment-Number"]) for h, _ in records] == list(range(1, len(records) + 1)) and len(records) > 5
+    assert [int(h["warc-segment-number"]) for h, _ in records] == list(range(1, len(records) + 1)) and len(records) > 5
     block = b"".join(b for _, b in records)
-    assert len(block) == int(records[-1][0]["WARC-Segment-Total-Length"])
+    assert len(block) == int(records[-1][0]["warc-segment-total-length"])
     assert warc.unframe_chunks(block.partition(b"\r\n\r\n")[2]) == payload
     assert warc.unframe_chunks(warc.frame_chunks(b"")) == b""
     with pytest.raises(ValueError):
@@ -332,3 +332,42 @@ def test_toxicity_told_by_long_grams_only(spark, prose):
     out = toxicity(frame(spark, docs), labels).toPandas().set_index("doc_id")
     held = [i for i in range(400) if out.loc[i, "held_out"]]
     assert sum(out.loc[i, "predicted"] == int(i % 4 == 0) for i in held) >= 0.97 * len(held)
+
+
+def test_warc_archives_of_other_writers(spark, tmp_path):
+    """Plain and packed archives, sha1 in base32, other kinds of records, resources, and revisits by record id."""
+    import base64
+    import gzip
+
+    def record(kind, own, block, *more):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", "WARC-Date: 2020-01-01T00:00:00Z", *more, f"content-length: {len(block)}"]
+        return ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    page = "<p>Grüße</p>".encode() * 20
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page
+    sha1 = base64.b32encode(hashlib.sha1(page).digest()).decode()
+    parts = [
+        record("warcinfo", "<urn:uuid:0>", b"software: x\r\n"),
+        record("request", "<urn:uuid:1>", b"GET / HTTP/1.1\r\n\r\n"),
+        record("response", "<urn:uuid:2>", http, "WARC-Target-URI: <http://x/>", f"WARC-Payload-Digest: sha1:{sha1}", "Content-Type: application/http;\r\n msgtype=response"),
+        record("revisit", "<urn:uuid:3>", b"HTTP/1.1 304\r\n\r\n", "WARC-Target-URI: http://y/", "WARC-Refers-To: <urn:uuid:2>", f"WARC-Payload-Digest: sha1:{sha1}"),
+        record("revisit", "<urn:uuid:4>", b"", "WARC-Refers-To: <urn:uuid:none>"),
+        record("resource", "<urn:uuid:5>", b"bare"),
+    ]
+    (tmp_path / "plain.warc").write_bytes(b"".join(parts[:3]))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts[3:5]))
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(parts[5:])))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in ("plain.warc", "members.warc.gz", "one.warc.gz", "empty.warc")], "path string")
+    out = {r["record"][-2]: r for r in warc.read_archives(paths, with_payload=True).collect()}
+    digest = hashlib.sha256(page).hexdigest()
+    assert set(out) == {"2", "3", "e", "5"} - {"e"} | {"4"}
+    assert (out["2"]["payload_bytes"], out["2"]["payload_digest"], out["2"]["url"], bytes(out["2"]["payload"])) == (len(page), digest, "http://x/", page)
+    assert (out["3"]["record_type"], out["3"]["payload_bytes"], out["3"]["payload_digest"], out["3"]["payload"]) == ("revisit", len(page), digest, None)
+    assert out["4"]["payload_bytes"] is None and bytes(out["5"]["payload"]) == b"bare"
+    (tmp_path / "bad.warc").write_bytes(parts[2].replace(b"Gr", b"Xr"))
+    with pytest.raises(Exception, match="differs from its digest"):
+        warc.read_archives(spark.createDataFrame([(str(tmp_path / "bad.warc"),)], "path string")).collect()
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(parts[2])[:-20])
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read_archives(spark.createDataFrame([(str(tmp_path / "cut.warc.gz"),)], "path string")).collect()
