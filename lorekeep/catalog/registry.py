@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lorekeep.catalog import graph, plans, recalls, streams, temporal, text, vectors
+from lorekeep.catalog import graph, more, plans, recalls, streams, temporal, text, vectors
 
-GROUPS = (temporal, text, vectors, graph, streams, plans, recalls)
+GROUPS = (temporal, text, vectors, graph, streams, plans, recalls, more)
 
 
 def registered() -> dict[str, Callable]:

@@ -113,3 +113,9 @@ def accuracy(results: DataFrame, group: str, outcome: str) -> DataFrame:
     return results.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(outcome), 6).alias("mean"), F.round(F.coalesce(F.stddev(outcome), F.lit(0.0)), 6).alias("sd")
     )
+
+
+def integer_sum(facts: DataFrame, by: str = "relation") -> DataFrame:
+    """Per group the number and the sum of the values that are whole numbers."""
+    number = F.expr("try_cast(value AS BIGINT)")
+    return facts.groupBy(by).agg(F.count(number).alias("n"), F.coalesce(F.sum(number), F.lit(0)).alias("total"))

@@ -95,3 +95,23 @@ def canonical(versions: DataFrame) -> list[str]:
     """Sorted text of all versions, the test for convergence; for small states."""
     rows = versions.select(F.to_json(F.struct("key", "stamp", "payload", "tombstone")).alias("j")).orderBy("j")
     return [r["j"] for r in rows.toLocalIterator()]
+
+
+def to_versions(facts: DataFrame, node: str, multi_valued: tuple[str, ...] = ()) -> DataFrame:
+    """Facts as versions (key, stamp, payload, tombstone, purge): closed or inactive facts are tombstones."""
+    payload = F.to_json(F.struct("user_id", "subject", "relation", "value", F.unix_micros("valid_from").alias("valid_from")))
+    return facts.select(
+        fact_key(multi_valued).alias("key"), stamp(F.unix_micros("tx_from"), F.col("seq") % 1_000_000, F.lit(node)).alias("stamp"), payload.alias("payload"), (~F.col("is_active")).alias("tombstone"), F.lit(False).alias("purge")
+    )
+
+
+def to_facts(versions: DataFrame) -> DataFrame:
+    """The winning versions as facts."""
+    shape = "user_id string, subject string, relation string, value string, valid_from bigint"
+    return winners(versions).select("stamp", F.from_json("payload", shape).alias("f")).select("f.user_id", "f.subject", "f.relation", "f.value", F.timestamp_micros("f.valid_from").alias("valid_from"), "stamp")
+
+
+def synchronise(ours: DataFrame, theirs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both replicas after a two-way exchange of what differs: each sends the buckets that the other's digest lacks or has otherwise."""
+    sent, received = delta(ours, standard_digest(theirs)), delta(theirs, standard_digest(ours))
+    return merge_versions(ours, received), merge_versions(theirs, sent)

@@ -217,3 +217,20 @@ def edit_neighbours(values: DataFrame, column: str, query: str, least: float) ->
 
 def rank_window(score: str = "score") -> Window:
     return Window.orderBy(F.col(score).desc(), "id")
+
+
+def negation_overlap(queries: DataFrame, negations: DataFrame, least: int = 2, lang: str = "en") -> DataFrame:
+    """(query, negation, shared) of negated statements that share at least `least` content words with a query: a yes to such a
+    query is contradicted.  Both sides are (id, text); words meet through an index, no pair is made without one."""
+    from lorekeep.functions.text import content_words
+
+    words = lambda df, name: df.select(F.col("id").alias(name), F.explode(F.array_distinct(content_words(F.col("text"), lang))).alias("word"))
+    shared = words(queries, "query").join(words(negations, "negation"), "word").groupBy("query", "negation").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.where(F.col("shared") >= least)
+
+
+def dense_only(vectors: DataFrame, query, k: int = 10, weight: float = 0.6) -> DataFrame:
+    """What a query without usable terms falls back on: every vector scanned, `weight` times its cosine."""
+    from lorekeep.functions import arrays as V
+
+    return vectors.select("id", F.round(F.lit(weight) * V.cosine(F.col("embedding"), V.literal(query)), 6).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)

@@ -163,3 +163,20 @@ def coherence(facts: DataFrame, window_days: int = 30, cap: int = 5) -> DataFram
     return facts.select(F.col("id").alias("f_id")).join(found, F.col("f_id") == F.col("id"), "left").select(
         F.col("f_id").alias("id"), F.round(F.least(F.coalesce(n, F.lit(0)), F.lit(cap)) / F.lit(float(cap)), 6).alias("coherence")
     )
+
+
+def history_closure(edges: DataFrame, start: DataFrame, kind: str = "CONTRADICTS") -> DataFrame:
+    """(start, id) of all facts that edges of a kind connect to each start, in either direction, itself included.
+
+    Reach doubles each round: what is known to be connected is joined with itself, so a chain of n edges takes log n rounds.
+    """
+    some = edges.where(F.col("kind") == kind).select("src", "dst")
+    both = materialise(some.unionAll(some.select("dst", "src")).distinct(), "closure-edges")
+    found, n = materialise(start.select("start", F.col("start").alias("id")).distinct(), "closure"), -1
+    jump = both.select(F.col("src").alias("id"), F.col("dst").alias("to"))
+    while True:
+        found = materialise(found.unionByName(found.join(jump, "id").select("start", F.col("to").alias("id"))).distinct(), "closure")
+        now = found.count()
+        if now == n:
+            return found
+        n = now

@@ -79,3 +79,44 @@ def edit(facts: DataFrame, fact_id: str, **changes) -> DataFrame:
         noted = F.map_concat(F.map_filter("provenance", lambda k, _: k != "edited"), F.create_map(F.lit("edited"), F.lit(",".join(sorted(changes)))))
         out = out.withColumn("provenance", F.when(hit, noted).otherwise(F.col("provenance")))
     return out
+
+
+def assess(facts: DataFrame, single_valued: tuple[str, ...] = SINGLE_VALUED, keys: tuple[str, ...] = ("subject", "relation"), order: tuple[str, ...] = ("valid_from", "seq"), recent: int = 8) -> DataFrame:
+    """`decide`, with the interference a fact causes and whether it needs an audit.
+
+    Interference is 1 where it merges, its similarity to the value it supersedes, its greatest similarity to the `recent`
+    values it comes to stand beside, else 0; a superseding fact of little confidence and much interference is flagged.
+    """
+    d = decide(facts, single_valued, keys, order)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-recent, -1)
+    near = F.array_max(F.transform("earlier", lambda v: similarity(v, F.col("value"))))
+    score = (
+        F.when(F.col("decision") == "MERGE", 1.0)
+        .when(F.col("decision") == "SUPERSEDE", similarity(F.col("before"), F.col("value")))
+        .when((F.col("decision") == "COEXIST") & (F.col("relation") != "mentioned"), F.coalesce(near, F.lit(0.0)))
+        .otherwise(0.0)
+    )
+    out = d.withColumn("earlier", F.collect_list("value").over(w)).withColumn("interference", F.round(score, 6)).drop("earlier")
+    return out.withColumn("audit", (F.col("decision") == "SUPERSEDE") & (F.col("interference") > 0.75) & (F.col("confidence") < 0.6))
+
+
+def overlap_gate(new: DataFrame, known: DataFrame, limit: float = 0.9, least: int = 10) -> DataFrame:
+    """New vectors (id, embedding) with the nearest known one and whether they are worth adding: those nearer than `limit` to it
+    are not, once `least` vectors are known."""
+    from lorekeep.operators.vectors import search_many
+
+    if known.count() < least:
+        return new.select("id", F.lit(None).cast("double").alias("nearest"), F.lit(True).alias("added"))
+    best = search_many(known, new.select(F.col("id").alias("query"), "embedding"), 1).select(F.col("query").alias("q"), F.col("score").alias("nearest"))
+    return new.select("id").join(best, F.col("id") == F.col("q"), "left").select("id", "nearest", (F.coalesce("nearest", F.lit(-1.0)) <= limit).alias("added"))
+
+
+def bump_access(facts: DataFrame, accesses: DataFrame) -> DataFrame:
+    """Access counts raised by a log of accesses (id): the log is counted first, so a hot fact is one row per task."""
+    seen = accesses.groupBy(F.col("id").alias("a_id")).agg(F.count(F.lit(1)).alias("a_n"))
+    return facts.join(seen, F.col("id") == F.col("a_id"), "left").withColumn("access_count", (F.col("access_count") + F.coalesce("a_n", F.lit(0))).cast("int")).drop("a_id", "a_n")
+
+
+def provenance_has(facts: DataFrame, key: str, value: str) -> DataFrame:
+    """Facts whose provenance (JSON) holds this value under the key: parsed, so that no other field's text can match."""
+    return facts.where(F.get_json_object("provenance", f"$.{key}") == value)

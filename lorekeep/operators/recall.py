@@ -169,3 +169,33 @@ def prototypes(candidates: np.ndarray, target: np.ndarray, k: int = 3) -> list[t
                 rest = gain[c] - gram[c, chosen] @ weights + gram[c, c] * weights[i]
                 weights[i] = max(0.0, rest / gram[c, c])
     return [(c, float(w)) for c, w in zip(chosen, weights)]
+
+
+def canonical_entities(mentions: DataFrame, aliases: DataFrame, most: int = 4) -> DataFrame:
+    """(query, entity, place) of what a query's mentions (query, mention) stand for: the alias' name, else the mention itself;
+    each once whatever its case, longest first, at most `most` a query.  `aliases` has alias and name, of one alias the least name counts."""
+    names = aliases.groupBy(F.lower("alias").alias("alias")).agg(F.min("name").alias("name"))
+    found = mentions.join(names, F.lower("mention") == F.col("alias"), "left").select("query", F.coalesce("name", "mention").alias("entity"))
+    found = found.groupBy("query", F.lower("entity").alias("low")).agg(F.min("entity").alias("entity"))
+    w = Window.partitionBy("query").orderBy(F.length("entity").desc(), "entity")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("query", "entity", "place")
+
+
+def judge(context, contains_any, also_any=None, forbidden=None):
+    """How well a context answers, by nuggets: 0 with a forbidden one or without any expected, 0.5 without the second kind, else 1."""
+    low = F.lower(context)
+    hit = lambda words: F.exists(words, lambda w: F.contains(low, F.lower(w)))
+    score = F.when((F.size(contains_any) > 0) & ~hit(contains_any), 0.0)
+    if forbidden is not None:
+        score = F.when(hit(forbidden), 0.0).when((F.size(contains_any) > 0) & ~hit(contains_any), 0.0)
+    if also_any is not None:
+        score = score.when((F.size(also_any) > 0) & ~hit(also_any), 0.5)
+    return score.otherwise(1.0)
+
+
+def judge_sets(rows: DataFrame, expected: str = "expected", found: str = "found") -> DataFrame:
+    """With precision, recall and F1 of a found set against an expected one, and whether F1 reaches a half; an empty expectation is met."""
+    both = F.size(F.array_intersect(expected, found))
+    n, m = F.size(F.array_distinct(expected)), F.size(F.array_distinct(found))
+    f1 = F.when(n == 0, F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(2 * both / (n + m))
+    return rows.withColumns({"precision": F.when(m == 0, F.lit(0.0)).otherwise(both / m), "recall": F.when(n == 0, F.lit(1.0)).otherwise(both / n), "f1": F.round(f1, 6), "met": f1 >= 0.5})

@@ -144,3 +144,38 @@ def co_access(facts: DataFrame, ahead: int = 4, key: str = "subject", item: str
     leads = F.array(*[F.lead(item, i).over(w) for i in range(1, ahead + 1)])
     pairs = facts.select(F.col(item).alias("a"), leads.alias("ahead")).select("a", F.explode("ahead").alias("b")).where("b is not null")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def valid_while(facts: DataFrame, relation: str, value: str, keys: tuple[str, ...] = ("user_id", "subject")) -> DataFrame:
+    """Facts of a subject whose interval overlaps one in which it stood in `relation` to `value` (any case), each once.
+
+    The anchors of a subject are few, so the range test runs inside an equality join on the subject.
+    """
+    anchor = facts.where((F.col("relation") == relation) & (F.lower("value") == value.lower())).select(
+        *[F.col(k).alias(f"a_{k}") for k in keys], F.col("valid_from").alias("a_from"), F.col("valid_to").alias("a_to")
+    )
+    same = [F.col(k) == F.col(f"a_{k}") for k in keys]
+    overlap = (F.col("a_to").isNull() | (F.col("valid_from") < F.col("a_to"))) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("a_from")))
+    others = facts.where(F.col("relation") != relation)
+    test = overlap
+    for s in same:
+        test = test & s
+    return others.join(anchor, test, "left_semi")
+
+
+def trajectory(facts: DataFrame, keys: tuple[str, ...] = ("user_id", "run_id")) -> DataFrame:
+    """The steps of each session in the order they were recorded, numbered from 1, with what stood before in the same place."""
+    w = Window.partitionBy(*keys).orderBy("tx_from", "seq")
+    place = Window.partitionBy(*keys, "subject", "relation").orderBy("tx_from", "seq")
+    return facts.withColumn("step", F.row_number().over(w)).withColumn("previous", F.lag("value").over(place))
+
+
+def best_by_overlap(groups: DataFrame, events: DataFrame, key: str = "key", words: str = "words") -> DataFrame:
+    """Per group of keywords the event that shares most words with it, of equals the least id: key, id, shared.
+
+    Words meet through an inverted index; the choice is an aggregate, so no group is sorted.
+    """
+    asked = groups.select(key, F.explode(F.array_distinct(words)).alias("w"))
+    said = events.select("id", F.explode(F.array_distinct(words)).alias("w"))
+    shared = asked.join(said, "w").groupBy(key, "id").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.groupBy(key).agg(F.min(F.struct((-F.col("shared")).alias("n"), "id")).alias("b")).select(key, F.col("b.id").alias("id"), (-F.col("b.n")).alias("shared"))

@@ -337,3 +337,24 @@ def neighbours_within(vectors: DataFrame, cells: int | None = None, k: int = 5,
     scored = left.unionByName(right).groupBy("cell", "x", "y").applyInPandas(near, f"a {kind}, b {kind}, score double")
     w = Window.partitionBy("a").orderBy(F.col("score").desc(), "b")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("a", "b", "score", "rank")
+
+
+def storage_stats(vectors: DataFrame) -> DataFrame:
+    """Vectors, dimensions and bytes as float32, int8 (with a scale) and sign bits."""
+    d = F.size("embedding")
+    return vectors.agg(
+        F.count(F.lit(1)).alias("n"), F.max(d).alias("dims"), F.sum(d * 4).alias("float_bytes"), F.sum(d + 4).alias("int8_bytes"), F.sum(F.ceil(d / 8)).cast("bigint").alias("binary_bytes")
+    )
+
+
+def recommend_codec(tier: str) -> str:
+    """The codec that suits a memory tier: exact where it is hot, small where it is archived."""
+    return {"short_term": "float32", "long_term": "int8", "archive": "binary"}.get(tier, "float32")
+
+
+def rebuild(facts: DataFrame, vectors: DataFrame, build, only_missing: bool = True) -> DataFrame:
+    """The vector table built anew by `build` (facts to fact_id and embedding), whole or only where vectors are missing; those of
+    facts that are gone are left out."""
+    todo = missing_vectors(facts, vectors) if only_missing else facts
+    kept = vectors.join(facts.select(F.col("id").alias("fact_id")), "fact_id", "left_semi")
+    return kept.unionByName(build(todo), allowMissingColumns=True) if only_missing else build(todo)

@@ -79,3 +79,22 @@ def merge(ours: DataFrame, theirs: DataFrame, base: DataFrame, strategy: str = "
         return one
     lost = picked.where("origin = 'conflict' and o is not null and t is not null").select(*key, F.least("o", "t").alias("x")).select(*key, F.col("x.value").alias("value"), F.lit("conflict").alias("origin"))
     return one.unionByName(lost)
+
+
+def branch_heads(commits: DataFrame) -> DataFrame:
+    """(branch, head, n) of every branch: its latest commit, of equally late ones the greatest id."""
+    return commits.groupBy("branch").agg(F.max(F.struct("ts", "id")).alias("h"), F.count(F.lit(1)).alias("n")).select("branch", F.col("h.id").alias("head"), "n")
+
+
+def create_branch(heads: DataFrame, name: str, at: str) -> DataFrame:
+    """The table of heads with a branch put at a commit; a branch of that name moves there."""
+    own = heads.sparkSession.range(1).select(F.lit(name).alias("branch"), F.lit(at).alias("head"), F.lit(0).cast("bigint").alias("n"))
+    return heads.where(F.col("branch") != name).unionByName(own)
+
+
+def checkout(facts: DataFrame, commits: DataFrame, heads: DataFrame, branch: str) -> DataFrame:
+    """The facts active at the head of a branch."""
+    row = heads.where(F.col("branch") == branch).first()
+    if row is None:
+        raise KeyError(branch)
+    return active_at(facts, commits, row["head"])

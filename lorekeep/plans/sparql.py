@@ -248,6 +248,25 @@ def execute(text: str | Query, triples: DataFrame) -> DataFrame:
     return out if q.limit is None else out.limit(q.limit)
 
 
+def with_sources(solutions: DataFrame, pattern: tuple[str, str, str], facts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Solutions with `_source` and `source_text`: the chunk from which the fact bound by a pattern comes (the first by id), empty
+    without one.  `facts` has s, p, o and source_id; the pattern's variables must be among the solutions' columns."""
+    tests, keys = [], []
+    for position, term in zip(("s", "p", "o"), pattern):
+        if term.startswith("?"):
+            keys.append((position, term[1:]))
+        else:
+            tests.append(F.col(position) == _literal(term))
+    rows = facts.where("source_id is not null")
+    for t in tests:
+        rows = rows.where(t)
+    first = rows.groupBy(*[F.col(p).alias(f"k_{p}") for p, _ in keys]).agg(F.min("source_id").alias("_source"))
+    texts = first.join(chunks.select(F.col("id").cast("string").alias("c_id"), F.col("text").alias("source_text")), F.col("_source").cast("string") == F.col("c_id"), "left")
+    on = [F.col(f"`{v}`") == F.col(f"k_{p}") for p, v in keys]
+    joined = solutions.join(texts, reduce(lambda a, b: a & b, on), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in solutions.columns], F.coalesce(F.col("_source").cast("string"), F.lit("")).alias("_source"), F.coalesce("source_text", F.lit("")).alias("source_text"))
+
+
 def edge_triples(edges: DataFrame) -> DataFrame:
     """Typed edges as triples with predicates edge:KIND."""
     return edges.select(F.col("src").cast("string").alias("s"), F.concat(F.lit("edge:"), F.col("kind")).alias("p"), F.col("dst").cast("string").alias("o"))
