@@ -37,7 +37,17 @@ QUERIES = {
     "gist_extraction": (gists, None),
     "pii_detectors": (
         lambda s, d: G.pii_scan(document_chunks(table(s, d, "documents"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
-        None,
+        r"""WITH m AS (
+              SELECT 'aws_key' AS kind, unnest(regexp_extract_all(text, '\bAKIA[0-9A-Z]{16}\b')) AS x FROM documents
+              UNION ALL SELECT 'secret', unnest(regexp_extract_all(text, '(?i)\b(?:password|passwd|secret|token|api[_-]?key)\s*[:=]\s*["'']?[^\s"'']{6,}')) FROM documents
+              UNION ALL SELECT 'email', unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b')) FROM documents
+              UNION ALL SELECT 'ipv4', unnest(regexp_extract_all(text, '\b\d{1,3}(?:\.\d{1,3}){3}\b')) FROM documents
+              UNION ALL SELECT 'card', unnest(regexp_extract_all(text, '\b\d(?:[ -]?\d){12,18}\b')) FROM documents
+              UNION ALL SELECT 'phone', unnest(regexp_extract_all(text, '\+\d[\d ().-]{7,18}\d|\(\d{3}\) ?\d{3}-\d{4}|\b\d{3}-\d{3}-\d{4}\b')) FROM documents),
+            c AS (SELECT kind, x, list_reverse(string_split(regexp_replace(x, '[^0-9]', '', 'g'), '')) AS d FROM m),
+            l AS (SELECT kind, x, list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN kind <> 'card' THEN 0 WHEN i % 2 = 1 THEN CAST(d[i] AS INTEGER)
+                  WHEN CAST(d[i] AS INTEGER) > 4 THEN 2 * CAST(d[i] AS INTEGER) - 9 ELSE 2 * CAST(d[i] AS INTEGER) END)) AS luhn FROM c)
+            SELECT kind, count(*) AS n FROM l WHERE (kind <> 'card' OR luhn % 10 = 0) AND (kind <> 'ipv4' OR list_max(list_transform(string_split(x, '.'), lambda p: CAST(p AS INTEGER))) <= 255) GROUP BY kind""",
     ),
     "triple_lines": (lambda s, d: P.as_lines(facts(s, d)), f"WITH {FACTS} SELECT id, subject || ' | ' || relation || ' | ' || value AS line FROM facts"),
     "ntriples_export": (lambda s, d: P.as_ntriples(facts(s, d)), f"""WITH {FACTS} SELECT id, '<urn:lore:' || subject || '> <urn:lore:' || relation || '> "' || value || '" .' AS line FROM facts"""),
@@ -69,7 +79,10 @@ QUERIES = {
     ),
     "best_match": (
         lambda s, d: T.best_match(table(s, d, "nation").select(F.col("n_name").alias("value")), "NATION_07", least=0.5),
-        None,
+        """WITH g AS (SELECT n_name AS value, lower(n_name) AS a, 'nation_07' AS b FROM nation),
+           s AS (SELECT *, list_distinct(list_transform(range(1, length(a) - 1), lambda i: substr(a, i, 3))) AS ga, list_distinct(list_transform(range(1, length(b) - 1), lambda i: substr(b, i, 3))) AS gb FROM g),
+           f AS (SELECT value, round(0.7 * (1 - levenshtein(a, b) / greatest(length(a), length(b), 1)) + 0.3 * len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb))), 6) AS score FROM s)
+           SELECT value, score FROM f WHERE score >= 0.5 ORDER BY score DESC, value LIMIT 1""",
     ),
     "fact_prefilter": (
         lambda s, d: T.prefilter(facts(s, d).withColumn("cosine", F.lit(-1.0)), ["purchase", "u7"], ["purchase"]).select("id", "score"),

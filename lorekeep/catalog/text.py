@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as X
 from lorekeep.operators import fulltext as T
 from lorekeep.operators import fusion as U
+from lorekeep.operators.textindex import TextIndex, build
+from lorekeep.scratch import scratch_path
 from lorekeep.sources.tables import document_chunks, table, turn_chunks
 
 TERMS = ["thing", "with", "ering"]
@@ -18,6 +20,17 @@ def docs(s, d):
     return document_chunks(table(s, d, "documents"))
 
 
+_indexes: dict[tuple[str, str], TextIndex] = {}
+
+
+def index(s, d):
+    """The documents' stored index, built by the first query of a session that needs it."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _indexes:
+        _indexes[key] = build(docs(s, d), scratch_path(s, "text-index"), 16)
+    return _indexes[key]
+
+
 def turns(s, d):
     return turn_chunks(table(s, d, "conversations"))
 
@@ -62,7 +75,8 @@ def more_like(s, d):
 
 
 QUERIES = {
-    "bm25_topk": (lambda s, d: T.bm25(docs(s, d), TERMS, 20), f"WITH {bm25_sql(TERMS, 20)} SELECT id, score FROM b"),
+    "bm25_topk": (lambda s, d: index(s, d).bm25(TERMS, 20), f"WITH {bm25_sql(TERMS, 20)} SELECT id, score FROM b"),
+    "bm25_scan": (lambda s, d: T.bm25(docs(s, d), TERMS, 20), f"WITH {bm25_sql(TERMS, 20)} SELECT id, score FROM b"),
     "bm25_facets": (
         lambda s, d: T.bm25(docs(s, d), TERMS, None).join(docs(s, d).select("id", "lang"), "id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 5).alias("best")),
         f"WITH {bm25_sql(TERMS, None)} SELECT lang, count(*) AS n, round(max(score), 5) AS best FROM b JOIN documents ON doc_id = id GROUP BY lang",
@@ -84,7 +98,7 @@ QUERIES = {
             FROM p JOIN f USING (term) CROSS JOIN n GROUP BY id ORDER BY score DESC, id LIMIT 10""",
     ),
     "suggest_prefix": (
-        lambda s, d: T.suggest(docs(s, d), "th", 10),
+        lambda s, d: index(s, d).suggest("th", 10),
         f"""SELECT term, count(*) AS n FROM (SELECT unnest({TOK}) AS term FROM documents) WHERE term LIKE 'th%' GROUP BY term ORDER BY n DESC, term LIMIT 10""",
     ),
     "vocabulary": (
@@ -97,10 +111,24 @@ QUERIES = {
             SELECT x.id, count(*) AS hits FROM p x JOIN p y ON x.id = y.id AND y.i = x.i + 1 WHERE x.w = 'of' AND y.w = 'the' GROUP BY x.id""",
     ),
     "phrase_near": (
-        lambda s, d: T.phrase_search(docs(s, d), ["thing", "with"], slop=4),
+        lambda s, d: index(s, d).phrase(["thing", "with"], slop=4),
         f"""WITH t AS (SELECT doc_id AS id, {TOK} AS t FROM documents), p AS (SELECT id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM t)
             SELECT id, count(*) AS hits FROM (SELECT DISTINCT x.id, x.i FROM p x JOIN p y ON x.id = y.id AND abs(y.i - x.i) <= 4 WHERE x.w = 'thing' AND y.w = 'with') GROUP BY id""",
     ),
+    "phrase_indexed": (
+        lambda s, d: index(s, d).phrase(["of", "the"]),
+        f"""WITH t AS (SELECT doc_id AS id, {TOK} AS t FROM documents), p AS (SELECT id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM t)
+            SELECT x.id, count(*) AS hits FROM p x JOIN p y ON x.id = y.id AND y.i = x.i + 1 WHERE x.w = 'of' AND y.w = 'the' GROUP BY x.id""",
+    ),
+    "near_scan": (
+        lambda s, d: T.phrase_search(docs(s, d), ["of", "with"], slop=3),
+        f"""WITH t AS (SELECT doc_id AS id, {TOK} AS t FROM documents), p AS (SELECT id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM t)
+            SELECT id, count(*) AS hits FROM (SELECT DISTINCT x.id, x.i FROM p x JOIN p y ON x.id = y.id AND abs(y.i - x.i) <= 3 WHERE x.w = 'of' AND y.w = 'with') GROUP BY id""",
+    ),
+    "prefix_scan": (
+        lambda s, d: T.suggest(docs(s, d), "on", 10),
+        f"""SELECT term, count(*) AS n FROM (SELECT unnest({TOK}) AS term FROM documents) WHERE term LIKE 'on%' GROUP BY term ORDER BY n DESC, term LIMIT 10""",
+    ),
     "spell_correct": (
         lambda s, d: T.correct_spelling(s, docs(s, d), ["thign", "wiht", "frmo", "eringg"]),
         f"""WITH v AS (SELECT term, count(*) AS n FROM (SELECT unnest({TOK}) AS term FROM documents) GROUP BY term HAVING count(*) >= 2),

@@ -41,7 +41,7 @@ def batched(s, d):
 
 
 def label_centroids(s, d):
-    centre = rows(s, d).groupBy("label").agg(A.bundle("embedding").alias("centre"))
+    centre = V.centroids(rows(s, d), "label")
     return rows(s, d).join(F.broadcast(centre), "label").groupBy("label").agg(F.round(F.avg(A.cosine(F.col("embedding"), F.col("centre"))), 4).alias("spread"), F.count(F.lit(1)).alias("n"))  # one row per label
 
 
@@ -78,7 +78,12 @@ QUERIES = {
         lambda s, d: rows(s, d).select("id", F.round(A.l2_squared(F.col("embedding"), A.literal(query(s, d))), 5).alias("distance")).orderBy("distance", "id").limit(10),
         f"WITH {E} SELECT id, round(list_sum(list_transform(list_zip(v, q), lambda x: pow(x[1] - x[2], 2))), 5) AS distance FROM e, q ORDER BY distance, id LIMIT 10",
     ),
-    "label_centroids": (label_centroids, None),
+    "label_centroids": (
+        label_centroids,
+        f"""WITH {E}, l AS (SELECT id, v, label FROM e JOIN embeddings ON vec_id = id), x AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM l),
+            c AS (SELECT label, list(s ORDER BY i) AS c FROM (SELECT label, i, sum(x) AS s FROM x GROUP BY ALL) GROUP BY label)
+            SELECT label, round(avg(list_cosine_similarity(v, c)), 4) AS spread, count(*) AS n FROM l JOIN c USING (label) GROUP BY label""",
+    ),
     "ivf_topk": (cells, None),
     "pq_topk": (quantised, None),
     "rotated_binary_topk": (rotated, None),

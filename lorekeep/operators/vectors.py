@@ -155,6 +155,14 @@ def diversity(vectors: DataFrame, limit: float = 0.85) -> DataFrame:
     return sums.agg(F.round(mean, 5).alias("mean_cosine"), (mean > limit).alias("uniform"))
 
 
+def centroids(vectors: DataFrame, by: str = "label") -> DataFrame:
+    """Per group the normalised sum of its vectors: added up by (group, dimension), so no task holds a group."""
+    parts = vectors.select(by, F.posexplode("embedding").alias("i", "x")).groupBy(by, "i").agg(F.sum(F.col("x").cast("double")).alias("s"))
+    whole = parts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("c"))  # one entry a dimension
+    total = F.transform("c", lambda x: x["s"])
+    return whole.select(by, total.alias("total")).select(by, V.unit(F.col("total")).alias("centre"))
+
+
 def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
     """(query, id, score, rank): the exact cosine top-k of every query (query, embedding) among all other rows (id, embedding).
 

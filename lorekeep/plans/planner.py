@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.dates import find_dates
 from lorekeep.functions.text import fact_sentence, rewrite_query, sanitise_query
-from lorekeep.operators import fulltext, fusion, graph
+from lorekeep.operators import fulltext, fusion, graph, vectors
 from lorekeep.operators.temporal import diversify
 from lorekeep.sources.tables import scope_filter
 
@@ -78,9 +78,13 @@ def symbolic(facts: DataFrame, p: Plan) -> DataFrame:
     return scored.select("id", F.round("score", 6).alias("score"))
 
 
-def search(facts: DataFrame, query: str, user_id: str, agent_id: str | None = None, k: int = 10, today: date | None = None, seeds: int = 50) -> DataFrame:
-    """Hybrid search of one scope: symbolic hits, BM25 over fact sentences and a graph walk, fused by reciprocal rank, then
-    at most four rows of a relation before the others.  Every list is a top-k, so fusion works on a few hundred rows."""
+def search(facts: DataFrame, query: str, user_id: str, agent_id: str | None = None, k: int = 10, today: date | None = None, seeds: int = 50, stored: DataFrame | None = None) -> DataFrame:
+    """Hybrid search of one scope: symbolic hits, BM25 over fact sentences, a graph walk and vectors, fused by reciprocal rank,
+    then at most four rows of a relation before the others.  Every list is a top-k, so fusion works on a few hundred rows.
+
+    `stored` (fact_id, embedding) holds the facts' vectors as `vectors.embed` makes them of fact sentences; without it
+    the scope's sentences are embedded on the way.
+    """
     p = plan(query, today)
     mine = scope_filter(facts, user_id, agent_id).where(~F.col("quarantined"))
     if "history" not in p.intents and "temporal" not in p.intents:
@@ -90,8 +94,10 @@ def search(facts: DataFrame, query: str, user_id: str, agent_id: str | None = No
     if p.terms:
         lists.append(fulltext.bm25(texts, p.terms, seeds))
         lists.append(graph.entity_walk(mine, p.terms, seeds).orderBy(F.col("score").desc(), "id").limit(seeds))
+        held = texts.select("id", vectors.embed("text").alias("embedding")) if stored is None else mine.select("id").join(stored.select(F.col("fact_id").alias("id"), "embedding"), "id")
+        lists.append(vectors.top_k(held, vectors.embed_text(query).tolist(), seeds))
     fused = fusion.rrf(lists)
-    hits = mine.join(F.broadcast(fused), "id")  # at most 3 * seeds rows
+    hits = mine.join(F.broadcast(fused), "id")  # at most 4 * seeds rows
     ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "subject", "relation", "value", "id")))
     return diversify(ranked, k)
 

@@ -44,4 +44,4 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(registered()) - set(oracles()) == {"label_centroids", "ivf_topk", "pq_topk", "rotated_binary_topk", "crdt_delta", "hybrid_search", "gist_extraction", "pii_detectors", "best_match", "rocchio_rerank"}
+    assert set(registered()) - set(oracles()) == {"ivf_topk", "pq_topk", "rotated_binary_topk", "crdt_delta", "hybrid_search", "gist_extraction", "rocchio_rerank"}

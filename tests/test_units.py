@@ -395,3 +395,47 @@ def test_search_in_blocks_and_cells(spark):
         assert [r["id"] for r in found.where(F.col("query") == q).orderBy("rank").collect()] == best
     whole = vectors.neighbours_within(v.where("embedding is not null"), cells=2, k=2, block=16)
     assert whole.groupBy("a").count().where("count <> 2").count() == 0 and whole.select("a").distinct().count() == 120
+
+
+def test_hybrid_search_is_the_fusion_of_its_four_lists(spark):
+    from lorekeep.operators import fulltext, graph
+    from lorekeep.functions.text import fact_sentence
+
+    rows = [(f"f{i}", f"Ann{i % 7}", ("works_at", "lives_in", "likes")[i % 3], ("Vantor", "Oslo", "tea", "Quill")[i % 4] + str(i % 5), "u1", i) for i in range(60)]
+    base = spark.createDataFrame(rows, "id string, subject string, relation string, value string, user_id string, seq int").withColumn("valid_from", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, seq)")).withColumn("tx_from", F.col("valid_from"))
+    facts = with_defaults(base)
+    query = "Where does Ann3 live near Oslo2?"
+    p = planner.plan(query, date(2024, 3, 1))
+    texts = facts.select("id", fact_sentence().alias("text"))
+    lists = [planner.symbolic(facts, p), fulltext.bm25(texts, p.terms, 50), graph.entity_walk(facts, p.terms, 50), vectors.top_k(texts.select("id", vectors.embed("text").alias("embedding")), vectors.embed_text(query).tolist(), 50)]
+    score = {}
+    for one in lists:
+        for rank, (i, _) in enumerate(sorted(((r["id"], r["score"]) for r in one.collect()), key=lambda x: (-x[1], x[0]))[:50], 1):
+            score[i] = score.get(i, 0) + 1 / (60 + rank)
+    of = {r[0]: r for r in rows}
+    order = sorted(score, key=lambda i: (-round(score[i], 6), of[i][1], of[i][2], of[i][3], i))
+    seen, first, rest = {}, [], []
+    for i in order:
+        seen[of[i][2]] = seen.get(of[i][2], 0) + 1
+        (first if seen[of[i][2]] <= 4 else rest).append(i)
+    expected = [*first, *rest][:10]
+    got = [r["id"] for r in planner.search(facts, query, "u1", k=10, today=date(2024, 3, 1)).collect()]
+    assert got == expected
+    stored = texts.select(F.col("id").alias("fact_id"), vectors.embed("text").alias("embedding"))
+    assert [r["id"] for r in planner.search(facts, query, "u1", k=10, today=date(2024, 3, 1), stored=stored).collect()] == expected
+
+
+def test_index_grows_by_batches(spark, tmp_path):
+    from lorekeep.operators import fulltext, textindex
+
+    texts = ["the cat sat on the mat", "a cat and a dog", None, "", "dog on mat", "the the the cat"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    index = textindex.build(chunks.where("id < 3"), str(tmp_path / "i"), 4)
+    index.add(chunks.where("id >= 3"))
+    whole = chunks.withColumn("text", F.coalesce("text", F.lit("")))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for terms in (["cat", "mat"], ["the"], ["nothing"]):
+        assert rows(index.bm25(terms)) == rows(fulltext.bm25(whole, terms))
+    assert rows(index.phrase(["the", "cat"])) == rows(fulltext.phrase_search(whole, ["the", "cat"])) == [(0, 1), (5, 1)]
+    assert rows(index.phrase(["cat", "mat"], 4)) == rows(fulltext.phrase_search(whole, ["cat", "mat"], 4))
+    assert rows(index.suggest("d")) == [("dog", 2)] and rows(index.vocabulary().where("term = 'the'")) == [("the", 5, 2)]
