@@ -20,10 +20,10 @@ from lorekeep.llm.textbytes import mix
 
 #: Lines are compared by their sets of character shingles of this length.
 SHINGLE = 5
-#: Signatures sample these longer shingles, which fewer strangers share: BANDS bands of ROWS MinHash samples.
-LONG, ROWS, BANDS = 8, 3, 10
+#: Signatures sample these longer shingles, which few strangers share: BANDS bands of ROWS MinHash samples.
+LONG, ROWS, BANDS = 12, 2, 10
 #: Lines shorter than SHORT characters also have SHORT_BANDS bands of SHORT_ROWS samples of the shingles they are compared by.
-SHORT, SHORT_ROWS, SHORT_BANDS = 96, 3, 8
+SHORT, SHORT_ROWS, SHORT_BANDS = 96, 4, 8
 #: Bits of the odd sketch by which members of open buckets are sifted.
 BITS = 1024
 WORDS = BITS // 64
@@ -39,7 +39,9 @@ _MULTIPLY = _rng.integers(0, 1 << 31, _SAMPLES, dtype=np.uint32) * np.uint32(2)
 _ADD = _rng.integers(0, 1 << 32, _SAMPLES, dtype=np.uint64).astype(np.uint32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEP32 = np.uint32(0x9E3779B1)
-_STEP32_4 = np.uint32(pow(0x9E3779B1, 4, 1 << 32))
+_STEP32_4, _STEP32_8 = (np.uint32(pow(0x9E3779B1, n, 1 << 32)) for n in (4, 8))
+#: Lines whose keys stand in a table of so many slots were signed by the same task before.
+SEEN = 1 << 20
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,14 +98,14 @@ def line_bands(lines: list[str]) -> list[np.ndarray]:
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(owner.size)  # characters from a place to its line's end
     four, five = _rolling(c, np.uint32, _STEP32)
     n = owner.size
-    eight = _mix32(four[:n] * _STEP32_4 + four[4 : n + 4])
+    long = _mix32(four[:n] * _STEP32_8 + four[4 : n + 4] * _STEP32_4 + four[8 : n + 8])
     found: list[list[np.ndarray]] = [[] for _ in lines]
     # half of the long shingles, the same of every line, are sample enough; a line that has only others keeps those
     inside = left >= LONG
-    half = inside & (eight & np.uint32(1) == 0)
+    half = inside & (long & np.uint32(1) == 0)
     some = np.zeros(len(lines), bool)
     some[owner[half]] = True
-    values, starts, of = _sets(eight, half | (inside & ~some[owner]), owner)
+    values, starts, of = _sets(long, half | (inside & ~some[owner]), owner)
     if of.size:
         for i, b in zip(of.tolist(), _bands(values, starts, ROWS, BANDS, 1)):
             found[i].append(b)
@@ -139,18 +141,22 @@ def _runs(column: pa.Array, size: int = _CHUNK) -> Iterator[list[str]]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets of each line; a line that repeats within a batch has them once."""
+    """Buckets of each line; a line that repeats within a task has them once as a rule, so boilerplate is signed once a task."""
+    seen = np.zeros(SEEN, np.int64)
     for batch in batches:
         at, names = 0, batch.schema.names
         rest = [n for n in names if n != "line"]
         for run in _runs(batch.column(names.index("line"))):
-            first = {x: i for i, x in reversed(list(enumerate(run)))}
-            where = sorted(first.values())
+            keys = batch.column(names.index("k1")).slice(at, len(run)).to_numpy()
+            slots = keys & (SEEN - 1)
+            where = np.unique(keys, return_index=True)[1]
+            where = np.sort(where[seen[slots[where]] != keys[where]]).tolist()
+            seen[slots] = keys
             bands: list[np.ndarray] = [np.zeros(0, np.int64)] * len(run)
             for i, b in zip(where, line_bands([run[i] for i in where])):
                 bands[i] = b
             offsets = np.concatenate([[0], np.cumsum([b.size for b in bands])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands)))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands)))  # a run has a line at least
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(n)).slice(at, len(run)) for n in rest], lists], names=[*rest, "bands"])
             at += len(run)
 
@@ -227,9 +233,9 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     `similarity`; a class is a connected component, and its line of least (doc_id, line_no) is kept.  `line_class` is
     the least line key (128 bits in hex) in the class.
 
-    1. One scan cuts texts into lines and signs each: bands of three MinHash samples of its 8-character shingles, and for
-       short lines also of its 5-character ones.  Equal lines share their key, and boilerplate that fills
-       a third of all lines is signed once a batch.
+    1. One scan cuts texts into lines and signs each: bands of two MinHash samples of its 12-character shingles, and for
+       short lines also of four of its 5-character ones.  Equal lines share their key, and boilerplate that fills
+       a third of all lines is signed once a task.
     2. Every member of a bucket is paired with the bucket's pivot; pairs are confirmed on exact sets, links merged.
     3. Buckets that still hold several components are compared across them (see `crossing_cells`), sketch against sketch.
        This sieve loses no link: sets of this similarity differ in at most (1 - s) / (1 + s) of the sum of their sizes, and
