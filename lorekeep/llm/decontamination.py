@@ -78,8 +78,9 @@ def contamination(
     and compared word for word, so hash collisions add nothing.  Fingerprints are joined inside the scan's stage as long
     as the benchmark's are small enough to broadcast (their bytes are counted), otherwise shuffled.
 
-    Null text has no words; repeated rows get equal results; repeated items count once; an item without words never
-    hits; empty tables give no hits; other columns are never read.
+    Null text has no words; very long texts are read whole; repeated rows get equal results, a null id is kept; repeated items
+    count once, and a window that several items share hits them all; an item without words or id never hits; empty
+    tables give no hits; other columns of either table are never read.
     """
     items = materialise(
         benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("w")).where("size(w) > 0 and item is not null"),

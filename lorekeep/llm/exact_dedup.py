@@ -24,7 +24,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with `digest` the caller wants the SHA-256 of every row, so the first scan computes it and level 3 reuses it.
     Groups are counted by map-side combined aggregates, so a group holding a third of the rows costs one row per task.
 
-    Null text counts as empty.  Rows that repeat an id are one document: they count in group_size and share `kept`.
+    Null text counts as empty; very long texts are hashed whole.  Rows that repeat an id are one document: they count in group_size and share `kept`.
     A null id is kept only if its whole group has null ids.  An empty table gives an empty result; other columns are
     never read.
     """

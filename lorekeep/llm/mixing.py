@@ -164,8 +164,9 @@ def mix(
     documents, and the last keeps those that start within the quota.  `block` numbers runs of `block_tokens` tokens of
     the source's stream; sorting by `mix_key` interleaves the blocks so that any prefix holds the target weights.
 
-    A null source is a source; null or empty text is a document of two tokens (an empty word and its end); rows that repeat an id lie side by
-    side in the permutation; without `budget_tokens` every row occurs at least once; an empty table gives an empty result.
+    A null source is a source, and so is a missing column; null or empty text is a document of two tokens (an empty word and its
+    end); a text longer than a block, or than what is left of a quota, is read whole; rows that repeat an id lie side by
+    side in the permutation, by their tokens; other columns are never read; without `budget_tokens` every row occurs at least once; an empty table gives an empty result.
     """
     narrow = _narrow(docs, id_col, text_col, source_col)
     mixture = temperature_mixture(narrow, max_repetition, min_entropy, budget_tokens)

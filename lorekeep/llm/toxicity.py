@@ -244,7 +244,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Train on the labelled part and score all: doc_id, held_out, score, predicted, one row per input row."""
+    """Train on the labelled part and score all: doc_id, held_out, score, predicted, one row per input row.
+
+    Null and empty texts get the model's constant; very long texts are scored whole, about 2 MB at a time; rows that repeat an id
+    are scored each by its text; a null id is not held out; a score of exactly 0.5 counts as toxic; an empty table gives an
+    empty result; other columns of either table are never read.
+    """
     scored = score(docs, train(docs, labels, id_col, text_col), id_col, text_col)
     return scored.select(
         "doc_id",
@@ -255,7 +260,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
-    """`docs` without the rows scored at `cut` or above; all columns kept, the text never shuffled."""
+    """`docs` without the rows scored at `cut` or above; all columns of any name kept, the text never shuffled.
+
+    Null and empty texts get the model's constant, which is under 0.5 unless only toxic labels are known; very long texts are
+    scored whole; rows that repeat an id, or have none, are judged each by its text; an empty table gives an empty result.
+    """
     model = train(docs, labels, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
