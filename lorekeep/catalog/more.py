@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorekeep.catalog.graph import COMMITTED, TRIPLES, VERSIONS, commits, committed, replicas, triple_facts
+from lorekeep.catalog.graph import _CO, COMMITTED, SPARSE, TRIPLES, VERSIONS, commits, committed, replicas, sparse, triple_facts
 from lorekeep.catalog.temporal import CHAIN, FACTS, facts
 from lorekeep.catalog.text import docs, turns
 from lorekeep.catalog.vectors import E, query, rows
 from lorekeep.functions import arrays as A
 from lorekeep.functions import text as X
 from lorekeep.operators import aggregates as G
+from lorekeep.operators import cognition as P
 from lorekeep.operators import extraction as B
 from lorekeep.operators import federation as R
 from lorekeep.operators import fulltext as T
@@ -21,6 +22,7 @@ from lorekeep.operators import temporal as M
 from lorekeep.operators import vectors as V
 from lorekeep.operators import versioning as C
 from lorekeep.plans import sparql
+from lorekeep.sources import importers as I
 from lorekeep.sources import tables as S
 from lorekeep.sources.tables import dimension_triples, event_edges, table
 
@@ -98,7 +100,65 @@ def _unextracted(s, d):
     return B.unextracted(docs(s, d).select("id", "lang"), known)
 
 
+def _prefixes(s, d):
+    asked = table(s, d, "benchmark").select(F.explode(F.array(F.substring(F.lower("text"), 1, 2), F.substring(F.lower("text"), 1, 3))).alias("prefix")).where(F.length(F.trim("prefix")) >= 2)
+    return T.expand_prefixes(asked, T.vocabulary(docs(s, d), 2), 3)
+
+
+def _idiolects(s, d):
+    said = turns(s, d).select("id", F.col("agent_id").alias("user_id"), "text")
+    pairs = said.select("user_id").distinct().select("user_id", F.lit("The").alias("said"), F.concat(F.lit("<"), "user_id", F.lit(">")).alias("meant")).where("user_id = 'user'")
+    return T.normalise_idiolect(said, pairs, {"the": "THE", "of": "OF"}).select("id", F.md5("text").alias("hash"))
+
+
+def _chats(s, d):
+    """Conversations nested as benchmark rows are, a session per conversation and a batch per two turns, and flattened again."""
+    c = table(s, d, "conversations")
+    batches = c.groupBy("conv_id", F.floor(F.col("turn") / 2).alias("batch_number")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("turns")
+    )
+    nested = batches.groupBy(F.col("conv_id").alias("conversation_id")).agg(F.array(F.array_sort(F.collect_list(F.struct("batch_number", "turns")))).alias("chat"))
+    return I.flatten_chats(nested).groupBy("conversation_id", "batch_number", "role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"), F.max("position").alias("last"))
+
+
+def _sets_judged(s, d):
+    sets = facts(s, d).groupBy("subject").agg(F.collect_set(F.when(F.col("seq") % 2 == 0, F.col("value"))).alias("expected"), F.collect_set(F.when(F.col("seq") % 3 == 0, F.col("value"))).alias("found"))
+    return Q.judge_sets(sets).select("subject", "f1", "met")
+
+
 QUERIES = {
+    "prefix_expansion": (
+        _prefixes,
+        """WITH q AS (SELECT DISTINCT unnest([substr(lower(text), 1, 2), substr(lower(text), 1, 3)]) AS prefix FROM benchmark), v AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS term FROM documents) GROUP BY term HAVING count(*) >= 2)
+           SELECT prefix, term, n FROM q JOIN v ON starts_with(term, prefix) WHERE length(trim(prefix)) >= 2 QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY n DESC, term) <= 3""",
+    ),
+    "idiolect_texts": (
+        _idiolects,
+        """SELECT conv_id * 1000 + turn AS id, md5(array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN lower(w) = 'the' AND role = 'user' THEN '<user>' WHEN lower(w) = 'the' THEN 'THE' WHEN lower(w) = 'of' THEN 'OF' ELSE w END), ' ')) AS hash FROM conversations""",
+    ),
+    "nested_chats": (
+        _chats,
+        """WITH t AS (SELECT conv_id, turn // 2 AS batch_number, role, text, row_number() OVER (PARTITION BY conv_id, turn // 2 ORDER BY turn) - 1 AS position FROM conversations)
+           SELECT conv_id AS conversation_id, batch_number, role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(max(position) AS INTEGER) AS last FROM t GROUP BY ALL""",
+    ),
+    "set_judge": (
+        _sets_judged,
+        f"""WITH {FACTS}, s AS (SELECT subject, coalesce(list(DISTINCT value) FILTER (seq % 2 = 0), []) AS e, coalesce(list(DISTINCT value) FILTER (seq % 3 = 0), []) AS f FROM facts GROUP BY subject),
+            x AS (SELECT subject, CASE WHEN len(e) = 0 THEN 1.0::DOUBLE WHEN len(list_intersect(e, f)) = 0 THEN 0.0::DOUBLE ELSE 2 * len(list_intersect(e, f)) / (len(e) + len(f)) END AS f1 FROM s) SELECT subject, round(f1, 6) AS f1, f1 >= 0.5 AS met FROM x""",
+    ),
+    "session_brief": (
+        lambda s, d: G.session_brief(facts(s, d)).select("user_id", "run_id", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first"), F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"), "n", "brief"),
+        f"""WITH {FACTS}, r AS (SELECT user_id, run_id, relation, arg_max(value, (tx_from, seq)) AS v, count(*) AS n, min(tx_from) AS a, max(tx_from) AS b FROM facts GROUP BY ALL)
+            SELECT user_id, run_id, strftime(min(a), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(b), '%Y-%m-%d %H:%M:%S') AS last, CAST(sum(n) AS BIGINT) AS n, string_agg(relation || '=' || v, '; ' ORDER BY relation) AS brief FROM r GROUP BY user_id, run_id""",
+    ),
+    "cognition_pass": (
+        lambda s, d: P.cognition_pass(sparse(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
+        f"""WITH {SPARSE}, {_CO}, t AS (SELECT subject, array_to_string(list_sort(list(DISTINCT relation)), ',') AS relations FROM facts GROUP BY subject),
+            g AS (SELECT DISTINCT subject, b AS relation FROM has JOIN co ON co.a = has.relation AND fraction >= 0.5 WHERE (subject, b) NOT IN (SELECT (subject, relation) FROM has)),
+            n AS (SELECT 'prototype' AS kind, (SELECT count(*) FROM (SELECT relations FROM t GROUP BY relations HAVING count(*) >= 2)) AS n UNION ALL SELECT 'gap', (SELECT count(*) FROM g) UNION ALL SELECT 'hypothesis', (SELECT count(*) FROM g)
+              UNION ALL SELECT 'analogy', (SELECT count(*) FROM co JOIN sizes x ON x.relation = a JOIN sizes y ON y.relation = b WHERE a < b AND shared >= 2 AND shared / (x.n + y.n - shared) >= 0.4))
+            SELECT kind, n FROM n WHERE n > 0""",
+    ),
     "valid_while": (
         lambda s, d: M.valid_while(M.close_intervals(facts(s, d)), "purchase", "10").select("seq"),
         f"""WITH {CHAIN} SELECT f.seq FROM chain f WHERE f.relation <> 'purchase' AND EXISTS (SELECT 1 FROM chain a WHERE a.relation = 'purchase' AND a.value = '10' AND a.user_id = f.user_id AND a.subject = f.subject

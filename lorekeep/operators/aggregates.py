@@ -119,3 +119,10 @@ def integer_sum(facts: DataFrame, by: str = "relation") -> DataFrame:
     """Per group the number and the sum of the values that are whole numbers."""
     number = F.expr("try_cast(value AS BIGINT)")
     return facts.groupBy(by).agg(F.count(number).alias("n"), F.coalesce(F.sum(number), F.lit(0)).alias("total"))
+
+
+def session_brief(facts: DataFrame, keys: tuple[str, ...] = ("user_id", "run_id")) -> DataFrame:
+    """What to hand over of each session: its span, number of facts, and the last value of each relation as text, in order of relation."""
+    last = facts.groupBy(*keys, "relation").agg(F.max_by("value", F.struct("tx_from", "seq")).alias("value"), F.count(F.lit(1)).alias("n"), F.min("tx_from").alias("a"), F.max("tx_from").alias("b"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("relation", "value"))), lambda x: F.concat_ws("=", x["relation"], x["value"]))
+    return last.groupBy(*keys).agg(F.min("a").alias("first"), F.max("b").alias("last"), F.sum("n").alias("n"), F.array_join(lines, "; ").alias("brief"))

@@ -85,3 +85,21 @@ def analogies(facts: DataFrame, key: str = "relation", member: str = "subject",
     sized = shared.join(size.select(F.col("k").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("k").alias("b"), F.col("n").alias("nb")), "b")
     score = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
     return sized.where(score >= jaccard).select("a", "b", "shared", F.round(score, 6).alias("jaccard"))
+
+
+def cognition_pass(facts: DataFrame) -> DataFrame:
+    """All mining results as (kind, subject, relation, value, confidence): prototypes, gaps, hypotheses and analogies, for review.
+
+    None of it is a fact; nothing is written back.
+    """
+    none = F.lit(None).cast("string")
+    parts = [
+        prototypes(facts).select(F.lit("prototype").alias("kind"), F.col("example").alias("subject"), F.col("relations").alias("relation"), none.alias("value"), "confidence"),
+        gaps(facts).select(F.lit("gap").alias("kind"), "subject", "relation", none.alias("value"), F.col("support").alias("confidence")),
+        hypotheses(facts).select(F.lit("hypothesis").alias("kind"), "subject", "relation", "value", "confidence"),
+        analogies(facts).select(F.lit("analogy").alias("kind"), F.col("a").alias("subject"), F.lit("like").alias("relation"), F.col("b").alias("value"), F.col("jaccard").alias("confidence")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -234,3 +234,29 @@ def dense_only(vectors: DataFrame, query, k: int = 10, weight: float = 0.6) -> D
     from lorekeep.functions import arrays as V
 
     return vectors.select("id", F.round(F.lit(weight) * V.cosine(F.col("embedding"), V.literal(query)), 6).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
+
+
+def expand_prefixes(prefixes: DataFrame, terms: DataFrame, most: int = 8) -> DataFrame:
+    """(prefix, term, n) of the `most` frequent dictionary terms (term, n) that begin with each prefix (prefix), of equals the first.
+
+    A term meets a prefix by equality of its head, cut at the lengths that prefixes have, so this is no range join.
+    """
+    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().collect() if r[0]]  # as many as a word has letters
+    if not lengths:
+        return prefixes.select("prefix", F.lit(None).cast("string").alias("term"), F.lit(None).cast("bigint").alias("n")).limit(0)
+    heads = F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in sorted(lengths)])
+    met = terms.select("term", "n", F.explode(heads).alias("prefix")).join(prefixes.select("prefix").distinct(), "prefix")
+    w = Window.partitionBy("prefix").orderBy(F.col("n").desc(), "term")
+    return met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("prefix", "term", "n")
+
+
+def normalise_idiolect(texts: DataFrame, pairs: DataFrame, shared: dict[str, str], user: str = "user_id") -> DataFrame:
+    """Texts with each word put as the user means it: by the user's own pairs (user, said, meant), else by the shared map.
+
+    A user's pairs are one map (a personal dictionary), joined by user; of one word's several meanings the least counts.
+    """
+    own = pairs.groupBy(F.col(user).alias("p_user"), F.lower("said").alias("said")).agg(F.min("meant").alias("meant"))
+    own = own.groupBy("p_user").agg(F.map_from_entries(F.collect_list(F.struct("said", "meant"))).alias("own"))
+    common = F.create_map(*[F.lit(x) for kv in shared.items() for x in kv]) if shared else F.create_map().cast("map<string,string>")
+    put = F.array_join(F.transform(F.split("text", " "), lambda w: F.coalesce(F.element_at("own", F.lower(w)), F.element_at(common, F.lower(w)), w)), " ")
+    return texts.join(own, F.col(user) == F.col("p_user"), "left").withColumn("text", put).drop("p_user", "own")

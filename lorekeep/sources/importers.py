@@ -160,3 +160,30 @@ def read_dialogues(rows: DataFrame) -> DataFrame:
         .select("conversation_id", "batch", F.posexplode("b.turns").alias("turn", "t"))
         .select("conversation_id", "batch", "turn", "t.*")
     )
+
+
+def flatten_chats(rows: DataFrame) -> DataFrame:
+    """Benchmark rows with nested chats (conversation_id, chat: sessions of batches of turns) as one row per turn.
+
+    conversation_id, session, batch_number, position (from 0 within its batch), role, content.
+    """
+    sessions = rows.select("conversation_id", F.posexplode("chat").alias("session", "batches"))
+    batches = sessions.select("conversation_id", "session", F.explode("batches").alias("b"))
+    turns = batches.select("conversation_id", "session", F.col("b.batch_number").alias("batch_number"), F.posexplode("b.turns").alias("position", "t"))
+    return turns.select("conversation_id", "session", "batch_number", "position", "t.role", "t.content")
+
+
+def compact_table(df: DataFrame, path: str, target_bytes: int = 128 << 20, sort_by: tuple[str, ...] = ()) -> DataFrame:
+    """A table rewritten under `path` in files of about `target_bytes`, sorted within, and read back: many small files become few.
+
+    The number of files is taken from the size of the files the table lies in; a table that isn't read from files keeps its partitions.
+    """
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    size = 0
+    for name in df.inputFiles():
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        size += p.getFileSystem(hadoop).getFileStatus(p).getLen()
+    out = df.repartition(max(1, -(-size // target_bytes))) if size else df
+    (out.sortWithinPartitions(*sort_by) if sort_by else out).write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
