@@ -1,7 +1,7 @@
 """Fuzzy line dedup: character-shingle MinHash signatures, high-recall banding, exact Jaccard, distributed union-find.
 
-Signatures and exact sets are made in Arrow batches with numpy (the README gives the figures by which the form in DataFrame
-functions alone failed); splitting, keys, buckets, joins and components are DataFrame operations.
+Signatures, sketches and exact sets are made in Arrow batches with numpy (the README gives the figures by which the form in
+DataFrame functions alone failed); splitting, keys, buckets, joins and components are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -74,47 +74,69 @@ def _mix32(h: np.ndarray) -> np.ndarray:
 
 def _bands(values: np.ndarray, starts: np.ndarray, rows: int, bands: int, salt: int) -> np.ndarray:
     """(sets, bands) int64: hashes of `rows` MinHash samples each, of the sets that begin at `starts`."""
-    out = np.empty((starts.size, bands), np.uint64)
+    out, scaled = np.empty((starts.size, bands), np.uint64), np.empty_like(values)
     for b in range(bands):
         h = np.full(starts.size, (salt << 8) + b + 1, np.uint64)
         for k in range(b * rows, (b + 1) * rows):
-            h = mix(h + np.minimum.reduceat(values * _MULTIPLY[k] + _ADD[k], starts).astype(np.uint64) * _STEP)
+            np.multiply(values, _MULTIPLY[k], out=scaled)
+            np.add(scaled, _ADD[k], out=scaled)
+            h = mix(h + np.minimum.reduceat(scaled, starts).astype(np.uint64) * _STEP)
         out[:, b] = h
     return out.view(np.int64)
 
 
-def _sets(h: np.ndarray, keep: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The kept hashes, where each owner's begin among them, and the owners that have some."""
-    values, of = h[keep], owner[keep]
-    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if of.size else np.zeros(0, np.int64)
-    return values, first, of[first]
+def _inside(starts: np.ndarray, sizes: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Whether a shingle of `width` characters begins at each of `n` places, by the lines' starts and sizes."""
+    whole = sizes >= width
+    step = np.zeros(n + 1, np.int8)
+    step[starts[whole]] += 1
+    step[(starts + sizes)[whole] - width + 1] -= 1
+    return np.cumsum(step[:n], dtype=np.int8).view(bool)
 
 
-def line_bands(lines: list[str]) -> list[np.ndarray]:
-    """The buckets of each line, as int64: none for lines of fewer than SHINGLE characters, which only equal lines are like."""
+def _sets(keep: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kept places, where each line's begin among them, and the lines that have some."""
+    at = np.flatnonzero(keep)
+    first = np.searchsorted(at, starts)
+    of = np.flatnonzero(np.searchsorted(at, starts + sizes) > first)
+    return at, first[of], of
+
+
+def _buckets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all lines, as int64, one line after the other, and how many each has: none if it has fewer than SHINGLE
+    characters, as only equal lines are like it."""
     sizes = np.fromiter((len(x) for x in lines), np.int64, len(lines))
+    starts = np.cumsum(sizes) - sizes
     c = _points([*lines, " " * LONG])
-    owner = np.repeat(np.arange(len(lines)), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(owner.size)  # characters from a place to its line's end
     four, five = _rolling(c, np.uint32, _STEP32)
-    n = owner.size
+    n = c.size - LONG
     long = _mix32(four[:n] * _STEP32_8 + four[4 : n + 4] * _STEP32_4 + four[8 : n + 8])
-    found: list[list[np.ndarray]] = [[] for _ in lines]
     # half of the long shingles, the same of every line, are sample enough; a line that has only others keeps those
-    inside = left >= LONG
-    half = inside & (long & np.uint32(1) == 0)
-    some = np.zeros(len(lines), bool)
-    some[owner[half]] = True
-    values, starts, of = _sets(long, half | (inside & ~some[owner]), owner)
+    half = _inside(starts, sizes, LONG, n) & (long & np.uint32(1) == 0)
+    at, first, of = _sets(half, starts, sizes)
+    bare = sizes >= LONG
+    bare[of] = False
+    if bare.any():
+        at, first, of = _sets(half | _inside(starts[bare], sizes[bare], LONG, n), starts, sizes)
+    short = sizes < SHORT
+    at5, first5, of5 = _sets(_inside(starts[short], sizes[short], SHINGLE, n), starts, sizes)
+    counts = np.zeros(len(lines), np.int64)
+    counts[of] = BANDS
+    behind = counts[of5]
+    counts[of5] += SHORT_BANDS
+    begin = np.cumsum(counts) - counts
+    out = np.empty(counts.sum(), np.int64)
     if of.size:
-        for i, b in zip(of.tolist(), _bands(values, starts, ROWS, BANDS, 1)):
-            found[i].append(b)
-    short = (sizes < SHORT)[owner] & (left >= SHINGLE)
-    values, starts, of = _sets(_mix32(five[:n]), short, owner)
-    if of.size:
-        for i, b in zip(of.tolist(), _bands(values, starts, SHORT_ROWS, SHORT_BANDS, 2)):
-            found[i].append(b)
-    return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.zeros(0, np.int64) for x in found]
+        out[begin[of][:, None] + np.arange(BANDS)] = _bands(long[at], first, ROWS, BANDS, 1)
+    if of5.size:
+        out[(begin[of5] + behind)[:, None] + np.arange(SHORT_BANDS)] = _bands(_mix32(five[at5]), first5, SHORT_ROWS, SHORT_BANDS, 2)
+    return out, counts
+
+
+def line_bands(lines: list[str]) -> list[np.ndarray]:
+    """The buckets of each line."""
+    out, counts = _buckets(lines)
+    return np.split(out, np.cumsum(counts)[:-1]) if lines else []
 
 
 def grams(line: str) -> np.ndarray:
@@ -130,12 +152,13 @@ def grams(line: str) -> np.ndarray:
 def _runs(column: pa.Array, size: int = _CHUNK) -> Iterator[list[str]]:
     """The column's texts in runs of about `size` characters, so that a batch of long lines doesn't fill the memory."""
     run, n = [], 0
-    for t in column:
-        run.append(t.as_py())
-        n += len(run[-1])
-        if n >= size:
-            yield run
-            run, n = [], 0
+    for at in range(0, len(column), 256):
+        for t in column.slice(at, 256).to_pylist():
+            run.append(t)
+            n += len(t)
+            if n >= size:
+                yield run
+                run, n = [], 0
     if run:
         yield run
 
@@ -150,13 +173,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = batch.column(names.index("k1")).slice(at, len(run)).to_numpy()
             slots = keys & (SEEN - 1)
             where = np.unique(keys, return_index=True)[1]
-            where = np.sort(where[seen[slots[where]] != keys[where]]).tolist()
+            where = np.sort(where[seen[slots[where]] != keys[where]])
             seen[slots] = keys
-            bands: list[np.ndarray] = [np.zeros(0, np.int64)] * len(run)
-            for i, b in zip(where, line_bands([run[i] for i in where])):
-                bands[i] = b
-            offsets = np.concatenate([[0], np.cumsum([b.size for b in bands])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands)))  # a run has a line at least
+            bands, sizes = _buckets([run[i] for i in where.tolist()])
+            offsets = np.zeros(len(run) + 1, np.int32)
+            offsets[where + 1] = sizes
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(bands))
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(n)).slice(at, len(run)) for n in rest], lists], names=[*rest, "bands"])
             at += len(run)
 
@@ -195,6 +217,23 @@ def _near(similarity: float):
     return run
 
 
+def _side(sketches: DataFrame, name: str) -> DataFrame:
+    """The sketches of side `name` of pairs, whose columns end in that name."""
+    return sketches.select(F.col("k1").alias(name), F.col("size").alias(f"size{name}"), *[F.get("sketch", i).alias(f"s{i}{name}") for i in range(WORDS)])
+
+
+def _maybe(similarity: float) -> Column:
+    """Whether the sketches of sides p and q allow the similarity.
+
+    This sieve loses no link: sets of this similarity differ in at most (1 - s) / (1 + s) of the sum of their sizes, each element
+    in one of them only flips one bit, and the smaller has at least that share of the larger one's size.
+    """
+    differ = sum((F.bit_count(F.col(f"s{i}p").bitwiseXOR(F.col(f"s{i}q"))) for i in range(WORDS)), F.lit(0))
+    limit = (F.col("sizep") + F.col("sizeq")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    sizes = F.least("sizep", "sizeq") >= F.greatest("sizep", "sizeq") * F.lit(similarity) - F.lit(1e-6)
+    return sizes & (differ <= limit)
+
+
 def _key(a: str, b: str) -> Column:
     """128 bits of a line's hashes as text."""
     return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
@@ -202,7 +241,7 @@ def _key(a: str, b: str) -> Column:
 
 def _confirm(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The (a, b), as keys, of the pairs (p, q) of first hashes whose lines have the similarity."""
-    left = pairs.join(texts.select(F.col("k1").alias("p"), F.col("key").alias("a"), F.col("line").alias("la")).hint("shuffle_merge"), "p")
+    left = texts.select(F.col("k1").alias("p"), F.col("key").alias("a"), F.col("line").alias("la")).join(maybe_broadcast(pairs), "p")
     both = left.join(texts.select(F.col("k1").alias("q"), F.col("key").alias("b"), F.col("line").alias("lb")).hint("shuffle_merge"), "q")
     return both.select("a", "b", "la", "lb").mapInArrow(_near(similarity), "a string, b string")
 
@@ -236,10 +275,10 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     1. One scan cuts texts into lines and signs each: bands of two MinHash samples of its 12-character shingles, and for
        short lines also of four of its 5-character ones.  Equal lines share their key, and boilerplate that fills
        a third of all lines is signed once a task.
-    2. Every member of a bucket is paired with the bucket's pivot; pairs are confirmed on exact sets, links merged.
+    2. Every member of a bucket is paired with the bucket's pivot; pairs that their sketches allow (see `_maybe`) are confirmed
+       on exact sets, links merged.
     3. Buckets that still hold several components are compared across them (see `crossing_cells`), sketch against sketch.
-       This sieve loses no link: sets of this similarity differ in at most (1 - s) / (1 + s) of the sum of their sizes, and
-       each element in one of them only flips one bit.  What passes is confirmed likewise.  So no link whose lines share a bucket is lost.
+       What passes is confirmed likewise.  So no link whose lines share a bucket is lost.
 
     Null and empty texts have no lines to compare; blank lines belong to no class and are left out; a line of fewer than 5
     characters equals only itself; very long lines are one line, read whole; rows that repeat an id share their places and
@@ -261,7 +300,12 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     texts = materialise(texts.groupBy("k1", "k2").agg(F.any_value("line").alias("line")).select("k1", "k2", _key("k1", "k2").alias("key"), "line"), "line-texts")
     # pairs of first hashes; should two lines ever share one, both meet the other side
     stars = materialise(shared.where("node <> pivot").select(F.col("pivot").alias("p"), F.col("node").alias("q")).distinct(), "line-stars")
-    links = materialise(_confirm(stars, texts, similarity), "line-links")
+    sketches = texts.select("k1", "line").mapInArrow(_sketch, "k1 bigint, size bigint, sketch array<bigint>")
+    sketches = materialise(sketches.groupBy("k1").agg(F.min("size").alias("size"), F.any_value("sketch").alias("sketch")), "line-sketches")
+    # most pairs share a bucket by chance: these are sifted out before their texts are brought together
+    sifted = stars.join(_side(sketches, "p").hint("shuffle_merge"), "p").join(_side(sketches, "q").hint("shuffle_merge"), "q").where(_maybe(similarity))
+    sifted = materialise(sifted.select("p", "q"), "line-sifted")
+    links = materialise(_confirm(sifted, texts, similarity), "line-links")
     component = connected_components(links)
 
     # from here a long stands for a line, and one for its component, which hash aggregates and sorts take cheaply
@@ -271,10 +315,7 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     labelled = materialise(labelled.select("band", "node", F.coalesce("c", F.xxhash64(F.col("node"))).alias("component")), "line-labelled")
     split = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
     labelled = materialise(labelled.join(split, "band"), "line-open")
-    opened = labelled.select(F.col("node").alias("w")).distinct()
-    sketches = texts.select("k1", "line").join(opened, F.col("k1") == F.col("w"), "left_semi").mapInArrow(_sketch, "k1 bigint, size bigint, sketch array<bigint>")
-    sketches = materialise(sketches.groupBy("k1").agg(F.min("size").alias("size"), F.any_value("sketch").alias("sketch")), "line-sketches")
-    again = materialise(_across(labelled, sketches, similarity).join(stars, ["p", "q"], "left_anti"), "line-again")
+    again = materialise(_across(labelled, sketches, similarity).join(sifted, ["p", "q"], "left_anti"), "line-again")
     if not again.isEmpty():
         more = materialise(_confirm(again, texts, similarity), "line-more")
         if not more.isEmpty():  # these join components, so a graph of components is enough
@@ -289,7 +330,7 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     # classes are found per key; only keys of classes with several lines go back to the lines
     per_key = signed.select("k1", "k2", place.alias("place")).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
     owner = materialise(texts.join(component, F.col("key") == F.col("node")).select("k1", "k2", "component"), "line-owner")
-    free(shared, wanted, stars, links, labelled, sketches, again, texts)
+    free(shared, wanted, stars, sifted, links, labelled, sketches, again, texts)
     named = per_key.join(maybe_broadcast(owner), ["k1", "k2"], "left").where("n > 1 or component is not null").withColumn("class", F.coalesce("component", _key("k1", "k2")))
     named = materialise(named.select("k1", "k2", "n", "first", "class"), "line-named")
     classes = named.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("first").alias("class_first"))
@@ -306,20 +347,15 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
 def _across(labelled: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The (p, q), p < q, of different components in one bucket that may be linked by their sizes and sketches."""
     left, right = crossing_cells(labelled)
-    words = [F.get("sketch", i).alias(f"s{i}") for i in range(WORDS)]
-    sketches = sketches.select("k1", "size", *words)
 
     def side(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.join(sketches, F.col("node") == F.col("k1"))
-        return rows.select("band", "x", "y", *[F.col(c).alias(f"{c}{name}") for c in ("node", "component", "rest", "size", *[f"s{i}" for i in range(WORDS)])])
+        rows = rows.select("band", "x", "y", F.col("node").alias(name), *[F.col(c).alias(f"{c}{name}") for c in ("component", "rest")])
+        return rows.join(_side(sketches, name), name)
 
-    differ = sum((F.bit_count(F.col(f"s{i}p").bitwiseXOR(F.col(f"s{i}q"))) for i in range(WORDS)), F.lit(0))
-    limit = (F.col("sizep") + F.col("sizeq")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
-    sizes = F.least("sizep", "sizeq") >= F.greatest("sizep", "sizeq") * F.lit(similarity) - F.lit(1e-6)
-    once = ~F.col("restq") | (F.col("nodep") < F.col("nodeq"))
+    once = ~F.col("restq") | (F.col("p") < F.col("q"))
     met = side(left, "p").join(side(right, "q").hint("shuffle_merge"), ["band", "x", "y"])
-    met = met.where((F.col("componentp") != F.col("componentq")) & once & sizes & (differ <= limit))
-    return met.select(F.least("nodep", "nodeq").alias("p"), F.greatest("nodep", "nodeq").alias("q")).distinct()
+    met = met.where((F.col("componentp") != F.col("componentq")) & once & _maybe(similarity))
+    return met.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.llm import warc
+from lorekeep.llm import line_dedup, warc
 from lorekeep.llm.components import connected_components
 from lorekeep.llm.decontamination import contamination
 from lorekeep.llm.exact_dedup import exact_dedup
@@ -295,6 +295,30 @@ def test_line_dedup_links_of_a_crowded_bucket(spark):
     assert sorted(map(tuple, got.collect())) == brute.line_classes(docs)
 
 
+def test_line_dedup_brings_texts_of_few_strangers_together(spark, monkeypatch):
+    """Strangers that share buckets by a common beginning are sifted out before pairs are confirmed on texts."""
+    r = random.Random(13)
+    docs = []
+    for i in range(200):
+        line = "alphabetic bravissimo charlatan" + "".join(r.choice("bcdfghklmnprstvw") for _ in range(60 + i % 40))
+        docs.append((i, line + "\n" + line + "#"))
+    confirm, asked = line_dedup._confirm, []
+    monkeypatch.setattr(line_dedup, "_confirm", lambda pairs, *more: asked.append(pairs.count()) or confirm(pairs, *more))
+    got = line_components(frame(spark, docs)).select("doc_id", "line_no", "class_size", "kept")
+    assert sorted(map(tuple, got.collect())) == brute.line_classes(docs)
+    assert 200 <= sum(asked) <= 220  # 200 links
+
+
+def test_line_bands_of_odd_lines():
+    """A line's buckets don't depend on the lines it is signed with, also if nothing of it is sampled or it is empty."""
+    r = random.Random(14)
+    lines = ["", "abcd", "abcde", "", *["=" * n for n in (4, 5, 11, 12, 13, 95, 96, 300)], "\u4e2d\u6587" * 8, "\U0001f600x" * 60]
+    lines += ["".join(r.choice("ab ") for _ in range(r.randrange(130))) for _ in range(300)] + [""]
+    together = line_dedup.line_bands(lines)
+    assert [b.tolist() for b in together] == [line_dedup.line_bands([x])[0].tolist() for x in lines]
+    assert all(bool(b.size) == (len(x) >= line_dedup.SHINGLE) for x, b in zip(lines, together)) and line_dedup.line_bands([]) == []
+
+
 def test_line_dedup_lines_of_few_words(spark, prose):
     """Short lines, and long ones without blanks, each with a copy that lacks or changes a character at some place."""
     r = random.Random(12)
