@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.scratch import free, materialise, scratch_path, shared_dir
+from lorekeep.scratch import free, hold, materialise, materialise_few, scratch_path, shared_dir
 
-__all__ = ["documents", "free", "fresh", "local_rows", "lower_az", "materialise", "maybe_broadcast", "scratch_path", "shared_dir"]
+__all__ = ["documents", "free", "fresh", "hold", "local_rows", "lower_az", "materialise", "materialise_few", "maybe_broadcast", "scratch_path", "shared_dir"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A side is broadcast only when its counted bytes stay below this.

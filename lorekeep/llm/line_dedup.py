@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.buckets import crossing_cells
-from lorekeep.llm.common import free, fresh, materialise, maybe_broadcast
+from lorekeep.llm.common import free, fresh, hold, materialise_few, maybe_broadcast
 from lorekeep.llm.components import connected_components
 from lorekeep.llm.textbytes import mix
 
@@ -246,6 +246,14 @@ def _confirm(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "la", "lb").mapInArrow(_near(similarity), "a string, b string")
 
 
+def _members(rows: DataFrame, *by: str) -> DataFrame:
+    """Members of buckets, with the bucket's least node as `pivot`; buckets of one line that aren't pieces of larger ones are left out."""
+    rows = rows.repartition(*by)
+    several = "pivot < last" + " or piece > 0" * ("piece" in by)
+    pivots = rows.groupBy(*by).agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where(several).drop("last")
+    return rows.join(pivots.hint("shuffle_hash"), [*by])
+
+
 def _shared(signed: DataFrame) -> DataFrame:
     """(band, node, pivot) of the members of buckets with several lines: one shuffle of 16 bytes a row serves their count and the join.
 
@@ -254,15 +262,17 @@ def _shared(signed: DataFrame) -> DataFrame:
     """
     member = signed.select(F.explode("bands").alias("band"), F.col("k1").alias("node"))
     seen = member.where(F.pmod("node", F.lit(HOT_SAMPLE)) == 0).groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT // HOT_SAMPLE)
-    hot = materialise(seen.select("band", F.ceil(F.col("n") * HOT_SAMPLE / HOT).cast("int").alias("pieces")), "line-hot")
+    hot = materialise_few(seen.select("band", F.ceil(F.col("n") * HOT_SAMPLE / HOT).cast("int").alias("pieces")), "line-hot")
+    if hot.isEmpty():
+        return materialise_few(_members(member, "band").select("band", "node", "pivot"), "line-buckets", "band")
     # a row per HOT members of some bucket at most, so this side is a millionth of the members
     salted = member.join(maybe_broadcast(hot), "band", "left").select("band", "node", F.coalesce(F.pmod(F.xxhash64("node"), F.col("pieces")) + 1, F.lit(0)).cast("int").alias("piece"))
-    salted = salted.repartition("band", "piece")
-    pivots = salted.groupBy("band", "piece").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last or piece > 0").drop("last")
-    shared = materialise(salted.join(pivots.hint("shuffle_hash"), ["band", "piece"]), "line-shared")
-    heads = shared.where("piece > 0 and node = pivot").groupBy("band").agg(F.min("pivot").alias("top"))
-    tops = shared.where("piece > 0 and node = pivot").join(heads, "band").select("band", "node", F.col("top").alias("pivot"))
-    return shared.select("band", "node", "pivot").unionByName(tops)
+    pieces = materialise_few(_members(salted, "band", "piece"), "line-shared", "band")
+    heads = pieces.where("piece > 0 and node = pivot").groupBy("band").agg(F.min("pivot").alias("top"))
+    tops = pieces.where("piece > 0 and node = pivot").join(heads, "band").select("band", "node", F.col("top").alias("pivot"))
+    shared = materialise_few(pieces.select("band", "node", "pivot").unionByName(tops), "line-buckets", "band")
+    free(pieces)
+    return shared
 
 
 def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,49 +302,50 @@ def line_components(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     place = (F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(-1 << 63).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(31,0)")
     place = place if integral else F.struct("doc_id", "line_no")
     keyed = lines_of(docs).where("line <> ''").select("doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "line")
-    signed = materialise(keyed.mapInArrow(_sign, f"doc_id {kind}, line_no int, k1 bigint, k2 bigint, bands array<bigint>"), "line-signed")
+    signed = hold(keyed.mapInArrow(_sign, f"doc_id {kind}, line_no int, k1 bigint, k2 bigint, bands array<bigint>"))
 
-    shared = materialise(_shared(signed), "line-buckets")
-    wanted = materialise(shared.select(F.col("node").alias("w")).distinct(), "line-wanted")
+    shared = _shared(signed)
+    wanted = materialise_few(shared.select(F.col("node").alias("w")).distinct(), "line-wanted")
     texts = keyed.select("k1", "k2", "line").join(maybe_broadcast(wanted), F.col("k1") == F.col("w"), "left_semi")
-    texts = materialise(texts.groupBy("k1", "k2").agg(F.any_value("line").alias("line")).select("k1", "k2", _key("k1", "k2").alias("key"), "line"), "line-texts")
+    texts = materialise_few(texts.groupBy("k1", "k2").agg(F.any_value("line").alias("line")).select("k1", "k2", _key("k1", "k2").alias("key"), "line"), "line-texts")
     # pairs of first hashes; should two lines ever share one, both meet the other side
-    stars = materialise(shared.where("node <> pivot").select(F.col("pivot").alias("p"), F.col("node").alias("q")).distinct(), "line-stars")
+    stars = materialise_few(shared.where("node <> pivot").select(F.col("pivot").alias("p"), F.col("node").alias("q")).distinct(), "line-stars")
     sketches = texts.select("k1", "line").mapInArrow(_sketch, "k1 bigint, size bigint, sketch array<bigint>")
-    sketches = materialise(sketches.groupBy("k1").agg(F.min("size").alias("size"), F.any_value("sketch").alias("sketch")), "line-sketches")
+    sketches = materialise_few(sketches.groupBy("k1").agg(F.min("size").alias("size"), F.any_value("sketch").alias("sketch")), "line-sketches")
     # most pairs share a bucket by chance: these are sifted out before their texts are brought together
     sifted = stars.join(_side(sketches, "p").hint("shuffle_merge"), "p").join(_side(sketches, "q").hint("shuffle_merge"), "q").where(_maybe(similarity))
-    sifted = materialise(sifted.select("p", "q"), "line-sifted")
-    links = materialise(_confirm(sifted, texts, similarity), "line-links")
-    component = connected_components(links)
+    sifted = materialise_few(sifted.select("p", "q"), "line-sifted", "p")
+    links = materialise_few(_confirm(sifted, texts, similarity), "line-links", "a")
+    component = connected_components(links, write=materialise_few)
 
     # from here a long stands for a line, and one for its component, which hash aggregates and sorts take cheaply
     owner = texts.join(component, F.col("key") == F.col("node")).select(F.col("k1").alias("o"), F.xxhash64("component").alias("c"))
-    owner = materialise(owner.groupBy("o").agg(F.min("c").alias("c")), "line-owners")
+    owner = materialise_few(owner.groupBy("o").agg(F.min("c").alias("c")), "line-owners")
     labelled = shared.select("band", "node").distinct().join(maybe_broadcast(owner), F.col("node") == F.col("o"), "left")
-    labelled = materialise(labelled.select("band", "node", F.coalesce("c", F.xxhash64(F.col("node"))).alias("component")), "line-labelled")
-    split = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    labelled = materialise(labelled.join(split, "band"), "line-open")
-    again = materialise(_across(labelled, sketches, similarity).join(sifted, ["p", "q"], "left_anti"), "line-again")
+    marked = materialise_few(labelled.select("band", "node", F.coalesce("c", F.xxhash64(F.col("node"))).alias("component")), "line-labelled")
+    split = marked.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    labelled = materialise_few(marked.join(split, "band"), "line-open")
+    again = materialise_few(_across(labelled, sketches, similarity).join(sifted, ["p", "q"], "left_anti"), "line-again", "p")
     if not again.isEmpty():
-        more = materialise(_confirm(again, texts, similarity), "line-more")
+        more = materialise_few(_confirm(again, texts, similarity), "line-more", "a")
         if not more.isEmpty():  # these join components, so a graph of components is enough
             of = component.select("node", "component")
             ends = more.join(of.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-            ends = materialise(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "line-ends")
-            joined = connected_components(ends, "ca", "cb").withColumnsRenamed({"node": "old", "component": "new"})
+            ends = materialise_few(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "line-ends")
+            joined = connected_components(ends, "ca", "cb", materialise_few).withColumnsRenamed({"node": "old", "component": "new"})
             nodes = component.unionByName(ends.select(F.col("a").alias("node"), F.col("ca").alias("component"))).unionByName(ends.select(F.col("b").alias("node"), F.col("cb").alias("component")))
             component = nodes.distinct().join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
-            component = materialise(component, "line-components")
+            component = materialise_few(component, "line-components")
 
     # classes are found per key; only keys of classes with several lines go back to the lines
     per_key = signed.select("k1", "k2", place.alias("place")).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
-    owner = materialise(texts.join(component, F.col("key") == F.col("node")).select("k1", "k2", "component"), "line-owner")
-    free(shared, wanted, stars, sifted, links, labelled, sketches, again, texts)
+    owner = materialise_few(texts.join(component, F.col("key") == F.col("node")).select("k1", "k2", "component"), "line-owner")
+    free(shared, wanted, stars, sifted, links, marked, labelled, sketches, again, texts)
     named = per_key.join(maybe_broadcast(owner), ["k1", "k2"], "left").where("n > 1 or component is not null").withColumn("class", F.coalesce("component", _key("k1", "k2")))
-    named = materialise(named.select("k1", "k2", "n", "first", "class"), "line-named")
+    named = materialise_few(named.select("k1", "k2", "n", "first", "class"), "line-named")
     classes = named.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("first").alias("class_first"))
-    repeated = materialise(named.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "class").join(classes, "class"), "line-repeated")
+    repeated = materialise_few(named.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "class").join(classes, "class"), "line-repeated")
+    free(named, owner)
     return signed.join(maybe_broadcast(repeated), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left").select(
         "doc_id",
         "line_no",

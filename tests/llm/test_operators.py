@@ -1,10 +1,14 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep import scratch
 from lorekeep.llm import line_dedup, warc
 from lorekeep.llm.components import connected_components
 from lorekeep.llm.decontamination import contamination
@@ -309,6 +313,35 @@ def test_line_dedup_brings_texts_of_few_strangers_together(spark, monkeypatch):
     assert 200 <= sum(asked) <= 220  # 200 links
 
 
+def test_line_dedup_writes_few_files(spark, prose, monkeypatch):
+    """Hadoop starts children of an executor for each file, so tables of all lines aren't files, in however many tasks they are made."""
+    docs = frame(spark, [(i, prose(14, 400 + i) + "\n" + prose(14, 400 + i) + "#") for i in range(40)])
+    new, delete, paths, files = scratch.scratch_path, scratch._delete, [], set()
+
+    def count(path):
+        files.update(Path(path.removeprefix("file:")).glob("part-*"))
+
+    monkeypatch.setattr(scratch, "scratch_path", lambda *a: paths.append(new(*a)) or paths[-1])
+    monkeypatch.setattr(scratch, "_delete", lambda spark, path: count(path) or delete(spark, path))
+    written = []
+    for parts in (1, 24):
+        files.clear()
+        paths.clear()
+        assert line_components(docs.repartition(parts, "doc_id")).where("class_size = 2").count() == 80
+        for path in paths:
+            count(path)
+        written.append(len(files))
+    assert 0 < written[0] == written[1]
+
+
+def test_line_dedup_reads_changed_files_again(spark, tmp_path):
+    """Tables held by Spark's cache don't outlive a change of the files they were made from."""
+    path = str(tmp_path / "documents.parquet")
+    for n in (3, 5):
+        pq.write_table(pa.table({"doc_id": list(range(n)), "text": ["a line that repeats"] * n}), path)
+        assert [r["class_size"] for r in line_components(spark.read.parquet(path)).collect()] == [n] * n
+
+
 def test_line_bands_of_odd_lines():
     """A line's buckets don't depend on the lines it is signed with, also if nothing of it is sampled or it is empty."""
     r = random.Random(14)
