@@ -439,3 +439,11 @@ def test_index_grows_by_batches(spark, tmp_path):
     assert rows(index.phrase(["the", "cat"])) == rows(fulltext.phrase_search(whole, ["the", "cat"])) == [(0, 1), (5, 1)]
     assert rows(index.phrase(["cat", "mat"], 4)) == rows(fulltext.phrase_search(whole, ["cat", "mat"], 4))
     assert rows(index.suggest("d")) == [("dog", 2)] and rows(index.vocabulary().where("term = 'the'")) == [("the", 5, 2)]
+
+
+def test_accented_letters_end_words(spark):
+    """As RE2 reads \\b and \\s."""
+    rows = spark.createDataFrame([(1, "CIÓNEZ NO Ana\u000bBea Old Town"), (2, "éwe saw it")], "id int, t string")
+    got = {r["id"]: r for r in rows.select("id", text.cap_sequences(F.col("t")).alias("runs"), text.classify_kind(F.col("t")).alias("kind")).collect()}
+    assert got[1]["runs"] == ["CI", "NEZ NO Ana", "Bea Old Town"]
+    assert got[2]["kind"] == "experience"
