@@ -66,7 +66,7 @@ DETECTORS = (
     ("slack_token", r"\bxox[baprs]-[A-Za-z0-9-]{10,}", None),
     ("jwt", r"\beyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", None),
     ("bearer", r"\bBearer [A-Za-z0-9._-]{20,}", None),
-    ("secret", r"(?i)\b(?:password|passwd|secret|token|api[_-]?key)\s*[:=]\s*[\"']?[^\s\"']{6,}", None),
+    ("secret", r"(?i)\b(?:pa[s\u017f][s\u017f]word|pa[s\u017f][s\u017f]wd|[s\u017f]ecret|to[k\u212a]en|api[_-]?[k\u212a]ey)[\t\n\f\r ]*[:=][\t\n\f\r ]*[\"']?[^\t\n\f\r \"']{6,}", None),
     ("email", r"\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", None),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban_ok),
     ("card", r"\b\d(?:[ -]?\d){12,18}\b", _luhn_ok),
@@ -80,7 +80,8 @@ DETECTORS = (
     ("coordinates", r"-?\d{1,2}\.\d{4,}, ?-?\d{1,3}\.\d{4,}", None),
     ("birth_date", r"(?i)\b(?:born on|date of birth:?|dob:?) ?\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}", None),
 )
-_COMPILED = tuple((k, re.compile(p), ok) for k, p, ok in DETECTORS)
+# word bounds and digits are ASCII, so that an accented letter beside a number or an address doesn't hide it
+_COMPILED = tuple((k, re.compile(p, re.ASCII), ok) for k, p, ok in DETECTORS)
 
 
 def scan_text(text: str | None) -> list[tuple[str, int, int, str]]:
@@ -104,6 +105,19 @@ def pii_scan(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
     return rows.select(id_col, F.explode(pii_spans(text_col)).alias("x")).select(id_col, "x.*")
 
 
+def detector_hits(rows: DataFrame, kinds: tuple[str, ...], id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """id, kind of every hit of the detectors `kinds`, each looking at whole texts: a span that two of them find counts for both.
+    `pii_scan` gives it to the first only."""
+
+    @F.pandas_udf("array<string>")
+    def hits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        asked = [x for x in _COMPILED if x[0] in kinds]
+        for texts in parts:
+            yield texts.map(lambda t: [k for k, pattern, ok in asked for m in pattern.finditer(t or "") if ok is None or ok(m[0])])
+
+    return rows.select(id_col, F.explode(hits(text_col)).alias("kind"))
+
+
 def vault_tokens(spans: DataFrame, key: str) -> DataFrame:
     """Each span's stable token: kind and a keyed hash, the same for equal text wherever it stands."""
     return spans.withColumn("token", F.concat(F.lit("<"), "kind", F.lit(":"), F.substring(F.sha2(F.concat(F.lit(key), F.lower("text")), 256), 1, 12), F.lit(">")))

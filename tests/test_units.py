@@ -447,3 +447,9 @@ def test_accented_letters_end_words(spark):
     got = {r["id"]: r for r in rows.select("id", text.cap_sequences(F.col("t")).alias("runs"), text.classify_kind(F.col("t")).alias("kind")).collect()}
     assert got[1]["runs"] == ["CI", "NEZ NO Ana", "Bea Old Town"]
     assert got[2]["kind"] == "experience"
+
+
+def test_every_detector_looks_at_whole_texts(spark):
+    rows = spark.createDataFrame([(1, "password=a.b@example.org ñ10.0.0.7 and 10.0.0.8é, +49 111 111 1111 token: abcdef")], "id int, text string")
+    got = {r["kind"]: r["n"] for r in governance.detector_hits(rows, ("secret", "email", "ipv4")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {"secret": 2, "email": 1, "ipv4": 2}
