@@ -453,3 +453,23 @@ def test_every_detector_looks_at_whole_texts(spark):
     rows = spark.createDataFrame([(1, "password=a.b@example.org ñ10.0.0.7 and 10.0.0.8é, +49 111 111 1111 token: abcdef")], "id int, text string")
     got = {r["kind"]: r["n"] for r in governance.detector_hits(rows, ("secret", "email", "ipv4")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got == {"secret": 2, "email": 1, "ipv4": 2}
+
+
+def test_index_groups_a_text_where_it_stands(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    from lorekeep.operators import fulltext, textindex
+
+    texts = ["x y " * 300, None, "y y x", "", "x z z z z y"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([t and t.split() for t in texts], pa.list_(pa.string()))], ["id", "t"])
+    whole = [r for b in textindex._grouped([batch]) for r in b.to_pylist()]
+    assert {(r["term"], r["id"]): r["positions"][:3] for r in whole} == {("x", 0): [0, 2, 4], ("y", 0): [1, 3, 5], ("y", 2): [0, 1], ("x", 2): [2], ("x", 4): [0], ("z", 4): [1, 2, 3], ("y", 4): [5]}
+    monkeypatch.setattr(textindex, "TOKENS", 2)
+    key = lambda r: (r["term"], r["id"])
+    assert sorted((r for b in textindex._grouped([batch]) for r in b.to_pylist()), key=key) == sorted(whole, key=key)
+    chunks = spark.createDataFrame(list(enumerate(texts)) + [(2, "y x x")], "id int, text string")
+    index = textindex.build(chunks, str(tmp_path / "i"), 4)
+    near = index.phrase(["x", "y"], 1)
+    assert "exists(" not in near._jdf.queryExecution().toString()  # no pairs of positions
+    assert sorted(map(tuple, near.where("id <> 2").collect())) == sorted(map(tuple, fulltext.phrase_search(chunks.where("id <> 2"), ["x", "y"], 1).collect())) == [(0, 300)]
+    assert {(r["term"], r["tf"], r["positions"] == sorted(r["positions"])) for r in index.postings(["x", "y"]).where("id = 2").collect()} == {("x", 3, True), ("y", 3, True)}
+    assert index.counts() == (6, (600 + 3 + 3 + 6) / 6)
