@@ -473,3 +473,21 @@ def test_index_groups_a_text_where_it_stands(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, near.where("id <> 2").collect())) == sorted(map(tuple, fulltext.phrase_search(chunks.where("id <> 2"), ["x", "y"], 1).collect())) == [(0, 300)]
     assert {(r["term"], r["tf"], r["positions"] == sorted(r["positions"])) for r in index.postings(["x", "y"]).where("id = 2").collect()} == {("x", 3, True), ("y", 3, True)}
     assert index.counts() == (6, (600 + 3 + 3 + 6) / 6)
+
+
+def test_a_subjects_history_is_searched_not_scanned():
+    from lorekeep.streaming.ingest import NEVER, _maintain_subject
+
+    class State:
+        exists, get = False, None
+
+        def update(self, v):
+            self.exists, self.get = True, (v[0],)
+
+    s, step = State(), _maintain_subject(frozenset({"works_at"}), 0.92)
+    rows = lambda *r: pd.DataFrame(r, columns=["relation", "seq", "value", "at"])
+    first = next(step(("u",), iter([rows(("works_at", 2, "Vantor", 50), ("likes", 9, "tea", 10)), rows(("works_at", 1, "Helix", 20))]), s))
+    assert [tuple(r) for r in first[["relation", "seq", "decision", "at", "ends"]].itertuples(index=False)] == [("likes", 9, "COMMIT", 10, NEVER), ("works_at", 1, "COMMIT", 20, NEVER), ("works_at", 2, "SUPERSEDE", 50, NEVER)]
+    late = next(step(("u",), iter([rows(("works_at", 4, "Quill", 30), ("works_at", 3, "Helix", 10), ("likes", 5, "rum", NEVER))]), s))
+    assert list(zip(late["seq"], late["decision"], late["ends"])) == [(3, "SKIP", NEVER), (4, "SUPERSEDE", 50), (5, "COEXIST", NEVER)]
+    assert dict(json.loads(s.get[0]))["works_at"] == [[10, 30, "Helix", 1], [30, 50, "Quill", 1], [50, None, "Vantor", 1]]
