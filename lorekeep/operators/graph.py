@@ -11,24 +11,39 @@ from lorekeep.scratch import materialise
 def causal_chain(edges: DataFrame, start: DataFrame, direction: str = "ancestors", max_depth: int = 8) -> DataFrame:
     """(start, node, depth) reachable along the edges, each node at its least depth.
 
-    One join per level, the frontier growing by what isn't there yet; a cycle ends at a level without new nodes.
+    Where every node has one edge at most, a start has one path, which grows by one join per level.  Elsewhere the frontier grows
+    by what isn't there yet, one join and one table per level; a cycle ends at a level without new nodes.
     `start` has a column `start`.
     """
     step = edges.select(F.col("src").alias("f"), F.col("dst").alias("t")) if direction == "ancestors" else edges.select(F.col("dst").alias("f"), F.col("src").alias("t"))
-    step = step.distinct()
+    step = materialise(step.distinct(), "chain-steps")
+    if step.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.count("t").alias("known")).where("n > 1 OR known < n").isEmpty():
+        return _paths(step, start, max_depth)
     frontier = start.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
     found = frontier
     for depth in range(1, max_depth + 1):
         after = frontier.join(step, F.col("node") == F.col("f")).select("start", F.col("t").alias("node"), F.lit(depth).alias("depth")).distinct()
-        frontier = after.join(found.select("start", "node"), ["start", "node"], "left_anti")
-        if depth % 4 == 0:
-            frontier = materialise(frontier, "chain")
-            if frontier.isEmpty():
-                break
+        frontier = materialise(after.join(found.select("start", "node"), ["start", "node"], "left_anti"), "chain")
+        if frontier.isEmpty():
+            break
         found = found.unionByName(frontier)
     return found.where("depth > 0").groupBy("start", "node").agg(F.min("depth").alias("depth"))
 
 
+def _paths(step: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
+    """`causal_chain` where each node has one next node: a row a start, with the nodes on its way in order."""
+    rows = start.select("start", F.array(F.col("start").cast(step.schema["t"].dataType)).alias("path")).distinct()
+    for depth in range(1, max_depth + 1):
+        met = rows.join(step, F.element_at("path", -1) == F.col("f"), "left")
+        rows = met.select("start", F.when(F.col("t").isNull(), F.col("path")).otherwise(F.concat("path", F.array("t"))).alias("path"))
+        if depth % 8 == 0 and depth < max_depth:
+            rows = materialise(rows, "chain")
+            if rows.where(F.size("path") > depth).isEmpty():
+                break
+    # on a cycle all that follows the first repeated node is a repetition
+    return rows.select("start", F.posexplode(F.array_distinct("path")).alias("depth", "node")).where("depth > 0").select("start", "node", "depth")
+
+
 def structural_query(facts: DataFrame, start: DataFrame, chain: list[str], least: float = 0.0) -> DataFrame:
     """Follow relations hop by hop: per start the best fact by (confidence, valid_from, value), confidences multiplied.
 

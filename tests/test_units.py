@@ -491,3 +491,18 @@ def test_a_subjects_history_is_searched_not_scanned():
     late = next(step(("u",), iter([rows(("works_at", 4, "Quill", 30), ("works_at", 3, "Helix", 10), ("likes", 5, "rum", NEVER))]), s))
     assert list(zip(late["seq"], late["decision"], late["ends"])) == [(3, "SKIP", NEVER), (4, "SUPERSEDE", 50), (5, "COEXIST", NEVER)]
     assert dict(json.loads(s.get[0]))["works_at"] == [[10, 30, "Helix", 1], [30, 50, "Quill", 1], [50, None, "Vantor", 1]]
+
+
+def test_chains_of_single_and_of_many_edges(spark):
+    from lorekeep.operators.graph import causal_chain
+
+    edges = lambda *pairs: spark.createDataFrame(pairs, "src long, dst long")
+    starts = spark.createDataFrame([(1,), (4,), (1,), (9,)], "start long")
+    rows = lambda df: sorted(map(tuple, df.select("start", "node", "depth").collect()))
+    ring = edges((1, 2), (2, 3), (3, 2), (4, 1), (5, 4))
+    single = causal_chain(ring, starts, max_depth=10)
+    assert rows(single) == [(1, 2, 1), (1, 3, 2), (4, 1, 1), (4, 2, 2), (4, 3, 3)]
+    assert single._jdf.queryExecution().toString().count("LeftAnti") == 0
+    assert rows(causal_chain(ring, starts, max_depth=2)) == [(1, 2, 1), (1, 3, 2), (4, 1, 1), (4, 2, 2)]
+    assert rows(causal_chain(ring, starts, "descendants", 3)) == [(1, 4, 1), (1, 5, 2), (4, 5, 1)]  # 2 has two edges in this direction
+    assert rows(causal_chain(edges((1, 2), (1, 3), (2, 4), (3, 4), (4, 1)), starts, max_depth=9)) == [(1, 2, 1), (1, 3, 1), (1, 4, 2), (4, 1, 1), (4, 2, 2), (4, 3, 2)]
