@@ -28,8 +28,7 @@ def metrics(s, d):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     q = v.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding", F.col("label").alias("ql"))  # every 20th asks, all rows answer
     ranked = V.search_many(v, q, 50)
-    relevant = v.join(q.drop("embedding"), (F.col("label") == F.col("ql")) & (F.col("id") != F.col("query"))).select("query", "id")
-    return R.retrieval_metrics(ranked, relevant, 5)
+    return R.label_metrics(ranked, v, q.select("query", F.col("ql").alias("label")), 5)
 
 
 def reranked(s, d):

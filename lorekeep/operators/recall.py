@@ -97,7 +97,21 @@ def snippet(text: str, terms: list[str], width: int = 240) -> str:
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
     """Mean recall at k and mean reciprocal rank; `ranked` has query, id, rank, `relevant` query, id."""
     first = ranked.join(relevant, ["query", "id"], "left_semi").groupBy("query").agg(F.min("rank").alias("best"), F.count_if(F.col("rank") <= k).alias("found"))
-    total = relevant.groupBy("query").agg(F.countDistinct("id").alias("wanted"))
+    return _means(relevant.groupBy("query").agg(F.countDistinct("id").alias("wanted")), first)
+
+
+def label_metrics(ranked: DataFrame, labelled: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """As `retrieval_metrics` where the rows of a query's label (`labelled`: id, label) are relevant, itself left out.
+
+    `queries` (query, label) are some of those rows.  No pairs of rows and queries are made: what is wanted is the label's count less one.
+    """
+    told = ranked.join(labelled.select("id", "label").distinct(), "id").join(queries.select("query", F.col("label").alias("asked")).distinct(), "query")
+    first = told.where("label = asked").groupBy("query").agg(F.min("rank").alias("best"), F.count_if(F.col("rank") <= k).alias("found"))
+    sizes = labelled.groupBy("label").agg(F.countDistinct("id").alias("n")).where("n > 1")
+    return _means(queries.distinct().join(sizes, "label").select("query", (F.col("n") - 1).alias("wanted")), first)
+
+
+def _means(total: DataFrame, first: DataFrame) -> DataFrame:
     per = total.join(first, "query", "left")
     return per.agg(
         F.round(F.avg(F.coalesce("found", F.lit(0)) / F.col("wanted")), 6).alias("recall_at_k"),

@@ -163,6 +163,16 @@ def centroids(vectors: DataFrame, by: str = "label") -> DataFrame:
     return whole.select(by, total.alias("total")).select(by, V.unit(F.col("total")).alias("centre"))
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the `k` highest scores, of equals the least ids; only what reaches the k-th is sorted."""
+    if len(scores) > k:
+        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
+        if not np.isnan(bar):
+            near = np.flatnonzero(scores >= bar)
+            return near[np.lexsort((ids[near], -scores[near]))[:k]]
+    return np.lexsort((ids, -scores))[:k]
+
+
 def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
     """(query, id, score, rank): the exact cosine top-k of every query (query, embedding) among all other rows (id, embedding).
 
@@ -194,7 +204,7 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
                 ids = batch["id"].to_numpy()
                 found = []
                 for q, scores in zip(names, s):
-                    order = np.lexsort((ids, -scores))[: k + 1]
+                    order = _best(ids, scores, k + 1)
                     found += [(q, i, x) for i, x in zip(ids[order], scores[order]) if i != q][:k]
                 yield pd.DataFrame(found, columns=["query", "id", "score"])
 

@@ -506,3 +506,16 @@ def test_chains_of_single_and_of_many_edges(spark):
     assert rows(causal_chain(ring, starts, max_depth=2)) == [(1, 2, 1), (1, 3, 2), (4, 1, 1), (4, 2, 2)]
     assert rows(causal_chain(ring, starts, "descendants", 3)) == [(1, 4, 1), (1, 5, 2), (4, 5, 1)]  # 2 has two edges in this direction
     assert rows(causal_chain(edges((1, 2), (1, 3), (2, 4), (3, 4), (4, 1)), starts, max_depth=9)) == [(1, 2, 1), (1, 3, 1), (1, 4, 2), (4, 1, 1), (4, 2, 2), (4, 3, 2)]
+
+
+def test_metrics_by_label_make_no_pairs(spark):
+    from lorekeep.operators import recall
+
+    labelled = spark.createDataFrame([(i, i % 3 if i < 9 else 7) for i in range(10)] + [(10, None)], "id int, label int")
+    queries = labelled.where("id in (0, 1, 9, 10)").withColumnRenamed("id", "query")
+    ranked = spark.createDataFrame([(0, 5, 1), (0, 3, 2), (0, 6, 6), (1, 2, 1), (9, 1, 1), (10, 1, 1)], "query int, id int, rank int")
+    pairs = labelled.join(queries.withColumnRenamed("label", "asked"), (F.col("label") == F.col("asked")) & (F.col("id") != F.col("query"))).select("query", "id")
+    got = recall.label_metrics(ranked, labelled, queries, 5).first()
+    assert got == recall.retrieval_metrics(ranked, pairs, 5).first() and (got["recall_at_k"], got["mrr"], got["queries"]) == (0.25, 0.25, 2)
+    scores = np.array([0.5, 0.9, 0.5, 0.1, 0.5, np.nan])
+    assert vectors._best(np.array([5, 1, 3, 2, 4, 0]), scores[:5], 3).tolist() == [1, 2, 4] == vectors._best(np.array([5, 1, 3, 2, 4, 0]), scores, 3).tolist()
