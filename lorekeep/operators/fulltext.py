@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from lorekeep.scratch import materialise
 
 #: So many of the most frequent tainted tokens come last in an overlap scan's order.
 COMMON = 500
+#: A tainted side of at most so many (token, item) cells is counted against as one array.
+CELLS = 1 << 23
 
 
 def tokenised(chunks: DataFrame, tokens: Column | None = None) -> DataFrame:
@@ -156,9 +161,17 @@ def overlap_scan(lines: DataFrame, tainted: DataFrame, threshold: float = 0.5, l
     Sets of n tokens with this Jaccard share one of each other's first n - ceil(threshold * n) + 1 tokens in any common order, so
     only those meet through an index of the tainted side, and what meets is verified on whole sets at once.  The order puts the
     tainted side's COMMON most frequent tokens last, so that "the" is no line's prefix unless nothing else is left.
+
+    Low thresholds leave long prefixes.  A small tainted side (CELLS) is therefore an array of tokens by items, from which a line's
+    rows are added up to what it shares with every item, without a join.
     """
     ours = lines.select("id", "line_no", F.array_distinct(simple_words(F.col("line"))).alias("t")).where("size(t) > 0")
     theirs = materialise(tainted.select("item", F.array_distinct(simple_words(F.col("line"))).alias("u")).where(F.size("u") >= least_tokens), "overlap-items")
+    size = theirs.select("item", F.explode("u").alias("token")).agg(F.countDistinct("token").alias("tokens"), F.countDistinct("item").alias("items")).first()
+    if size["tokens"] * size["items"] <= CELLS and theirs.count() <= size["items"]:
+        kinds = {c: lines.schema[c].dataType.simpleString() for c in ("id", "line_no")} | {"item": theirs.schema["item"].dataType.simpleString()}
+        counted = ours.mapInArrow(_overlaps(theirs.collect(), theirs.schema["item"].dataType, threshold), ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", overlap double")
+        return counted.select("id", "line_no", "item", F.round("overlap", 6).alias("overlap")).distinct()
     frequent = theirs.select(F.explode("u").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     common = [r["token"] for r in frequent.orderBy(F.desc("n"), "token").limit(COMMON).collect()][::-1]  # at most COMMON words
     late = F.array(*[F.lit(x) for x in common]).cast("array<string>")
@@ -176,6 +189,44 @@ def overlap_scan(lines: DataFrame, tainted: DataFrame, threshold: float = 0.5, l
     return met.select("id", "line_no", "item", F.round(overlap, 6).alias("overlap")).distinct()
 
 
+def _overlaps(items: list, kind, threshold: float):
+    """Batches of (id, line_no, t) as (id, line_no, item, overlap) of pairs that reach the threshold, for rows (item, u)."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names, of = [r["item"] for r in items], {}
+    places = [[of.setdefault(w, len(of)) for w in r["u"]] for r in items]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, theirs = np.zeros((len(of), len(names)), np.int32), np.array([len(p) for p in places])
+        for i, p in enumerate(places):
+            held[p, i] = 1
+        most = max(1, (1 << 22) // max(1, len(names)))  # cells of a step, 16 MB, but for one long line
+        values = pa.array(names, to_arrow_type(kind))
+        for batch in batches:
+            tokens = batch.column("t")
+            ours = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = tokens.flatten().dictionary_encode()
+            known = np.array([of.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)
+            codes = known[coded.indices.to_numpy(zero_copy_only=False)]
+            line = np.repeat(np.arange(len(ours)), ours)[codes >= 0]
+            codes = codes[codes >= 0]
+            starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+            ends, at, found = np.append(starts[1:], len(line)), 0, []
+            while at < len(starts):
+                to = max(at + 1, int(np.searchsorted(ends, starts[at] + most, "right")))
+                shared = np.add.reduceat(held[codes[starts[at] : ends[to - 1]]], starts[at:to] - starts[at], axis=0)
+                overlap = shared / (ours[line[starts[at:to]]][:, None] + theirs - shared)
+                x, y = np.nonzero((overlap >= threshold) & (shared > 0))
+                found.append((line[starts[at:to]][x], y, overlap[x, y]))
+                at = to
+            if found:
+                x, y, overlap = (np.concatenate(part) for part in zip(*found))
+                columns = [batch.column("id").take(pa.array(x)), batch.column("line_no").take(pa.array(x)), values.take(pa.array(y)), pa.array(overlap)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "line_no", "item", "overlap"])
+
+    return run
+
+
 def similar_pairs(rows: DataFrame, block: str, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """Pairs of a block whose token sets' Jaccard similarity reaches the threshold; blocks are small by nature (a session, a fact key)."""
     t = rows.select(F.col(block).alias("block"), F.col(id_col).alias("id"), F.array_distinct(simple_words(F.col(text_col))).alias("t"))

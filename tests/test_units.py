@@ -519,3 +519,17 @@ def test_metrics_by_label_make_no_pairs(spark):
     assert got == recall.retrieval_metrics(ranked, pairs, 5).first() and (got["recall_at_k"], got["mrr"], got["queries"]) == (0.25, 0.25, 2)
     scores = np.array([0.5, 0.9, 0.5, 0.1, 0.5, np.nan])
     assert vectors._best(np.array([5, 1, 3, 2, 4, 0]), scores[:5], 3).tolist() == [1, 2, 4] == vectors._best(np.array([5, 1, 3, 2, 4, 0]), scores, 3).tolist()
+
+
+def test_overlap_scan_counts_as_it_joins(spark, monkeypatch):
+    from lorekeep.operators import fulltext
+
+    rng = np.random.default_rng(4)
+    some = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 30, n))
+    lines = spark.createDataFrame([(i, i % 4, some(rng.integers(1, 25))) for i in range(120)] + [(500, 0, None), (501, 0, ""), (502, 1, "zz yy")], "id long, line_no int, line string")
+    items = spark.createDataFrame([(f"i{i}", some(rng.integers(2, 20))) for i in range(20)], "item string, line string")
+    counted = fulltext.overlap_scan(lines, items, 0.3)
+    assert "MapInArrow" in counted._jdf.queryExecution().toString()
+    got = sorted(map(tuple, counted.collect()))
+    monkeypatch.setattr(fulltext, "CELLS", 0)
+    assert got == sorted(map(tuple, fulltext.overlap_scan(lines, items, 0.3).collect())) and len(got) > 50
