@@ -234,7 +234,7 @@ def _features(text: str) -> Iterator[tuple[str, float]]:
         yield f"b:{a} {b}", 0.7
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=1 << 15)  # the n-grams that recur; every Python worker of an executor has its own
 def _slot(feature: str, dims: int) -> tuple[int, float]:
     h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
     return h % dims, 1.0 if h >> 63 else -1.0
@@ -254,7 +254,7 @@ def embed_text(text: str | None, dims: int = DIM) -> np.ndarray:
 
 @arrow_udf("array<float>")
 def embed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: embed_text(t).tolist())
+    return texts.map(embed_text)  # as arrays: a list takes eight times their memory
 
 
 @lru_cache(maxsize=64)
@@ -288,7 +288,7 @@ def encode_fact(subject: str, relation: str, value: str, dims: int = DIM, plain:
 
 @arrow_udf("array<float>")
 def hologram(subject: pd.Series, relation: pd.Series, value: pd.Series) -> pd.Series:
-    return pd.Series([encode_fact(s or "", r or "", v or "").tolist() for s, r, v in zip(subject, relation, value)])
+    return pd.Series([encode_fact(s or "", r or "", v or "") for s, r, v in zip(subject, relation, value)])
 
 
 def working_memory(facts: DataFrame, scope: str = "user_id") -> DataFrame:

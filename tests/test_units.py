@@ -533,3 +533,11 @@ def test_overlap_scan_counts_as_it_joins(spark, monkeypatch):
     got = sorted(map(tuple, counted.collect()))
     monkeypatch.setattr(fulltext, "CELLS", 0)
     assert got == sorted(map(tuple, fulltext.overlap_scan(lines, items, 0.3).collect())) and len(got) > 50
+
+
+def test_embeddings_leave_python_as_arrays(spark):
+    made = vectors.embed.__wrapped__(pd.Series(["nora sails", None]))
+    assert all(isinstance(v, np.ndarray) and v.dtype == np.float32 for v in made)
+    assert vectors._slot.cache_info().maxsize <= 1 << 15
+    got = spark.createDataFrame([("nora sails",)], "t string").select(vectors.embed("t").alias("v")).first()["v"]
+    assert np.array_equal(np.array(got, np.float32), made[0])
